@@ -1,0 +1,6 @@
+"""Registered queries of the library's own operators, each beside its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
