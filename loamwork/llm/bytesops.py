@@ -76,13 +76,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls are empty."""
+    """(bytes, offsets) of a string or binary column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_binary())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"")
     n = len(col)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

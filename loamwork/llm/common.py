@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,9 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return big.join(side, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
-def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, text): rid is a unique long in ascending doc_id order.
+def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """((rid, text), named): rid is a unique long in ascending doc_id order; named puts
+    doc_id back in the place of rid.
 
     Where the ids are unique and present they serve as they are.  Otherwise (null or
     repeated ids) the rows are put in order of id (nulls first), then text, and numbered;
@@ -61,9 +63,15 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     doubtful = d.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1)
     if not doubtful.take(1):
-        return d.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        return d.withColumnRenamed("doc_id", "rid"), lambda out: out.withColumnRenamed("rid", "doc_id")
     rows = d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return staged(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docrows")
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docrows")
+    names = rows.select(F.col("rid").alias("rid2"), "doc_id")
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.join(names.hint("merge"), F.col("rid") == F.col("rid2")).select("doc_id", *[c for c in out.columns if c != "rid"])
+
+    return rows.select("rid", "text"), named
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,27 +25,34 @@ from .common import doc_rows
 
 LENGTH, SEED = 20, 8
 
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-OUT_PA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+OUT = "rid long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+OUT_PA = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def word_codes(raw, offs):
-    """Two codes for every word, and where each document's words begin."""
-    s, e, row = B.word_spans(raw, offs)
-    bounds = np.searchsorted(row, np.arange(len(offs)), side="left")
-    return *(B.Rolling(B.CODES[w][raw], w).of(s, e) for w in (0, 1)), bounds
+class Words(R.Tokens):
+    """Every word is a token; a window's last digits are what stands left and right of the seed."""
 
+    def __init__(self, length: int, k: int):
+        self.length, self.k = length, min(k, length)
 
-def extensions(roll: B.Rolling, i, p, length: int, k: int):
-    """What stands left and right of the seed; the left one knows its length."""
-    return B.mix(roll.of(i, p) ^ (p - i).astype(np.uint64)), roll.of(p + k, i + length)
+    def split(self, raw, offs):
+        starts, ends, row = B.word_spans(raw, offs)
+        return starts, ends, np.searchsorted(row, np.arange(len(offs)), side="left")
+
+    def codes(self, raw, starts, ends, which):
+        return B.Rolling(B.CODES[which][raw], which).of(starts, ends)
+
+    def halves(self, roll, i, p):
+        # the left extension knows its length, and so the seed's place
+        left = B.mix(roll.of(i, p) ^ (p - i).astype(np.uint64))
+        return left, roll.of(p + self.k, i + self.length)
 
 
 def _cut(length: int):
     def run(batches):
         for rb in batches:
             texts = rb.column(1)
-            ends, a, b = R.listed_ranges(rb.column(2))
+            ends, a, b = R.listed(rb.column(2))
             cols = ([], [], [], [])
             for i in range(rb.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
@@ -67,7 +74,6 @@ def _cut(length: int):
 
 def remove_repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Per document the words left once repeated windows of `length` words are removed."""
-    seed = min(seed, length)
-    rows = doc_rows(docs)
-    starts = R.repeated_starts(rows, word_codes, length, seed, extensions)
-    return R.with_ranges(rows, starts).mapInArrow(_cut(length), OUT)
+    rows, named = doc_rows(docs)
+    starts = R.repeated_starts(rows, Words(length, seed))
+    return named(R.with_lists(rows, starts, "a", "b").mapInArrow(_cut(length), OUT))

@@ -25,25 +25,33 @@ from .common import doc_rows
 
 LENGTH, DIGIT = 100, 32
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-OUT_PA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+OUT = "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+OUT_PA = pa.schema([("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def byte_codes(raw, offs):
-    return B.CODES[0][raw], B.CODES[1][raw], offs
+class Bytes(R.Tokens):
+    """Every byte is a token; a window's last digits are its halves."""
 
+    def __init__(self, length: int, k: int):
+        self.length, self.k = length, min(k, length)
 
-def digits(roll: B.Rolling, i, p, length: int, k: int):
-    """The last two digits of a window: its halves."""
-    half = i + length // 2
-    return roll.of(i, half), roll.of(half, i + length)
+    def split(self, raw, offs):
+        at = np.arange(len(raw) + 1)
+        return at[:-1], at[1:], offs
+
+    def codes(self, raw, starts, ends, which):
+        return B.CODES[which][raw]
+
+    def halves(self, roll, i, p):
+        half = i + self.length // 2
+        return roll.of(i, half), roll.of(half, i + self.length)
 
 
 def _cut(length: int):
     def run(batches):
         for rb in batches:
             raw, offs = B.buffer_of(rb.column(1))
-            ends, a, b = R.listed_ranges(rb.column(2))
+            ends, a, b = R.listed(rb.column(2))
             rows = []
             for i in range(rb.num_rows):
                 text = raw[offs[i] : offs[i + 1]]
@@ -66,10 +74,9 @@ def _cut(length: int):
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """Per document the byte spans covered by a `length`-byte string that starts earlier."""
-    digit = min(digit, length)
-    rows = doc_rows(docs)
-    starts = R.repeated_starts(rows, byte_codes, length, digit, digits)
-    return R.with_ranges(rows, starts).mapInArrow(_cut(length), OUT)
+    rows, named = doc_rows(docs)
+    starts = R.repeated_starts(rows, Bytes(length, digit))
+    return named(R.with_lists(rows, starts, "a", "b").mapInArrow(_cut(length), OUT))
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
