@@ -17,6 +17,12 @@ def op3_substring_dedup(spark, sf_dir):
     return remove_repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup)}
+def op6_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op6_simhash)}
 
 ORACLES: dict[str, str] = {}
