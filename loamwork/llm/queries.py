@@ -23,6 +23,38 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op6_simhash)}
+def op8_mixing(spark, sf_dir):
+    from .mixing import mix
 
-ORACLES: dict[str, str] = {}
+    return mix(table(spark, sf_dir, "documents")).drop("repeats")
+
+
+def op10_fm_index(spark, sf_dir):
+    from .fm_index import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op6_simhash, op8_mixing, op10_fm_index)}
+
+OP10_SQL = r"""
+WITH w AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark),
+n AS (SELECT DISTINCT item_id, x[i:i + least(len(x), 13) - 1] AS win FROM (SELECT item_id, x, unnest(range(1, greatest(len(x) - 12, 1) + 1)) AS i FROM w WHERE len(x) > 0)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS x FROM documents),
+k AS (SELECT DISTINCT len(win) AS size FROM n),
+p AS (SELECT doc_id, x, size, unnest(range(1, len(x) - size + 2)) AS i FROM d, k),
+h AS (SELECT p.doc_id, p.i, p.size, n.item_id FROM p JOIN n ON p.x[p.i:p.i + p.size - 1] = n.win),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(x)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(x), false) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
+def _oracles() -> dict[str, str]:
+    from . import mixing
+
+    return {"op8_mixing": mixing.oracle(), "op10_fm_index": OP10_SQL}
+
+
+ORACLES: dict[str, str] = _oracles()
