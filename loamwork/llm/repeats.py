@@ -9,7 +9,7 @@ comparing only under one anchor.  Neighbouring windows of one anchor form a segm
 2. rows meet by anchor hash; a segment equal to an earlier one is repeated as a whole;
 3. only segments that share an anchor with a *different* segment are opened: their tokens
    meet by anchor hash and their windows are compared; all but the first are repeated.
-   Anchors with more than `OPEN_ROWS` different segments send one row per window instead,
+   Anchors with more than `CROWDED` different segments send one row per window instead,
    so that no task holds such a group.
 
 Keys are an anchor hash of 64 bits and at least 32 more of the segment or 128 more of the
@@ -31,7 +31,8 @@ from .common import staged
 
 LOW = np.uint64((1 << 24) - 1)
 PIECE = 1 << 20
-OPEN_ROWS = 4096
+#: Rows compared at once, and the most of one anchor that a task takes in (some 8 MB of tokens).
+OPEN_ROWS, CROWDED = 1 << 14, 1 << 16
 #: A place packs the first start, the anchor's and the last start's distance, and a flag
 #: for "repeated in its batch"; distances take 12 bits.
 WIDE = 12
@@ -265,7 +266,7 @@ def repeated_starts(rows: DataFrame, t: Tokens) -> DataFrame:
     start = F.shiftright("q", 2 * WIDE + 1)
     found = met.filter("again").select("rid", start.alias("a"), (start + F.shiftright("q", 1).bitwiseAND(F.lit((1 << WIDE) - 1))).alias("b"))
     mixed = met.filter("NOT again").select("h", "rid", "q")
-    crowded = mixed.groupBy("h").count().filter(F.col("count") > OPEN_ROWS).select(F.col("h").alias("h2"))
+    crowded = mixed.groupBy("h").count().filter(F.col("count") > CROWDED).select(F.col("h").alias("h2"))
     if crowded.limit(1).take(1):
         crowded = staged(crowded, "crowded")
         far = mixed.join(crowded.hint("merge"), F.col("h") == F.col("h2"), "left_semi")
