@@ -17,12 +17,30 @@ def op3_substring_dedup(spark, sf_dir):
     return remove_repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality_crf(spark, sf_dir):
+    from .quality_crf import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("content_words", "n_lines")
+
+
+def op5_url_filter(spark, sf_dir):
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op6_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_file(spark, sf_dir):
+    from .token_file import token_table
+
+    return token_table(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -35,7 +53,7 @@ def op10_fm_index(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op6_simhash, op8_mixing, op10_fm_index)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op10_fm_index)}
 
 OP10_SQL = r"""
 WITH w AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark),
