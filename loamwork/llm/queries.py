@@ -47,13 +47,19 @@ def op8_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op9_secret_scan(spark, sf_dir):
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_fm_index(spark, sf_dir):
     from .fm_index import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op10_fm_index)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op9_secret_scan, op10_fm_index)}
 
 OP10_SQL = r"""
 WITH w AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark),
