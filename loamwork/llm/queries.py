@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_pii_surrogates(spark, sf_dir):
+    from .pii import with_surrogates
+
+    return with_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import remove_repeated_bytes
 
@@ -59,7 +65,7 @@ def op10_fm_index(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op9_secret_scan, op10_fm_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op9_secret_scan, op10_fm_index)}
 
 OP10_SQL = r"""
 WITH w AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark),
