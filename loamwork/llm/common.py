@@ -74,6 +74,14 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("rid", "text"), named
 
 
+def with_rid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with a unique column __rid: the id itself, or a number where ids are null or repeated."""
+    if not docs.groupBy(id_col).count().filter(f"{id_col} IS NULL OR count > 1").limit(1).take(1):
+        return docs.withColumn("__rid", F.col(id_col).cast("long"))
+    rows = docs.repartitionByRange(id_col, "text").sortWithinPartitions(id_col, "text")
+    return staged(rows.withColumn("__rid", F.monotonically_increasing_id()), "rids")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import doc_rows, staged
+from .common import doc_rows, staged, with_rid
 
 WINDOW, SAMPLE = 13, 8
 BLOCK_BYTES = 8 << 20
@@ -236,23 +236,38 @@ def merge_spans(spans):
     )
 
 
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
+
+
+def blocks_of(items: DataFrame, block_bytes: int) -> int:
+    return -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
+
+
+def block_phrases(items: DataFrame, k: int, blocks: int, window: int):
+    """The test windows of block k, sent to the executors; a block's bytes are bounded."""
+    block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).sort("item_id", "text").collect()
+    return items.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block], window))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items): merged removal spans in words, and the items found."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    items = items_of(benchmark)
+    blocks = blocks_of(items, block_bytes)
     if blocks == 1:
         rows, named = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string")), lambda out: out.withColumnRenamed("rid", "doc_id")
     else:
         rows, named = doc_rows(docs)
     out = None
     for k in range(blocks):
-        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).sort("item_id", "text").collect()]  # a block's bytes are bounded
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(Phrases(block, window))), OUT)
-        out = found if out is None else out.unionByName(staged(found, "hits"))
+        found = rows.mapInArrow(_search(block_phrases(items, k, blocks, window)), OUT)
+        if blocks > 1:
+            found = staged(found, "hits")
+        out = found if out is None else out.unionByName(found)
     if blocks > 1:
-        out = out.groupBy("rid").agg(F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+        spans = merge_spans(F.flatten(F.collect_list(F.coalesce("spans", none))))
+        out = out.groupBy("rid").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("items", F.array().cast("array<string>")))))).alias("items"))
     return named(out)
 
 
@@ -269,3 +284,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated.
+
+    One block of items needs no shuffle; several meet by document.
+    """
+    items = items_of(benchmark)
+    if blocks_of(items, block_bytes) > 1:
+        rows = with_rid(docs)
+        bad = contamination(rows.select(F.col("__rid").alias("doc_id"), "text"), benchmark, window, block_bytes, share).filter("contaminated")
+        return rows.join(bad.select(F.col("doc_id").alias("__bad")).hint("merge"), F.col("__rid") == F.col("__bad"), "left_anti").select(*docs.columns)
+    shared = block_phrases(items, 0, 1, window)
+
+    def run(batches):
+        phrases = shared.value
+        for rb in batches:
+            raw, offs = B.buffer_of(rb.column("text"))
+            n_words, row, first, which = shard_hits(phrases, raw, offs)
+            hit = np.zeros(rb.num_rows, dtype=np.int64)
+            size = phrases.sizes[which] if len(which) else which
+            at = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            own = np.repeat(row, size)
+            if len(own):
+                hit = np.bincount(np.unique(np.stack((own, at)), axis=1)[0], minlength=rb.num_rows)
+            yield rb.filter(pa.array(~((hit > 0) & (share * hit >= n_words))))
+
+    return docs.mapInArrow(run, docs.schema)

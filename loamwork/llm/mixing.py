@@ -91,14 +91,33 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return join_checked(goals, done, ["source"]).select("source", "source_size", "target", "q", F.coalesce("tau", F.lit(1 << HASH_BITS)).alias("tau"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, repeats, taken) for every row of docs."""
+def plan_of(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """(sizes of the rows, one row per source with its target and threshold), both staged."""
     sizes = staged(sizes_of(docs, seed), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = staged(thresholds(sizes, targets(totals, weights, epochs)), "plan")
-    out = join_checked(sizes, plan, ["source"], "inner")
-    repeats = F.least(F.col("q") + (F.col("h") < F.col("tau")).cast("long"), F.lit(epochs))
-    return out.withColumn("repeats", repeats).select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return sizes, staged(thresholds(sizes, targets(totals, weights, epochs)), "plan")
+
+
+def repeats_of(h, epochs: int):
+    return F.least(F.col("q") + (h < F.col("tau")).cast("long"), F.lit(epochs))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, repeats, taken) for every row of docs."""
+    sizes, plan = plan_of(docs, weights, epochs, seed)
+    out = join_checked(sizes, plan, ["source"], "inner").withColumn("repeats", repeats_of(F.col("h"), epochs))
+    return out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes each.
+
+    Texts stay where they are: sources' thresholds come to them.
+    """
+    plan = plan_of(docs, weights, epochs, seed)[1].select(F.col("source").alias("__source"), F.col("q"), F.col("tau"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("__source"), hash60(seed).alias("__h"))
+    out = join_checked(rows, plan, ["__source"], "inner").withColumn("__n", repeats_of(F.col("__h"), epochs).cast("int"))
+    return out.filter("__n > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select("__row.*")
 
 
 def oracle(weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 
-SHARE, MAX_DOCS, MAX_LINES = 0.5, 1500, 64
+SHARE, MAX_DOCS, MAX_LINES = 0.35, 1500, 64
 MIN_WORDS = 50
 #: Lines of a batch are decoded in groups of documents of about so many bytes.
 FEATURES = ("bias", "short", "long", "symbols", "pipes", "shouting", "capitals", "digits", "stutter", "repeats", "copy", "no_stop")
@@ -238,22 +238,27 @@ def train_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, ma
     return Field.trained([(g, np.array(x, dtype=np.float64).reshape(-1, len(FEATURES))) for g, x in rows])
 
 
+def verdicts(texts: pa.Array, field: Field, share: float, min_words: int):
+    """(counts by name, base_failed, kept) of a column of texts."""
+    raw, offs = B.buffer_of(texts)
+    parts = []
+    for lo, hi in B.slabs(offs):
+        base, row, words, x = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        content = field.decode(x, row) == 0
+        base["content_words"] = np.bincount(row, words * content, minlength=hi - lo).astype(np.int64)
+        base["n_lines"] = np.bincount(row, minlength=hi - lo)
+        parts.append(base)
+    c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+    return c, failed, ~failed & (c["content_words"] >= share * c["n_words"])
+
+
 def _judge(field: Field, share: float, min_words: int):
     def run(batches):
         for rb in batches:
-            raw, offs = B.buffer_of(rb.column(1))
-            parts = []
-            for lo, hi in B.slabs(offs):
-                base, row, words, x = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                content = field.decode(x, row) == 0
-                base["content_words"] = np.bincount(row, words * content, minlength=hi - lo).astype(np.int64)
-                base["n_lines"] = np.bincount(row, minlength=hi - lo)
-                parts.append(base)
-            if not parts:
+            if not rb.num_rows:
                 continue
-            c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-            kept = ~failed & (c["content_words"] >= share * c["n_words"])
+            c, failed, kept = verdicts(rb.column(1), field, share, min_words)
             yield B.batch(OUT_PA, rb.column(0), *(B.long_col(c[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), B.long_col(c["content_words"]), B.long_col(c["n_lines"]))
 
     return run
@@ -263,3 +268,15 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE
     """One row per row of docs: the base counts, base_failed, kept, content_words, n_lines."""
     field = train_field(docs, labels, max_docs, max_lines) if labels is not None else Field()
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judge(field, share, min_words), OUT)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, that `judge` keeps; nothing is shuffled."""
+    field = train_field(docs, labels) if labels is not None else Field()
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                yield rb.filter(pa.array(verdicts(rb.column("text"), field, share, min_words)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import staged
+from .common import staged, with_rid
 
 BITS, SHINGLE, SEED, LONG_LIST = 4, 4, 42, 256
 PIECE = 1 << 16
@@ -155,3 +155,11 @@ def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r2")
     of = rooted.join(lows.hint("merge"), F.col("root") == F.col("r2")).select(F.col("fp").alias("fp2"), "component_id")
     return marked.join(of.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+    """The rows of docs, with all their columns, that come first (by doc_id) in their component."""
+    rows = with_rid(docs)
+    found = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), long_list)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first"))
+    return rows.join(first.hint("merge"), F.col("__rid") == F.col("__first"), "left_semi").select(*docs.columns)
