@@ -1,6 +1,757 @@
-"""Registered queries of the library's own operators, each beside its SQL."""
+"""Registered queries of the library's own operators, each beside its DuckDB SQL.
+
+A query is (spark, sf_dir) -> DataFrame over the whole given tables, or over tables derived
+from them (`plans.derived`).  Queries whose results SQL can't express have no SQL and are
+tested against hand-made or brute-force results.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import assembly, checks, cleaning, documents, fusion, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
+from .plans import pipeline
+from .plans.derived import spark_table, with_derived
+from .sources import readers
+from .streaming import jobs
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, derived: tuple[str, ...] = ()):
+    """Register fn(get) under its name; get(name) is a given or derived table."""
+
+    def add(fn):
+        from .plans.derived import DERIVED
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(lambda n: spark_table(spark, sf_dir, n) if n in DERIVED else table(spark, sf_dir, n))
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLES[fn.__name__] = with_derived(sql, *derived) if derived else sql
+        return fn
+
+    return add
+
+
+def union(parts: list[str]) -> str:
+    return " UNION ALL ".join(parts)
+
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINE_NUMBERS = LINEITEM[:8]
+
+
+def stats_sql(tab: str, cols: list[str]) -> str:
+    return union([f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, round(max({c})::DOUBLE, 4) AS max FROM {tab}" for c in cols])
+
+
+# ---------------------------------------------------------------- profiles
+
+
+@query(union([f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS null_count, round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_pct, count(DISTINCT {c}) AS unique_count, round(100.0 * count(DISTINCT {c}) / count(*), 6) AS unique_pct FROM lineitem" for c in LINEITEM]))
+def profile_nulls(get):
+    return profile.nulls_distinct(get("lineitem"))
+
+
+@query(stats_sql("lineitem", LINE_NUMBERS))
+def profile_numeric(get):
+    return profile.numeric_stats(get("lineitem"))
+
+
+@query(
+    union([f"SELECT '{c}' AS column_name, rank, value, n FROM (SELECT {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5" for c in ("o_orderstatus", "o_orderpriority")])
+)
+def profile_topk(get):
+    return profile.top_values(get("orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query(union([f"SELECT '{c}' AS column_name, round(avg(length({c})), 6) AS avg_length, max(length({c})) AS max_length, count(*) FILTER ({c} = '') AS empty_strings, count(*) FILTER (regexp_matches({c}, '^\\s|\\s$')) AS whitespace_issues FROM documents" for c in ("text", "lang", "source")]))
+def profile_strings(get):
+    return profile.string_stats(get("documents"))
+
+
+@query("SELECT * FROM (" + union([f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1 :]]) + ")")
+def correlations(get):
+    return profile.correlations(get("lineitem"))
+
+
+@query("SELECT 'value' AS column_name, round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis FROM events")
+def moments(get):
+    return profile.shape(get("events"), ["value"])
+
+
+@query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
+SELECT least(greatest(ceil((value - lo) / ((hi - lo) / 10)), 1), 10)::BIGINT AS bin, count(*) AS n FROM events, e GROUP BY 1""")
+def histogram10(get):
+    return profile.histogram(get("events"), "value")
+
+
+@query("SELECT round((count(c_custkey) + count(c_acctbal) + count(c_mktsegment) + count(c_nationkey)) / (4.0 * count(*)), 6) AS completeness FROM dirty_customer", ("dirty_customer",))
+def completeness(get):
+    return profile.completeness(get("dirty_customer")).select(F.round("completeness", 6).alias("completeness"))
+
+
+@query("SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_distinct, sum(n - 1)::BIGINT AS n_duplicates FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)")
+def duplicate_rows(get):
+    return profile.duplicate_rows(get("documents"), ["text", "lang"])
+
+
+@query("""WITH p AS (SELECT 'c_custkey' AS column_name, false AS texts, count(*) AS n, count(c_custkey) AS f, count(DISTINCT c_custkey) AS u FROM dirty_customer
+ UNION ALL SELECT 'c_acctbal', false, count(*), count(c_acctbal), count(DISTINCT c_acctbal) FROM dirty_customer
+ UNION ALL SELECT 'c_mktsegment', true, count(*), count(c_mktsegment), count(DISTINCT c_mktsegment) FROM dirty_customer
+ UNION ALL SELECT 'c_nationkey', false, count(*), count(c_nationkey), count(DISTINCT c_nationkey) FROM dirty_customer
+ UNION ALL SELECT 'one', true, count(*), count(*), 1 FROM dirty_customer)
+SELECT column_name, 'high_missing' AS insight FROM p WHERE 100.0 * (n - f) / n > 20
+UNION ALL SELECT column_name, 'high_cardinality' FROM p WHERE texts AND 100.0 * u / n > 95
+UNION ALL SELECT column_name, 'constant' FROM p WHERE u = 1""", ("dirty_customer",))
+def insights(get):
+    return profile.insights(get("dirty_customer").withColumn("one", F.lit("x")))
+
+
+@query("SELECT dtype, count(*) AS n FROM (VALUES ('bigint'), ('bigint'), ('bigint'), ('int'), ('double'), ('double'), ('double'), ('double'), ('string'), ('string'), ('timestamp_ntz')) t(dtype), (SELECT count(*) AS c FROM lineitem) GROUP BY dtype")
+def type_histogram(get):
+    return profile.type_histogram(get("lineitem"))
+
+
+@query("SELECT 1.0 - avg(CASE WHEN abs(c) > 0.9 THEN 1.0 ELSE 0.0 END) AS redundancy FROM (" + union([f"SELECT corr({a}, {b}) AS c FROM lineitem" for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1 :]]) + ")")
+def redundancy(get):
+    return profile.redundancy(get("lineitem"))
+
+
+@query("SELECT l_extendedprice, l_partkey, l_orderkey, l_returnflag, l_linestatus, l_shipdate FROM lineitem")
+def variance_topk(get):
+    return profile.variance_top_k(get("lineitem"), k=3, threshold=5)
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1), n AS (SELECT v, row_number() OVER (ORDER BY day) AS pos FROM d)
+SELECT round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(regr_slope(v, pos), 4) AS slope FROM n""")
+def trend(get):
+    d = get("events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    t = profile.trend(joins.positioned(d, ["day"], "pos"), "v", "pos")
+    return t.select(*[F.round(c, 4).alias(c) for c in t.columns])
+
+
+@query("SELECT o_orderpriority, count(o_orderkey) AS n, round(avg(o_totalprice), 4) AS mean_price, max(o_totalprice) AS top_price FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def group_aggregate(get):
+    d = profile.group_aggregate(get("orders"), ["o_orderpriority"], {"n": ("o_orderkey", "count"), "mean_price": ("o_totalprice", "avg"), "top_price": ("o_totalprice", "max")})
+    return d.withColumn("mean_price", F.round("mean_price", 4))
+
+
+ISSUES_SQL = """WITH i AS (SELECT CASE WHEN status = 'failed' THEN 'invalid_values' ELSE 'outliers' END AS issue_type, CASE WHEN execution_time_seconds > 100 THEN 'high' ELSE 'low' END AS severity, concat('p', pipeline_id::VARCHAR) AS column_name FROM executions)
+SELECT 'issue_type' AS dimension, issue_type AS value, count(*) AS n FROM i GROUP BY issue_type UNION ALL SELECT 'severity', severity, count(*) FROM i GROUP BY severity UNION ALL SELECT 'column_name', column_name, count(*) FROM i GROUP BY column_name"""
+
+
+@query(ISSUES_SQL, ("executions",))
+def issue_summary(get):
+    i = get("executions").select(F.when(F.col("status") == "failed", "invalid_values").otherwise("outliers").alias("issue_type"), F.when(F.col("execution_time_seconds") > 100, "high").otherwise("low").alias("severity"), F.concat(F.lit("p"), F.col("pipeline_id").cast("string")).alias("column_name"))
+    return profile.issue_summary(i)
+
+
+# ---------------------------------------------------------------- transforms, joins, orders
+
+
+@query("SELECT l_orderkey AS order_id, l_quantity AS qty, l_returnflag FROM lineitem WHERE l_quantity > 40 AND l_returnflag IN ('A', 'R')")
+def filter_select_rename(get):
+    d = transforms.filter_rows(get("lineitem"), "l_quantity > 40 & l_returnflag in ['A', 'R']")
+    return transforms.rename(transforms.select(d, ["l_orderkey", "l_quantity", "l_returnflag"]), {"l_orderkey": "order_id", "l_quantity": "qty", "nothing": "x"})
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, total_text FROM dirty_orders", ("dirty_orders",))
+def safe_cast(get):
+    d = get("dirty_orders").select("o_orderkey", "total_text")
+    return transforms.cast(d, {"o_orderkey": "string", "total_text": "double"})
+
+
+@query()
+def hash_sample(get):
+    return transforms.sample_by_hash(get("events"), ["event_id"], 1000).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS bal, NULL::INTEGER AS size FROM customer UNION ALL SELECT p_partkey, p_name, NULL, p_size FROM part")
+def union_by_name(get):
+    return ordering.union_all([get("customer").selectExpr("c_custkey AS key", "c_name AS name", "c_acctbal AS bal"), get("part").selectExpr("p_partkey AS key", "p_name AS name", "p_size AS size")])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def dedup_keep_first(get):
+    d = cleaning.remove_duplicates(get("lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) > 1 AS is_repeat FROM lineitem")
+def mark_repeats(get):
+    return ordering.mark_repeats(get("lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "is_repeat")
+
+
+@query("SELECT doc_id, source, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5)::BIGINT AS batch_index, ceil(count(*) OVER (PARTITION BY source) / 5.0)::BIGINT AS batch_total FROM documents")
+def batch_assign(get):
+    return ordering.batches(get("documents").select("doc_id", "source"), 5, ["doc_id"], ["source"])
+
+
+@query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) / 1000)::BIGINT AS batch_index, (SELECT ceil(count(*) / 1000.0)::BIGINT FROM orders) AS batch_total FROM orders")
+def batch_whole_table(get):
+    return ordering.batches(get("orders").select("o_orderkey", "o_orderdate"), 1000, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("SELECT pipeline_id, arg_max(execution_id, ts) AS execution_id FROM executions WHERE status = 'completed' GROUP BY pipeline_id", ("executions",))
+def latest_completed(get):
+    return ordering.latest(get("executions").filter("status = 'completed'"), ["pipeline_id"], "execution_id", "ts")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def newest_page(get):
+    return ordering.newest(get("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20, 40, ["o_orderkey"])
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def distinct_rows(get):
+    return ordering.distinct(get("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%1%' OR p_type ILIKE '%an%'")
+def search_parts(get):
+    d = get("part").select("p_partkey", "p_name", "p_type")
+    return ordering.search(d, "1", ["p_name"]).unionByName(ordering.search(d, "AN", ["p_type"])).dropDuplicates()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+def paged_read(get):
+    return readers.page(get("orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100, 50)
+
+
+@query("SELECT c_custkey, c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def join_step(get):
+    o = get("orders").selectExpr("o_custkey AS c_custkey", "o_orderkey")
+    return pipeline.run([{"name": "j", "type": "join", "depends_on": ["c", "o"], "config": {"inputs": ["c", "o"], "keys": ["c_custkey"], "how": "left"}}], o, {"c": get("customer").select("c_custkey", "c_mktsegment"), "o": o})["j"]
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS p FROM customer), b AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier)
+SELECT c_custkey, c_acctbal AS v_left, s_suppkey, s_acctbal AS v_right FROM a FULL JOIN b USING (p)""")
+def align_positions(get):
+    return joins.column_concat(get("customer").selectExpr("c_custkey", "c_acctbal AS v"), get("supplier").selectExpr("s_suppkey", "s_acctbal AS v"), (["c_custkey"], ["s_suppkey"]))
+
+
+@query("SELECT o_orderkey, o_custkey FROM dirty_orphans WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)", ("dirty_orphans",))
+def referential(get):
+    return joins.orphans(get("dirty_orphans"), get("customer"), "o_custkey", "c_custkey")
+
+
+@query("""SELECT a.p_partkey AS key_a, b.p_partkey AS key_b, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6""")
+def fuzzy_parts(get):
+    p = get("part").select("p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_type", "p_size").alias("k"))
+    a, b = p.selectExpr("p_partkey AS key_a", "p_name AS name_a", "k AS k_a"), p.selectExpr("p_partkey AS key_b", "p_name AS name_b", "k AS k_b")
+    longest = F.greatest(F.length("name_a"), F.length("name_b"))
+    score = 1 - F.levenshtein("name_a", "name_b") / longest
+    d = a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("key_a") < F.col("key_b"))).withColumn("similarity", score)
+    return d.filter("similarity >= 0.6").select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT n_nationkey, n_name, array_to_string(list_sort(list(s_suppkey) FILTER (s_suppkey IS NOT NULL)), ',') AS files, count(s_suppkey) AS n_files FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1, 2")
+def catalog_join(get):
+    files = get("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    d = joins.catalog_join(get("nation").select("n_nationkey", "n_name"), files, "n_nationkey", "s_suppkey")
+    return d.withColumn("files", F.array_join("files", ","))
+
+
+@query("WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) SELECT event_id, round((value - m) / s, 4) AS z FROM events, s WHERE abs((value - m) / s) > 3")
+def stats_attach(get):
+    d = joins.attach_stats(get("events").select("event_id", "value"), m=F.avg("value"), s=F.stddev_samp("value"))
+    return d.select("event_id", F.round((F.col("value") - F.col("m")) / F.col("s"), 4).alias("z"), ((F.col("value") - F.col("m")) / F.col("s")).alias("raw")).filter("abs(raw) > 3").drop("raw")
+
+
+# ---------------------------------------------------------------- quality checks
+
+MISSING_SQL = """SELECT 'missing_values' AS issue_type, CASE WHEN r > .5 THEN 'critical' WHEN r > .2 THEN 'high' WHEN r > .1 THEN 'medium' ELSE 'low' END AS severity, column_name, n AS n_affected, round(r, 6) AS ratio FROM (
+SELECT 'c_acctbal' AS column_name, count(*) - count(c_acctbal) AS n, (count(*) - count(c_acctbal)) / count(*)::DOUBLE AS r FROM dirty_customer UNION ALL
+SELECT 'c_mktsegment', count(*) - count(c_mktsegment), (count(*) - count(c_mktsegment)) / count(*)::DOUBLE FROM dirty_customer) WHERE n > 0"""
+
+
+def plain(found: DataFrame) -> DataFrame:
+    return found.select("issue_type", "severity", "column_name", "n_affected", F.round("ratio", 6).alias("ratio"))
+
+
+@query(MISSING_SQL, ("dirty_customer",))
+def check_missing(get):
+    return plain(checks.check_missing(get("dirty_customer")))
+
+
+@query("""SELECT 'duplicates' AS issue_type, CASE WHEN sum(n - 1) / sum(n)::DOUBLE > .05 THEN 'high' ELSE 'medium' END AS severity, NULL::VARCHAR AS column_name, sum(n - 1)::BIGINT AS n_affected, round(sum(n - 1) / sum(n)::DOUBLE, 6) AS ratio
+FROM (SELECT count(*) AS n FROM dirty_customer GROUP BY c_custkey, c_acctbal, c_mktsegment, c_nationkey)""", ("dirty_customer",))
+def check_duplicates(get):
+    return plain(checks.check_duplicates(get("dirty_customer")))
+
+
+@query(union([f"SELECT 'duplicates' AS issue_type, 'critical' AS severity, '{c}' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM (SELECT count(*) - count(DISTINCT {c}) AS n, count(*) AS t FROM dirty_customer) WHERE n > 0" for c in ("c_custkey", "c_nationkey")]), ("dirty_customer",))
+def check_dup_ids(get):
+    return plain(checks.check_identifiers(get("dirty_customer")))
+
+
+OUTLIER_SQL = """WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, .25) AS q1, quantile_cont(value, .75) AS q3, count(*) AS n FROM events),
+c AS (SELECT count(*) FILTER (abs((value - m) / s) > 3) AS z, count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS f, any_value(n) AS n FROM events, s)
+SELECT 'outliers' AS issue_type, 'medium' AS severity, 'value' AS column_name, z AS n_affected, round(z / n::DOUBLE, 6) AS ratio FROM c WHERE z > 0 UNION ALL SELECT 'outliers', 'low', 'value', f, round(f / n::DOUBLE, 6) FROM c WHERE f > 1.5 * z"""
+
+
+@query(OUTLIER_SQL)
+def check_outliers(get):
+    return plain(checks.check_outliers(get("events"), ["value"]))
+
+
+@query("""WITH d AS (SELECT count(*) AS n, count(*) FILTER (order_date_text = 'invalid') AS un, count(*) FILTER (total_text = 'n/a') AS bad FROM dirty_orders)
+SELECT 'inconsistent_formats' AS issue_type, 'medium' AS severity, 'order_date_text' AS column_name, un AS n_affected, round(un / n::DOUBLE, 6) AS ratio FROM d UNION ALL SELECT 'inconsistent_formats', 'high', 'total_text', bad, round(bad / n::DOUBLE, 6) FROM d""", ("dirty_orders",))
+def check_dates_numbers(get):
+    return plain(checks.check_formats(get("dirty_orders").select("order_date_text", "total_text")))
+
+
+@query("""WITH v AS (SELECT c_mktsegment AS v FROM dirty_customer WHERE c_mktsegment IS NOT NULL), w AS (SELECT count(*) FILTER (v <> trim(v)) AS n, count(*) AS t FROM v),
+g AS (SELECT sum(k) AS t, sum(k) FILTER (k > 1) AS n FROM (SELECT count(DISTINCT v) AS k FROM v GROUP BY lower(v)))
+SELECT 'inconsistent_formats' AS issue_type, 'low' AS severity, 'c_mktsegment' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM w UNION ALL SELECT 'inconsistent_formats', 'medium', 'c_mktsegment', n::BIGINT, round(n / t::DOUBLE, 6) FROM g""", ("dirty_customer",))
+def check_whitespace_case(get):
+    return plain(checks.check_formats(get("dirty_customer")))
+
+
+@query()
+def check_schema(get):
+    return plain(checks.check_schema(get("orders"), ["o_orderkey", "o_comment"], {"o_orderkey": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_custkey": "integer"}))
+
+
+
+@query("SELECT * FROM (" + union([f"SELECT 'text' AS column_name, '{t}' AS pii_type, count(*) FILTER (regexp_matches(text, '{p}')) AS n FROM documents" for t, p in checks.PII.items()]) + ") WHERE n > 0")
+def check_pii(get):
+    return checks.pii_counts(get("documents"), ["text"])
+
+
+@query("""SELECT 'business_rule_violations' AS issue_type, 'high' AS severity, column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM (
+SELECT 'c_acctbal' AS column_name, count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) AS n, count(*) AS t FROM dirty_customer UNION ALL
+SELECT 'c_mktsegment', count(*) FILTER (NOT coalesce(regexp_matches(c_mktsegment, '^(?:[A-Z]+$)'), false)), count(*) FROM dirty_customer UNION ALL
+SELECT 'c_nationkey', count(*) FILTER (c_nationkey NOT IN (1, 2, 3)), count(*) FROM dirty_customer UNION ALL
+SELECT 'c_custkey', count(*) FILTER (NOT coalesce(c_custkey > c_nationkey, true)), count(*) FROM dirty_customer) WHERE n > 0""", ("dirty_customer",))
+def check_rules(get):
+    rules = [{"type": "range", "column": "c_acctbal", "min": 0, "max": 9000}, {"type": "regex", "column": "c_mktsegment", "pattern": "[A-Z]+$"}, {"type": "enum", "column": "c_nationkey", "values": [1, 2, 3]}, {"type": "predicate", "column": "c_custkey", "condition": "c_custkey > c_nationkey"}]
+    return plain(checks.check_rules(get("dirty_customer"), rules))
+
+
+@query("""WITH w AS (SELECT sum(w) AS w, count(*) AS n, count(*) FILTER (sev = 'critical') AS c FROM (
+SELECT CASE WHEN r > .5 THEN 10.0 WHEN r > .2 THEN 5.0 WHEN r > .1 THEN 2.0 ELSE 1.0 END AS w, CASE WHEN r > .5 THEN 'critical' ELSE 'x' END AS sev FROM (SELECT (count(*) - count(c_acctbal)) / count(*)::DOUBLE AS r FROM dirty_customer UNION ALL SELECT (count(*) - count(c_mktsegment)) / count(*)::DOUBLE FROM dirty_customer) WHERE r > 0)),
+k AS (SELECT (count(c_custkey) + count(c_acctbal) + count(c_mktsegment) + count(c_nationkey)) / (4.0 * count(*)) AS completeness FROM dirty_customer)
+SELECT round(greatest(0, 100 - least(2 * w, 100)) * 0.8 + 20 * completeness, 4) AS overall_score, round(completeness, 6) AS completeness, n AS n_issues, c AS n_critical FROM w, k""", ("dirty_customer",))
+def quality_score(get):
+    d = get("dirty_customer")
+    s = checks.overall_score(d, checks.check_missing(d))
+    return s.withColumns({"overall_score": F.round("overall_score", 4), "completeness": F.round("completeness", 6)})
+
+
+@query("""SELECT column_name, greatest(0.0, 100 - 5 * w)::DOUBLE AS score FROM (
+SELECT 'c_acctbal' AS column_name, CASE WHEN r > .5 THEN 10 WHEN r > .2 THEN 5 WHEN r > .1 THEN 2 ELSE 1 END AS w FROM (SELECT (count(*) - count(c_acctbal)) / count(*)::DOUBLE AS r FROM dirty_customer) UNION ALL
+SELECT 'c_mktsegment', CASE WHEN r > .5 THEN 10 WHEN r > .2 THEN 5 WHEN r > .1 THEN 2 ELSE 1 END FROM (SELECT (count(*) - count(c_mktsegment)) / count(*)::DOUBLE AS r FROM dirty_customer) UNION ALL SELECT 'c_custkey', 0 UNION ALL SELECT 'c_nationkey', 0)""", ("dirty_customer",))
+def column_scores(get):
+    d = get("dirty_customer")
+    return checks.column_scores(d, checks.check_missing(d))
+
+
+@query()
+def full_validation(get):
+    return plain(checks.validate(get("dirty_customer"), {"required": ["c_email"]}, [{"type": "range", "column": "c_acctbal", "min": 0}]))
+
+
+@query()
+def validation_gate(get):
+    d = get("dirty_customer")
+    return checks.gate(checks.overall_score(d, checks.validate(d)))
+
+
+@query()
+def validation_advice(get):
+    return checks.recommendations(checks.validate(get("dirty_customer")))
+
+
+@query("""WITH d AS (SELECT * FROM dirty_customer), g AS (SELECT sum(n - 1) AS dup FROM (SELECT count(*) AS n FROM d GROUP BY c_custkey, c_acctbal, c_mktsegment, c_nationkey)), m AS (SELECT count(*) AS n, 4 * count(*) - count(c_custkey) - count(c_acctbal) - count(c_mktsegment) - count(c_nationkey) AS miss FROM d)
+SELECT round(greatest(0, 100 - 100.0 * (miss + dup * 4) / (n * 4)), 6)::DOUBLE AS quality_score, n AS n_rows, 4::BIGINT AS n_columns, miss::BIGINT AS missing_cells, dup::BIGINT AS duplicate_rows FROM m, g""", ("dirty_customer",))
+def task_quality(get):
+    return task_checks.task_quality(get("dirty_customer"))[1]
+
+
+@query("""WITH d AS (SELECT * FROM dirty_customer), g AS (SELECT sum(n - 1) AS dup FROM (SELECT count(*) AS n FROM d GROUP BY c_custkey, c_acctbal, c_mktsegment, c_nationkey)), m AS (SELECT count(*) AS n, 4 * count(*) - count(c_custkey) - count(c_acctbal) - count(c_mktsegment) - count(c_nationkey) AS miss FROM d)
+SELECT round(100 - 30.0 * miss / (4 * n) - 20.0 * dup / n, 2)::DOUBLE AS overall_score, n AS n_rows, 4::BIGINT AS n_columns FROM m, g""", ("dirty_customer",))
+def dataset_quality(get):
+    return task_checks.dataset_quality(get("dirty_customer"))[0]
+
+
+@query("""SELECT * FROM (SELECT 'not_null' AS rule, 'c_acctbal' AS column_name, count(*) - count(c_acctbal) AS n_violations FROM dirty_customer UNION ALL SELECT 'unique', 'c_custkey', count(*) - count(DISTINCT c_custkey) FROM dirty_customer
+UNION ALL SELECT 'range', 'c_acctbal', count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) FROM dirty_customer UNION ALL SELECT 'regex', 'c_mktsegment', count(*) FILTER (NOT coalesce(regexp_matches(c_mktsegment, '^(?:[A-Z])'), false)) FROM dirty_customer)""", ("dirty_customer",))
+def validate_rules(get):
+    return task_checks.validate_rules(get("dirty_customer"), [{"type": "not_null", "column": "c_acctbal"}, {"type": "unique", "column": "c_custkey"}, {"type": "range", "column": "c_acctbal", "min": 0, "max": 9000}, {"type": "regex", "column": "c_mktsegment", "pattern": "[A-Z]"}])
+
+
+@query("""SELECT * FROM (SELECT 'error' AS level, 'missing_column' AS kind, 'c_email' AS column_name, 1::BIGINT AS n UNION ALL SELECT 'warning', 'extra_column', 'c_nationkey', 1 UNION ALL SELECT 'warning', 'type', 'c_mktsegment', 1
+UNION ALL SELECT 'error', 'unique', 'c_custkey', count(*) - count(DISTINCT c_custkey) FROM dirty_customer UNION ALL SELECT 'error', 'not_null', 'c_acctbal', count(*) - count(c_acctbal) FROM dirty_customer UNION ALL SELECT 'error', 'range', 'c_acctbal', count(*) FILTER (c_acctbal < 0) FROM dirty_customer) WHERE n > 0""", ("dirty_customer",))
+def schema_constraints(get):
+    spec = {"required": ["c_custkey", "c_email"], "columns": {"c_custkey": {"type": "integer", "unique": True}, "c_acctbal": {"type": "float", "not_null": True, "min": 0}, "c_mktsegment": {"type": "integer"}}}
+    return task_checks.schema_validation(get("dirty_customer"), spec)
+
+
+@query("SELECT count(*) AS n_rows, 6 AS n_columns, count(*) > 0 AS has_data FROM events")
+def row_count(get):
+    return task_checks.row_count(get("events"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, (doc_id % 2)::INT AS t, (doc_id % 8)::INT AS k FROM documents), s AS (SELECT doc_id, ((t > 0)::INT + (length(text) > 0)::INT + (k > 0)::INT) / 3.0 AS c, 0.4 * (t > 0)::INT + 0.3 * (length(text) > 100)::INT + 0.3 * (k > 5)::INT AS r FROM d)
+SELECT doc_id, round(c, 6)::DOUBLE AS completeness, round(r, 6)::DOUBLE AS richness, round(0.3 * c + 0.4 * r + 0.3, 6)::DOUBLE AS overall FROM s""")
+def document_quality(get):
+    d = get("documents").select("doc_id", "text", (F.col("doc_id") % 2).alias("n_tables"), (F.col("doc_id") % 8).alias("n_keys"))
+    return task_checks.document_quality(d).select("doc_id", *[F.round(c, 6).alias(c) for c in ("completeness", "richness", "overall")])
+
+
+# ---------------------------------------------------------------- cleaning and PII
+
+
+@query("SELECT c_custkey, upper(trim(c_mktsegment)) AS c_mktsegment FROM dirty_customer", ("dirty_customer",))
+def clean_strip_case(get):
+    d = get("dirty_customer").select("c_custkey", "c_mktsegment")
+    return cleaning.standardize_case(cleaning.strip_whitespace(d), "upper")
+
+
+@query()
+def title_case(get):
+    return get("documents").select("doc_id", F.md5(X.title(F.col("text"))).alias("title_md5"))
+
+
+@query("""WITH s AS (SELECT quantile_cont(c_acctbal, 0.5) AS m FROM dirty_customer), k AS (SELECT c_mktsegment AS v FROM dirty_customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT c_custkey, round(coalesce(c_acctbal, m), 4) AS c_acctbal, coalesce(c_mktsegment, v) AS c_mktsegment FROM dirty_customer, s, k""", ("dirty_customer",))
+def fill_median_mode(get):
+    return cleaning.fill_missing(get("dirty_customer").select("c_custkey", "c_acctbal", "c_mktsegment")).withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query("SELECT o_orderkey, TRY_CAST(total_text AS DOUBLE) AS total_text FROM dirty_orders", ("dirty_orders",))
+def fix_types(get):
+    return cleaning.fix_types(get("dirty_orders").select("o_orderkey", "total_text"), {"total_text": "numeric"})
+
+
+@query("WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) SELECT event_id, value FROM events, s WHERE abs((value - m) / s) <= 3")
+def remove_outliers(get):
+    return cleaning.remove_outliers(get("events").select("event_id", "value"), ["value"])
+
+
+@query("WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) SELECT event_id, value < m - 3 * s OR value > m + 3 * s AS value_outlier FROM events, s")
+def outlier_flag(get):
+    return cleaning.outliers(get("events").select("event_id", "value"), ["value"]).select("event_id", "value_outlier")
+
+
+@query("WITH s AS (SELECT quantile_cont(value, .25) AS a, quantile_cont(value, .75) AS b FROM events) SELECT event_id, round(least(greatest(value, a - 1.5 * (b - a)), b + 1.5 * (b - a)), 6) AS value FROM events, s")
+def outlier_cap(get):
+    return cleaning.outliers(get("events").select("event_id", "value"), ["value"], "iqr", "cap", 1.5).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey FROM (SELECT DISTINCT c_custkey, coalesce(round(c_acctbal, 2), round((SELECT avg(c_acctbal) FROM (SELECT DISTINCT * FROM dirty_customer)), 2)) AS c_acctbal, coalesce(trim(c_mktsegment), '') AS c_mktsegment, c_nationkey FROM dirty_customer)", ("dirty_customer",))
+def clean_task(get):
+    return cleaning.clean(get("dirty_customer")).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+HIT = " OR ".join(f"regexp_matches(note, '{checks.PII[t]}')" for t in pii_masking.DEFAULT_TYPES)
+
+
+@query(f"SELECT c_custkey, CASE WHEN {HIT} THEN concat(left(note, 1), repeat('*', length(note) - 2), right(note, 1)) ELSE note END AS note FROM dirty_contacts", ("dirty_contacts",))
+def pii_mask(get):
+    return pii_masking.mask(get("dirty_contacts"))
+
+
+@query(f"SELECT c_custkey, {HIT} AS note_has_pii FROM dirty_contacts", ("dirty_contacts",))
+def pii_flag(get):
+    return pii_masking.flag(get("dirty_contacts")).drop("note")
+
+
+def redact_sql(expr: str) -> str:
+    for t in ("ssn", "email", "phone", "credit_card"):
+        expr = f"regexp_replace({expr}, '{pii_masking.TASK_PII[t]}', '{pii_masking.TOKENS[t]}', 'g')"
+    return expr
+
+
+@query(f"SELECT c_custkey, {redact_sql('note')} AS note FROM dirty_contacts", ("dirty_contacts",))
+def pii_redact(get):
+    return pii_masking.redact(get("dirty_contacts"))
+
+
+@query("SELECT * FROM (" + union([f"SELECT 'note' AS column_name, '{t}' AS pii_type, count(*) FILTER (regexp_matches(note, '{p}')) AS n FROM dirty_contacts" for t, p in pii_masking.TASK_PII.items()]) + ") WHERE n > 0", ("dirty_contacts",))
+def pii_report(get):
+    return pii_masking.report(get("dirty_contacts"))
+
+
+# ---------------------------------------------------------------- documents, plans, assembly
+
+WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""SELECT doc_id, {WORDS} AS analysis_word_count, length(text) AS analysis_char_count, length(text) - length(replace(text, chr(10), '')) + 1 AS analysis_line_count,
+contains(lower(text), 'table') OR contains(text, '|') AS analysis_has_tables, contains(text, '#') OR contains(text, 'Chapter') OR contains(text, 'Section') OR contains(text, '1.') OR contains(text, '2.') AS analysis_has_sections FROM documents""")
+def content_analysis(get):
+    return documents.analyse(get("documents").select("doc_id", "text")).drop("text")
+
+
+TOTALS = "SELECT source, count(*) AS n_docs, sum(length(text) // 4)::BIGINT AS tokens, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source"
+
+
+@query(TOTALS)
+def token_totals(get):
+    return documents.token_totals(get("documents"), ["source"])
+
+
+@query(f"SELECT *, CASE WHEN n_docs = 1 OR tokens < 50000 THEN 'single' WHEN n_docs > 10 AND tokens / n_docs < 5000 THEN 'batch' WHEN tokens > 150000 THEN 'chunk' ELSE 'combine' END AS strategy FROM ({TOTALS.replace('source', 'lang')})")
+def strategy(get):
+    return documents.choose_strategy(documents.token_totals(get("documents"), ["lang"]))
+
+
+@query("SELECT source, count(*) AS n_docs, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY ROLLUP (source)")
+def collection_summary(get):
+    return documents.collection_summary(get("documents"))
+
+
+@query()
+def chunk_documents(get):
+    d = documents.chunk_documents(get("documents"), 200, "\n")
+    return d.select("doc_id", "chunk_index", "total_chunks", "tokens", F.md5("content").alias("content_md5"))
+
+
+@query()
+def combine_documents(get):
+    d = documents.pack_documents(get("documents"), ["source"], "doc_id", 20000)
+    return d.select("source", "bin", "n_docs", "tokens", F.md5("content").alias("content_md5"))
+
+
+@query("""WITH b AS (SELECT source, doc_id, text, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5)::BIGINT AS batch_index, ceil(count(*) OVER (PARTITION BY source) / 5.0)::BIGINT AS batch_total FROM documents)
+SELECT source, batch_index, batch_total, count(*) AS n_docs, md5(string_agg('=== ' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS content_md5 FROM b GROUP BY 1, 2, 3""")
+def batch_documents(get):
+    d = documents.batch_documents(get("documents"), ["source"], "doc_id")
+    return d.select("source", "batch_index", "batch_total", "n_docs", F.md5("content").alias("content_md5"))
+
+
+@query("""WITH c AS (SELECT source, string_agg('=== ' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source)
+SELECT source, CASE WHEN length(t) > 3000 THEN left(t, 3000) || '...' ELSE t END AS content FROM c""")
+def combined_content(get):
+    return documents.combined_content(get("documents").select("source", "doc_id", "text"), ["source"], "doc_id")
+
+
+ROWS_SQL = """CASE dataset_type WHEN 'qa_pairs' THEN least(5000, CASE WHEN chars > 10000 THEN greatest(100, chars // 150) WHEN chars > 5000 THEN greatest(50, chars // 120) WHEN chars > 2000 THEN greatest(30, chars // 100) ELSE greatest(20, chars // 80) END)
+WHEN 'classification' THEN least(5000, CASE WHEN chars > 10000 THEN greatest(150, chars // 120) WHEN chars > 5000 THEN greatest(80, chars // 100) ELSE greatest(30, chars // 80) END)
+WHEN 'ner' THEN least(2000, CASE WHEN chars > 10000 THEN greatest(80, chars // 200) WHEN chars > 5000 THEN greatest(50, chars // 180) ELSE greatest(20, chars // 150) END)
+WHEN 'summarization' THEN least(1000, CASE WHEN chars > 10000 THEN greatest(30, chars // 500) WHEN chars > 5000 THEN greatest(20, chars // 400) ELSE greatest(10, chars // 300) END)
+ELSE least(3000, CASE WHEN chars > 10000 THEN greatest(80, chars // 150) WHEN chars > 5000 THEN greatest(50, chars // 130) ELSE greatest(20, chars // 100) END) END"""
+TYPE_ROWS = "(VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]})" for k, v in documents.TYPES.items()) + ") k(dataset_type, overhead, prompt_tokens, row_tokens)"
+
+
+def cost_sql(totals: str) -> str:
+    return f"""a AS (SELECT t.*, k.*, tokens + prompt_tokens AS input_tokens, ({ROWS_SQL})::BIGINT AS rows FROM ({totals}) t, {TYPE_ROWS}), b AS (SELECT *, rows * row_tokens AS output_tokens FROM a)"""
+
+
+@query(f"WITH {cost_sql(TOTALS)} SELECT source, dataset_type, input_tokens, output_tokens, rows, round(input_tokens * 0.0002 + output_tokens * 0.0005, 4) AS total_cost, floor(input_tokens / 10000.0 + output_tokens / 1000.0 + 5)::BIGINT AS seconds FROM b")
+def cost_by_source(get):
+    d = documents.cost_estimate(documents.token_totals(get("documents"), ["source"]))
+    return d.select("source", "dataset_type", "input_tokens", "output_tokens", "rows", "total_cost", "seconds")
+
+
+@query(f"""WITH {cost_sql("SELECT source, count(*) AS n_docs, sum(length(text) // 4)::BIGINT AS tokens, sum(length(text) // 4)::BIGINT * 4 AS chars FROM documents GROUP BY source")},
+c AS (SELECT *, CASE WHEN tokens > 150000 THEN 'chunk' WHEN n_docs > 10 THEN 'batch' ELSE 'combine' END AS strategy FROM b), e AS (SELECT *, (CASE strategy WHEN 'chunk' THEN ceil(tokens / 50000.0) WHEN 'batch' THEN ceil(n_docs / 5.0) ELSE 1 END)::BIGINT AS chunks, round(input_tokens * 0.0002 + output_tokens * 0.0005, 4) AS one FROM c)
+SELECT source, dataset_type, strategy, chunks, round(CASE WHEN strategy = 'combine' THEN one ELSE one * 1.1 * chunks END, 3) AS total_cost FROM e""")
+def multi_doc_cost(get):
+    d = documents.multi_document_cost(documents.token_totals(get("documents"), ["source"]).drop("chars"))
+    return d.select("source", "dataset_type", "strategy", "chunks", F.round("total_cost", 3).alias("total_cost"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, greatest(1000, length(text) // 3) AS size, unnest(range(3)) AS batch FROM documents)
+SELECT doc_id, batch, md5(CASE WHEN n > 2 * size THEN substr(text, least(batch * size // 2, n - size) + 1, size) ELSE text END) AS content_md5 FROM d""")
+def windows(get):
+    return documents.windows(get("documents").select("doc_id", "text"), 3).select("doc_id", "batch", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT doc_id, left(md5(concat_ws(':', source, text)), 12) AS document_id FROM documents")
+def document_ids(get):
+    return documents.document_ids(get("documents"), "source", "text").select("doc_id", "document_id")
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(?:script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def document_extraction(get):
+    return readers.extract_documents(get("pages"))[0].select("page_id", F.md5("text_content").alias("text_md5"))
+
+
+@query("SELECT doc_id, batch_number, least(2 * length(text) // 100 + 1 - (batch_number - 1) * 100, 100)::BIGINT AS n_examples, md5(left(text, 3000)) AS content_md5 FROM (SELECT doc_id, text, unnest(range(1, greatest(ceil((2 * length(text) // 100 + 1) / 100.0), 1)::BIGINT + 1)) AS batch_number FROM documents)")
+def request_plan(get):
+    target = F.floor(2 * F.length("text") / 100) + 1
+    return assembly.request_plan(get("documents").select("doc_id", "text"), target, "qa_pairs").select("doc_id", "batch_number", "n_examples", F.md5("content").alias("content_md5"))
+
+
+@query("""SELECT doc_id, 'list' AS parsed_as, NULL::VARCHAR AS raw_content, unnest(['q' || doc_id, 'r']) AS question, unnest(['a', lang]) AS answer FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'data', NULL, 'q' || doc_id, source FROM documents WHERE doc_id % 5 = 1 UNION ALL SELECT doc_id, 'object', NULL, 'q' || doc_id, lang FROM documents WHERE doc_id % 5 = 2
+UNION ALL SELECT doc_id, 'lines', NULL, unnest(['q' || doc_id, 'next']), unnest([lang, source]) FROM documents WHERE doc_id % 5 = 3 UNION ALL SELECT doc_id, 'raw', 'plain ' || source, NULL, NULL FROM documents WHERE doc_id % 5 = 4""")
+def parse_responses(get):
+    return assembly.parse_responses(get("responses"))
+
+
+@query("SELECT conv_id, turn, text AS question, next AS answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'")
+def qa_pairs(get):
+    return assembly.qa_pairs(get("conversations"))
+
+
+@query("""WITH n AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM labels GROUP BY quality)), r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, quality FROM r, n WHERE rn <= k""")
+def balanced_labels(get):
+    return assembly.balanced_labels(get("documents"), get("labels")).select("doc_id", "quality")
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT 'email' AS label, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) FROM documents UNION ALL SELECT 'ip', unnest(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) FROM documents) GROUP BY label")
+def pattern_entities(get):
+    d = assembly.pattern_entities(get("documents"), {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"})
+    good = d.join(get("documents").select("doc_id", F.col("text").alias("whole")), "doc_id").filter(F.substr("whole", (F.col("start") + 1).cast("int"), F.length("text")) == F.col("text"))
+    return good.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def lead_summaries(get):
+    return assembly.lead_summaries(get("documents"))
+
+
+@query("SELECT doc_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM documents)")
+def split_80_10_10(get):
+    return assembly.split(get("documents"), ["doc_id"]).select("doc_id", "split")
+
+
+# ---------------------------------------------------------------- fusion and metrics
+
+
+@query("SELECT doc_id, d.lang AS docs_lang, d.n_chars AS docs_n_chars, l.quality AS labels_quality, l.toxic AS labels_toxic FROM documents d JOIN labels l USING (doc_id)")
+def fuse_early(get):
+    return fusion.early({"docs": get("documents").select("doc_id", "lang", "n_chars"), "labels": get("labels")}, ["doc_id"])
+
+
+@query("SELECT doc_id, d.n_chars * 0.5 AS docs_n_chars, l.quality * 2.0 AS labels_quality, l.toxic * 2.0 AS labels_toxic FROM documents d FULL JOIN labels l USING (doc_id)")
+def fuse_attention(get):
+    return fusion.attention({"docs": get("documents").select("doc_id", "n_chars"), "labels": get("labels")}, {"docs": 0.5, "labels": 2.0}, ["doc_id"])
+
+
+@query("SELECT user_id, e.v AS events_value, e.n AS events_rows, c.v AS customers_c_acctbal, c.n AS customers_rows FROM (SELECT user_id, round(avg(value), 4) AS v, count(*) AS n FROM events GROUP BY 1) e FULL JOIN (SELECT c_nationkey::BIGINT AS user_id, round(avg(c_acctbal), 4) AS v, count(*) AS n FROM customer GROUP BY 1) c USING (user_id)")
+def fuse_late(get):
+    d = fusion.late({"events": get("events").select("user_id", "value"), "customers": get("customer").select(F.col("c_nationkey").cast("long").alias("user_id"), "c_acctbal")}, ["user_id"])
+    return d.withColumns({c: F.round(c, 4) for c in ("events_value", "customers_c_acctbal")})
+
+
+@query("SELECT doc_id, length(text) AS text_length, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word_count FROM documents")
+def text_features(get):
+    return fusion.text_features(get("documents").select("doc_id", "text")).drop("text")
+
+
+@query("SELECT o_orderkey::VARCHAR AS entity_id, TRY_CAST(total_text AS DOUBLE) AS amount, NULL::VARCHAR AS category FROM dirty_orders", ("dirty_orders",))
+def target_schema(get):
+    d = get("dirty_orders").select(F.col("o_orderkey").alias("entity_id"), F.col("total_text").alias("amount"))
+    return fusion.to_schema(d, {"entity_id": "string", "amount": "double", "category": "string"})
+
+
+@query("""SELECT pipeline_id, count(*) AS executions, count(*) FILTER (status = 'completed') AS successful, count(*) FILTER (status = 'failed') AS failed, round(100 * avg((status = 'completed')::INT), 4) AS success_pct,
+round(avg(execution_time_seconds), 4) AS avg_seconds, round(avg(rows_processed), 4) AS avg_rows, round(avg(llm_cost_usd), 6) AS avg_cost, sum(rows_processed)::BIGINT AS total_rows FROM executions GROUP BY 1""", ("executions",))
+def performance(get):
+    return metrics.performance(get("executions"), ["pipeline_id"])
+
+
+USAGE_COST = "SELECT *, round(prompt_tokens / 1e6 * CASE provider WHEN 'anthropic' THEN 3.0 WHEN 'openai' THEN 10.0 WHEN 'google' THEN 0.5 ELSE 1.0 END + completion_tokens / 1e6 * CASE provider WHEN 'anthropic' THEN 15.0 WHEN 'openai' THEN 30.0 WHEN 'google' THEN 1.5 ELSE 1.0 END, 6) AS cost_usd FROM llm_usage"
+
+
+@query(f"WITH u AS ({USAGE_COST}) SELECT provider, round(sum(cost_usd), 6) AS cost, count(*) AS n, round(100 * sum(cost_usd) / (SELECT sum(cost_usd) FROM u), 2) AS share_pct FROM u GROUP BY 1", ("llm_usage",))
+def cost_by_provider(get):
+    d = metrics.cost_by(metrics.llm_cost(get("llm_usage")), "provider")
+    return d.select("provider", "cost", "n", F.round("share_pct", 2).alias("share_pct"))
+
+
+@query(f"WITH u AS ({USAGE_COST}), d AS (SELECT CAST(ts AS DATE) AS bucket, sum(cost_usd) AS cost, count(*) AS n FROM u GROUP BY 1), r AS (SELECT unnest(range(min(bucket)::TIMESTAMP, max(bucket)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS bucket FROM d) SELECT bucket::VARCHAR AS bucket, round(coalesce(cost, 0), 6) AS cost, coalesce(n, 0) AS n FROM r LEFT JOIN d USING (bucket)", ("llm_usage",))
+def cost_timeline(get):
+    return metrics.cost_timeline(metrics.llm_cost(get("llm_usage"))).withColumn("bucket", F.col("bucket").cast("string"))
+
+
+@query(f"WITH u AS ({USAGE_COST}) SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS bucket, round(sum(cost_usd), 6) AS cost, count(*) AS n FROM u GROUP BY 1", ("llm_usage",))
+def cost_weekly(get):
+    return metrics.cost_timeline(metrics.llm_cost(get("llm_usage")), unit="week").withColumn("bucket", F.col("bucket").cast("string"))
+
+
+@query(f"WITH u AS ({USAGE_COST}) SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, provider, model, count(*) AS requests, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens, round(sum(cost_usd), 6) AS cost FROM u GROUP BY 1, 2, 3", ("llm_usage",))
+def daily_llm_usage(get):
+    return metrics.daily_usage(metrics.llm_cost(get("llm_usage"))).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (status = 'completed') AS successful, count(*) FILTER (status = 'failed') AS failed FROM executions GROUP BY 1", ("executions",))
+def daily_trend(get):
+    return metrics.daily_trend(get("executions")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT execution_id, pipeline_id FROM executions WHERE status = 'failed' ORDER BY ts DESC, execution_id LIMIT 10", ("executions",))
+def last_failures(get):
+    return metrics.last_failures(get("executions")).select("execution_id", "pipeline_id")
+
+
+@query("SELECT pipeline_id, round(sum(round(llm_cost_usd + round(execution_time_seconds / 3600 * 0.1, 6) + rows_processed * 0.0001 * 0.02 / 30, 4)), 2) AS total_cost FROM executions GROUP BY 1", ("executions",))
+def run_costs(get):
+    return metrics.run_cost(get("executions")).groupBy("pipeline_id").agg(F.round(F.sum("total_cost"), 2).alias("total_cost"))
+
+
+@query("SELECT status, CASE WHEN execution_time_seconds <= 1 THEN 1.0 WHEN execution_time_seconds <= 5 THEN 5.0 WHEN execution_time_seconds <= 10 THEN 10.0 WHEN execution_time_seconds <= 30 THEN 30.0 WHEN execution_time_seconds <= 60 THEN 60.0 WHEN execution_time_seconds <= 300 THEN 300.0 END::DOUBLE AS le, count(*) AS n FROM executions GROUP BY 1, 2", ("executions",))
+def duration_histogram(get):
+    return metrics.duration_histogram(get("executions"))
+
+
+# ---------------------------------------------------------------- streams (as batches) and pipelines
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n_rows, count(*) FILTER (value > 100) AS n_bad FROM events GROUP BY 1, 2")
+def quality_windows(get):
+    d = jobs.quality_counts(get("events").select("ts", "event_type", "value"), ["event_type"], "value > 100")
+    return d.select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n_rows", "n_bad")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY user_id""")
+def session_activity(get):
+    return jobs.sessions(get("events").select("user_id", "ts"), "user_id").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_events"))
+
+
+@query("SELECT event_id, concat_ws(',', CASE WHEN NOT value >= 1 THEN 'least' END, CASE WHEN NOT event_type <> 'error' THEN 'no_error' END) AS failed_rules FROM events")
+def checked_ingest(get):
+    return jobs.checked_ingest(get("events").select("event_id", "value", "event_type"), {"least": "value >= 1", "no_error": "event_type <> 'error'"}).select("event_id", "failed_rules")
+
+
+@query("SELECT user_id % 5 AS pipeline, event_type, count(event_id) AS n FROM events WHERE value > 10 AND event_type <> 'error' GROUP BY 1, 2")
+def step_pipeline(get):
+    steps = [
+        {"name": "keep", "type": "filter", "config": {"condition": "value > 10 & event_type != 'error'"}},
+        {"name": "key", "type": "custom", "config": {"fn": lambda d: d.withColumn("pipeline", F.col("user_id") % 5)}},
+        {"name": "sum", "type": "aggregate", "config": {"keys": ["pipeline", "event_type"], "aggs": {"n": ("event_id", "count")}}},
+    ]
+    return pipeline.run(steps, get("events"))["sum"]
+
+
+NEAR_SQL = """WITH d AS (SELECT min(doc_id) AS id, string_split_regex(trim(lower(text)), '\\s+') AS w FROM documents GROUP BY text),
+g AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS similarity FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8"""
+
+
+@query(NEAR_SQL)
+def near_duplicates(get):
+    """Pairs of documents of five-word shingle similarity 0.8 or more; equal texts stand for one."""
+    first = get("documents").filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    d = joins.minhash_pairs(first, "doc_id", "text")
+    return d.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, count(*) OVER (PARTITION BY lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1))) AS pages_of_host FROM pages")
+def pages_by_host(get):
+    host = F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1))
+    d = get("pages").select("page_id", host.alias("host"))
+    n = d.groupBy("host").agg(F.count("*").alias("pages_of_host"))
+    return d.join(n, "host")
+
