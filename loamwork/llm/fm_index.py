@@ -199,6 +199,7 @@ def shard_hits(phrases: Phrases, raw: np.ndarray, offs: np.ndarray):
 
 
 def _search(shared):
+    @B.tidy
     def run(batches):
         phrases = shared.value
         for rb in batches:
@@ -208,8 +209,8 @@ def _search(shared):
             items: list = [None] * rb.num_rows
             order = np.lexsort((first, row))
             row, first, which = row[order], first[order], which[order]
-            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-            for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(row)).tolist(), strict=True):
+            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist() if len(row) else []
+            for lo, hi in zip(cut, [*cut[1:], len(row)], strict=False):
                 merged: list = []
                 for s, e in zip(first[lo:hi].tolist(), (first[lo:hi] + phrases.sizes[which[lo:hi]]).tolist(), strict=True):
                     if merged and s <= merged[-1]["end"]:
@@ -298,6 +299,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         return rows.join(bad.select(F.col("doc_id").alias("__bad")).hint("merge"), F.col("__rid") == F.col("__bad"), "left_anti").select(*docs.columns)
     shared = block_phrases(items, 0, 1, window)
 
+    @B.tidy
     def run(batches):
         phrases = shared.value
         for rb in batches:
