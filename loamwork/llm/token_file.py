@@ -131,19 +131,20 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Words of ASCII and Latin letters but the apostrophe (contractions), the dotless and dotted i.
-PLAIN = re.compile("[\x21-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-#: The tokenizer's own split of such a word in lower case: letters, one digit, or neither.
-PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+#: What isn't ASCII or a Latin letter, and the apostrophe (contractions) and the i's with case rules.
+ODD = re.compile("[^\t-\r\x20-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: The tokenizer's own split of other text in lower case: letters, one digit, or neither.
+PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t-\r\x20a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, word by word.
+    """Ids of texts by the tokenizers library, part by part.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its words
     in turn, and a plain word's are those of its parts (for such words lower case is all that
-    its normaliser does).  Parts go to the library many at a time without its normaliser; the
-    last id of a part, and no other, is a word end.  All other words go through as they are.
+    its normaliser does).  New parts go to the library many at a time without its normaliser;
+    the last id of a part, and no other, is a word end.  Words with other characters go
+    through the tokenizer whole.
     """
 
     def __init__(self, name: str):
@@ -162,43 +163,52 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[bytes, bytes] = {}
-        self.known_parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def learn(self, words: set[bytes]) -> None:
-        split = {}
-        for w in words:
+    def keys(self, text: bytes) -> list[str]:
+        """The text's parts; a word that isn't plain is marked by a line feed before it."""
+        s = text.decode()
+        if not ODD.search(s) and not any(t in s for t in self.special):
+            return PARTS.findall(s.lower())
+        out = []
+        for w in text.split():
             s = w.decode()
-            if PLAIN.fullmatch(s) and not any(t in s for t in self.special):
-                split[w] = PARTS.findall(s.lower())
+            if ODD.search(s) or any(t in s for t in self.special):
+                out.append("\n" + s)
             else:
-                self.known[w] = self.ids(s).tobytes()
-        known = self.known_parts
-        new = list(set().union(*split.values()).difference(known))
-        groups = [new[i : i + 512] for i in range(0, len(new), 512)]
+                out += PARTS.findall(s.lower())
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        known = self.known
+        parts = []
+        for x in new:
+            if x[0] == "\n":
+                known[x] = self.ids(x[1:]).tobytes()
+            else:
+                parts.append(x)
+        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
         for g, e in zip(groups, self.parts.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             flat, at = ids.tobytes(), 0
             for w, e in zip(g, ends, strict=True):
-                known[w] = flat[4 * at : 4 * e]
+                known[w] = flat[at:e]
                 at = e
-        for w, parts in split.items():
-            self.known[w] = b"".join([known[x] for x in parts])
-
-    def of(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Little-endian 32-bit ids of texts given as words."""
-        for cache in (self.known, self.known_parts):
-            if len(cache) > CACHE:
-                cache.clear()
-        new = set().union(*texts).difference(self.known)
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of texts."""
+        split = [self.keys(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
         if new:
-            self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in texts]
+            self.learn(list(new))
+        get = self.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -216,11 +226,12 @@ def token_batches(batches, name: str, end_id: int):
         ids = rb.column(0).to_pylist()
         for lo, hi in B.slabs(offs, TEXT_SLAB):
             cut = offs[lo : hi + 1].tolist()
-            texts = encoder.of([flat[x:y].split() for x, y in zip(cut[:-1], cut[1:], strict=True)])
+            texts = encoder.of([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)])
             yield ids[lo:hi], [t + end for t in texts]
 
 
 def _write(name: str, end_id: int):
+    @B.tidy
     def run(batches):
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         held_ids, held = [], []
@@ -270,7 +281,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     totals = files.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     # one row per shard
     bases = staged(totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base")), "bases")
-    docs = join_checked(files.mapInArrow(_read, DOC), bases, ["shard"], "inner")
+    docs = join_checked(files.mapInArrow(B.tidy(_read), DOC), bases, ["shard"], "inner")
     return docs.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
