@@ -164,6 +164,8 @@ def pii_counts(df: DataFrame, columns: list[str] | None = None, patterns: dict[s
     """column_name, pii_type, n of every column and type with hits; a full scan in one aggregate."""
     cols, patterns = columns or M.strings(df), patterns or PII
     keys = [(c, t) for c in cols for t in patterns]
+    if not keys:
+        return df.sparkSession.createDataFrame([], "column_name string, pii_type string, n long")
     row = df.agg(*[F.coalesce(F.sum(F.rlike(F.col(f"`{c}`"), F.lit(patterns[t])).cast("long")), F.lit(0)).alias(f"k{i}") for i, (c, t) in enumerate(keys)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("pii_type"), F.col(f"k{i}").alias("n")) for i, (c, t) in enumerate(keys)])
     return row.select(F.explode(rows).alias("r")).select("r.*").filter("n > 0")
