@@ -552,15 +552,15 @@ def cost_sql(totals: str) -> str:
     return f"""a AS (SELECT t.*, k.*, tokens + prompt_tokens AS input_tokens, ({ROWS_SQL})::BIGINT AS rows FROM ({totals}) t, {TYPE_ROWS}), b AS (SELECT *, rows * row_tokens AS output_tokens FROM a)"""
 
 
-@query(f"WITH {cost_sql(TOTALS)} SELECT source, dataset_type, input_tokens, output_tokens, rows, round(input_tokens * 0.0002 + output_tokens * 0.0005, 4) AS total_cost, floor(input_tokens / 10000.0 + output_tokens / 1000.0 + 5)::BIGINT AS seconds FROM b")
+@query(f"WITH {cost_sql(TOTALS)} SELECT source, dataset_type, input_tokens, output_tokens, rows, round(input_tokens * 0.0002::DOUBLE + output_tokens * 0.0005::DOUBLE, 4) AS total_cost, floor(input_tokens / 10000.0 + output_tokens / 1000.0 + 5)::BIGINT AS seconds FROM b")
 def cost_by_source(get):
     d = documents.cost_estimate(documents.token_totals(get("documents"), ["source"]))
     return d.select("source", "dataset_type", "input_tokens", "output_tokens", "rows", "total_cost", "seconds")
 
 
 @query(f"""WITH {cost_sql("SELECT source, count(*) AS n_docs, sum(length(text) // 4)::BIGINT AS tokens, sum(length(text) // 4)::BIGINT * 4 AS chars FROM documents GROUP BY source")},
-c AS (SELECT *, CASE WHEN tokens > 150000 THEN 'chunk' WHEN n_docs > 10 THEN 'batch' ELSE 'combine' END AS strategy FROM b), e AS (SELECT *, (CASE strategy WHEN 'chunk' THEN ceil(tokens / 50000.0) WHEN 'batch' THEN ceil(n_docs / 5.0) ELSE 1 END)::BIGINT AS chunks, round(input_tokens * 0.0002 + output_tokens * 0.0005, 4) AS one FROM c)
-SELECT source, dataset_type, strategy, chunks, round(CASE WHEN strategy = 'combine' THEN one ELSE one * 1.1 * chunks END, 3) AS total_cost FROM e""")
+c AS (SELECT *, CASE WHEN tokens > 150000 THEN 'chunk' WHEN n_docs > 10 THEN 'batch' ELSE 'combine' END AS strategy FROM b), e AS (SELECT *, (CASE strategy WHEN 'chunk' THEN ceil(tokens / 50000.0) WHEN 'batch' THEN ceil(n_docs / 5.0) ELSE 1 END)::BIGINT AS chunks, round(input_tokens * 0.0002::DOUBLE + output_tokens * 0.0005::DOUBLE, 4) AS one FROM c)
+SELECT source, dataset_type, strategy, chunks, round(CASE WHEN strategy = 'combine' THEN one ELSE one * 1.1::DOUBLE * chunks END, 3) AS total_cost FROM e""")
 def multi_doc_cost(get):
     d = documents.multi_document_cost(documents.token_totals(get("documents"), ["source"]).drop("chars"))
     return d.select("source", "dataset_type", "strategy", "chunks", F.round("total_cost", 3).alias("total_cost"))
@@ -631,7 +631,7 @@ def fuse_early(get):
     return fusion.early({"docs": get("documents").select("doc_id", "lang", "n_chars"), "labels": get("labels")}, ["doc_id"])
 
 
-@query("SELECT doc_id, d.n_chars * 0.5 AS docs_n_chars, l.quality * 2.0 AS labels_quality, l.toxic * 2.0 AS labels_toxic FROM documents d FULL JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, d.n_chars * 0.5::DOUBLE AS docs_n_chars, l.quality * 2.0::DOUBLE AS labels_quality, l.toxic * 2.0::DOUBLE AS labels_toxic FROM documents d FULL JOIN labels l USING (doc_id)")
 def fuse_attention(get):
     return fusion.attention({"docs": get("documents").select("doc_id", "n_chars"), "labels": get("labels")}, {"docs": 0.5, "labels": 2.0}, ["doc_id"])
 
