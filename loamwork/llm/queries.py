@@ -81,10 +81,32 @@ SELECT d.doc_id, len(x)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, (length(x) // 2)::BIGINT AS n FROM d),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS i FROM n WHERE n >= 100)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS p FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (new) AS n_spans FROM (SELECT doc_id, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 1, true) AS new FROM g) GROUP BY doc_id),
+k AS (SELECT b.doc_id, string_agg(substr(b.x, 2 * b.p - 1, 2), '' ORDER BY b.p) AS kept FROM (SELECT doc_id, x, unnest(range(1, n + 1)) AS p FROM n WHERE doc_id IN (SELECT doc_id FROM c)) b ANTI JOIN g ON g.doc_id = b.doc_id AND g.p = b.p GROUP BY b.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN c.doc_id IS NULL THEN unhex(n.x) ELSE unhex(coalesce(k.kept, '')) END) AS kept_sha256
+FROM n LEFT JOIN c ON c.doc_id = n.doc_id LEFT JOIN k ON k.doc_id = n.doc_id"""
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
+c AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
+b AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT b.doc_id, string_agg(word, ' ' ORDER BY b.p) AS kept FROM b ANTI JOIN g ON g.doc_id = b.doc_id AND g.p = b.p GROUP BY b.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def _oracles() -> dict[str, str]:
     from . import mixing
 
-    return {"op8_mixing": mixing.oracle(), "op10_fm_index": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_mixing": mixing.oracle(), "op10_fm_index": OP10_SQL}
 
 
 ORACLES: dict[str, str] = _oracles()
