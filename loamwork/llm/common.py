@@ -57,14 +57,16 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     doc_id back in the place of rid.
 
     Where the ids are unique and present they serve as they are.  Otherwise (null or
-    repeated ids) the rows are put in order of id (nulls first), then text, and numbered;
+    repeated ids) the rows are put in order of id (nulls first), a hash of the text, then text,
+    and numbered;
     equal rows are numbered in turn, so each counts as a document of its own.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     doubtful = d.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1)
     if not doubtful.take(1):
         return d.withColumnRenamed("doc_id", "rid"), lambda out: out.withColumnRenamed("rid", "doc_id")
-    rows = d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # ranges are found from a sample of keys: short ones
+    rows = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docrows")
     names = rows.select(F.col("rid").alias("rid2"), "doc_id")
 
@@ -78,7 +80,8 @@ def with_rid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with a unique column __rid: the id itself, or a number where ids are null or repeated."""
     if not docs.groupBy(id_col).count().filter(f"{id_col} IS NULL OR count > 1").limit(1).take(1):
         return docs.withColumn("__rid", F.col(id_col).cast("long"))
-    rows = docs.repartitionByRange(id_col, "text").sortWithinPartitions(id_col, "text")
+    tie = F.xxhash64("text")
+    rows = docs.repartitionByRange(id_col, tie).sortWithinPartitions(id_col, tie, "text")
     return staged(rows.withColumn("__rid", F.monotonically_increasing_id()), "rids")
 
 

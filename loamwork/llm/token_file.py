@@ -5,7 +5,7 @@ many ids as fit: 60 of 1 bit ... 1 of 60 bits.  Selector 15 is the escape: the n
 an id of its own.  Ids are coded in blocks of 128 that don't depend on each other; a file
 keeps each block's word offset, so encoding and decoding run over all blocks at once.
 
-Documents are dealt by range of doc_id (nulls first, equal ids by text) and tokenised in that
+Documents are dealt by range of doc_id (nulls first, equal ids by a hash of the text, then text) and tokenised in that
 order; each task writes chunks of whole documents: shard number, ids before the chunk in its
 shard, documents' ids and lengths, block offsets, words.  Files are Parquet with those columns,
 written and read by Spark.
@@ -260,7 +260,9 @@ def _write(name: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Tokenise documents in ascending doc_id order and write the files under path."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are found from a sample of keys: short ones
+    tie = F.xxhash64("text")
+    rows = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     rows.mapInArrow(_write(tokenizer, end_id), FILE).write.option("compression", "uncompressed").parquet(path)
 
 
