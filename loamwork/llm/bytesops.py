@@ -1,16 +1,19 @@
 """Vectorised helpers over the raw bytes of Arrow string columns.
 
 A batch of texts is one byte buffer with offsets.  Everything here works on that buffer
-with numpy, in slabs of about a megabyte, so memory stays bounded whatever a batch holds.
+with numpy, in slabs of a quarter megabyte, so memory stays bounded whatever a batch holds.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLAB = 1 << 20
+SLAB = 1 << 18
 _rng = np.random.default_rng(20240607)
 #: Random codes of the 256 bytes, for two hash functions.
 CODES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -65,6 +68,21 @@ class Rolling:
         return mix((self.sum[k:] - self.sum[:m]) * self.inv[:m])
 
 
+def tidy(run):
+    """Give freed memory back when a task ends: workers are kept and share their executor's limit."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     span = 1
     while span * 2 <= w:

@@ -215,6 +215,7 @@ class Field:
 
 
 def _features(max_lines: int):
+    @B.tidy
     def run(batches):
         for rb in batches:
             raw, offs = B.buffer_of(rb.column(1))
@@ -254,6 +255,7 @@ def verdicts(texts: pa.Array, field: Field, share: float, min_words: int):
 
 
 def _judge(field: Field, share: float, min_words: int):
+    @B.tidy
     def run(batches):
         for rb in batches:
             if not rb.num_rows:
@@ -274,6 +276,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, share: float = S
     """The rows of docs, with all their columns, that `judge` keeps; nothing is shuffled."""
     field = train_field(docs, labels) if labels is not None else Field()
 
+    @B.tidy
     def run(batches):
         for rb in batches:
             if rb.num_rows:

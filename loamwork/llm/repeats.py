@@ -30,7 +30,7 @@ from . import bytesops as B
 from .common import staged
 
 LOW = np.uint64((1 << 24) - 1)
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Rows compared at once, and the most of one anchor that a task takes in (some 8 MB of tokens).
 OPEN_ROWS, CROWDED = 1 << 14, 1 << 16
 #: A place packs the first start, the anchor's and the last start's distance, and a flag
@@ -130,6 +130,7 @@ def away(h: np.ndarray, rid: np.ndarray, a: np.ndarray, sure: np.ndarray) -> np.
 
 
 def segment_rows(t: Tokens):
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rid = np.asarray(rb.column(0)).astype(np.int64)
@@ -152,6 +153,7 @@ def segment_rows(t: Tokens):
 def opened_rows(t: Tokens, windows: bool):
     """The listed segments of each text: their tokens, or (windows) a row per window."""
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rid = np.asarray(rb.column(0)).astype(np.int64)
@@ -213,6 +215,7 @@ def compared(t: Tokens, h, rid, q, raw, offs):
 def compare_groups(t: Tokens):
     """Rows come sorted by (h, rid, q); an anchor's last rows wait for the next batch."""
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for rb in batches:

@@ -61,6 +61,7 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprints(size: int, seed: int):
+    @B.tidy
     def run(batches):
         for rb in batches:
             raw, offs = B.buffer_of(rb.column(1))

@@ -49,6 +49,7 @@ class Words(R.Tokens):
 
 
 def _cut(length: int):
+    @B.tidy
     def run(batches):
         for rb in batches:
             texts = rb.column(1)

@@ -48,6 +48,7 @@ class Bytes(R.Tokens):
 
 
 def _cut(length: int):
+    @B.tidy
     def run(batches):
         for rb in batches:
             raw, offs = B.buffer_of(rb.column(1))

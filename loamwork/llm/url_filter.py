@@ -93,6 +93,7 @@ def train(hosts: list[str], paths: list[str], blocked: list[bool], bits: int = B
 def _judge(w: np.ndarray, bias: float):
     bits = len(w).bit_length() - 1
 
+    @B.tidy
     def run(batches):
         for rb in batches:
             n = rb.num_rows
