@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import few_by_hash
 
 SHARE, MAX_DOCS, MAX_LINES = 0.35, 1500, 64
 MIN_WORDS = 50
@@ -232,7 +233,7 @@ def _features(max_lines: int):
 def train_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Field:
     """A field from at most max_docs labelled documents and max_lines lines of each."""
     few = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("lid"), (F.col("quality") > 0).alias("good"))
-    few = few.orderBy(F.xxhash64("lid"), "lid", "good").limit(max_docs)
+    few = few_by_hash(few, ["lid", "good"], max_docs)
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), F.col("doc_id") == F.col("lid"))  # few has max_docs rows at most
     got = joined.select("good", "text").mapInArrow(_features(max_lines), TRAIN_OUT).limit(2 * max_docs).collect()
     rows = sorted(((r.good, r.lines) for r in got), key=repr)  # in one order on every run

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .common import few_by_hash
 
 #: Verdict, host, path.
 RULES = (
@@ -115,6 +116,6 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     d = with_rules(pages, rules)
     if labelled is None:
         labelled = d.filter("ruled IS NOT NULL").select("host", "path", (F.col("ruled") == "block").alias("blocked"))
-    few = labelled.select("host", "path", "blocked").orderBy(F.xxhash64("host", "path"), "host", "path", "blocked").limit(max_labelled).collect()
+    few = few_by_hash(labelled.select("host", "path", "blocked"), ["host", "path", "blocked"], max_labelled).collect()
     w, bias = train([r.host for r in few], [r.path for r in few], [r.blocked for r in few])
     return d.mapInArrow(_judge(w, bias), OUT)
