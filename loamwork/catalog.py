@@ -117,11 +117,6 @@ def insights(get):
     return profile.insights(get("dirty_customer").withColumn("one", F.lit("x")))
 
 
-@query("SELECT dtype, count(*) AS n FROM (VALUES ('bigint'), ('bigint'), ('bigint'), ('int'), ('double'), ('double'), ('double'), ('double'), ('string'), ('string'), ('timestamp_ntz')) t(dtype), (SELECT count(*) AS c FROM lineitem) GROUP BY dtype")
-def type_histogram(get):
-    return profile.type_histogram(get("lineitem"))
-
-
 @query("SELECT 1.0 - avg(CASE WHEN abs(c) > 0.9 THEN 1.0 ELSE 0.0 END) AS redundancy FROM (" + union([f"SELECT corr({a}, {b}) AS c FROM lineitem" for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1 :]]) + ")")
 def redundancy(get):
     return profile.redundancy(get("lineitem"))
@@ -320,12 +315,6 @@ def check_whitespace_case(get):
     return plain(checks.check_formats(get("dirty_customer")))
 
 
-@query()
-def check_schema(get):
-    return plain(checks.check_schema(get("orders"), ["o_orderkey", "o_comment"], {"o_orderkey": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_custkey": "integer"}))
-
-
-
 @query("SELECT * FROM (" + union([f"SELECT 'text' AS column_name, '{t}' AS pii_type, count(*) FILTER (regexp_matches(text, '{p}')) AS n FROM documents" for t, p in checks.PII.items()]) + ") WHERE n > 0")
 def check_pii(get):
     return checks.pii_counts(get("documents"), ["text"])

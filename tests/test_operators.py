@@ -62,6 +62,11 @@ def test_schema_types(spark):
     assert checks.check_schema(d, ["z"], {"a": "float"}).count() == 2
 
 
+def test_type_histogram(spark):
+    d = spark.createDataFrame([(1, 2, "x")], "a int, b int, c string")
+    assert {r.dtype: r.n for r in profile.type_histogram(d).collect()} == {"int": 2, "string": 1}
+
+
 def test_drift_and_encoding(spark):
     a, b = spark.range(1000).withColumnRenamed("id", "x"), spark.range(500, 1500).withColumnRenamed("id", "x")
     assert checks.drift(a, a, "x").first().psi == pytest.approx(0)
