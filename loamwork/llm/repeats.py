@@ -8,8 +8,8 @@ comparing only under one anchor.  Neighbouring windows of one anchor form a segm
    its batch: a segment seen earlier in the batch is repeated for certain;
 2. rows meet by anchor hash; a segment equal to an earlier one is repeated as a whole;
 3. only segments that share an anchor with a *different* segment are opened: their tokens
-   meet by anchor hash and their windows are compared; all but the first are repeated.
-   Anchors with more than `CROWDED` different segments send one row per window instead,
+   meet by anchor hash and their windows are compared, each operator in its own way; all
+   but the first are repeated.  Anchors with more than `CROWDED` different segments send one row per window instead,
    so that no task holds such a group.
 
 Keys are an anchor hash of 64 bits and at least 32 more of the segment or 128 more of the
@@ -59,10 +59,12 @@ def unpack(q):
 
 
 class Tokens:
-    """What an operator compares: how texts become token codes, and a window's last digits.
+    """What an operator compares: how texts become token codes, and how windows are told apart.
 
     `split(raw, offs)` gives (byte starts, byte ends) of the tokens of a slab and the bounds
-    of its documents in tokens; `codes(raw, starts, ends, which)` one 64-bit code a token.
+    of its documents in tokens; `codes(raw, starts, ends, which)` one 64-bit code a token;
+    `again(raw, starts, ends, at, h, left, n)` compares the windows of opened segments;
+    `halves` hashes single windows of crowded anchors.
     """
 
     length: int
@@ -72,6 +74,13 @@ class Tokens:
     def codes(self, raw, starts, ends, which): ...
     def halves(self, roll, i, p): ...
 
+    def again(self, raw, starts, ends, at, h, left, n):
+        """True per window that equals an earlier one under its anchor hash h.
+
+        Segment j holds n[j] windows, the first at token at[j] and its anchor left[j] tokens
+        further; windows come segment by segment, earlier ones first within each h.
+        """
+
 
 def segments(c0, c1, bounds, length: int, k: int):
     """(row, h, s, a, b, p) of the segments of one slab; places count from the row's start."""
@@ -198,9 +207,7 @@ def compared(t: Tokens, h, rid, q, raw, offs):
     n = b - a + 1
     which = np.repeat(np.arange(len(h)), n)
     j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    u, v = t.halves(B.Rolling(t.codes(raw, ts, te, 1), 1), bounds[which] + j, bounds[which] + (p - a)[which])
-    x = h[which].view(np.uint64)
-    again = repeated_here([x, u, v], np.zeros(len(which), np.int64), np.arange(len(which)))
+    again = t.again(raw, ts, te, bounds[:-1], h, p - a, n)
     at = np.flatnonzero(again)
     if not len(at):
         return at, at, at

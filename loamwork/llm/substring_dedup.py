@@ -1,9 +1,12 @@
 """Substring dedup: seed and extend over the words of `documents`.
 
 Seeds are winnowed anchors: in every window of `length` words the `seed`-word gram of least
-hash, so two equal windows always share a seed at the same place.  Documents are joined on
-their seeds; a match is extended word by word to the left and to the right of the seed as
-far as a window can hold it, and overlapping or touching matches merge into maximal repeats.
+hash, so two equal windows always share a seed at the same place.  Places meet on their seed
+and are extended word by word to the left and to the right, all partners of a seed at once:
+places that agreed so far and have the same next word stay in one class, so no pairs are
+formed.  Places of one class after l words to the left and of one class after the rest of a
+window to the right repeat that window; overlapping or touching windows merge into maximal
+repeats.
 A word is removed where a repeat also starts earlier (smaller doc_id, or earlier in the
 same document).
 
@@ -30,7 +33,7 @@ OUT_PA = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 class Words(R.Tokens):
-    """Every word is a token; a window's last digits are what stands left and right of the seed."""
+    """Every word is a token; windows are told apart by extension from their seed."""
 
     def __init__(self, length: int, k: int):
         self.length, self.k = length, min(k, length)
@@ -47,6 +50,54 @@ class Words(R.Tokens):
         left = B.mix(roll.of(i, p) ^ (p - i).astype(np.uint64))
         return left, roll.of(p + self.k, i + self.length)
 
+    def again(self, raw, starts, ends, at, h, left, n):
+        word = self.codes(raw, starts, ends, 1)
+        p, beyond = at + left, self.length - self.k
+        first = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), dtype=bool)
+        c = np.cumsum(np.append(0, h[1:] != h[:-1]))
+        for x in range(self.k):  # the seed's own words
+            c = refined(c, word[p + x])
+        room = n - 1 - left + beyond  # words right of the seed
+        right = [c]
+        for r in range(beyond):
+            c = c.copy()
+            m = np.flatnonzero(room > r)
+            c[m] = refined(c[m], word[p[m] + self.k + r])
+            right.append(c)
+        c = right[0].copy()
+        for l in range(beyond + 1):
+            if l:
+                m = np.flatnonzero(left >= l)
+                c[m] = refined(c[m], word[p[m] - l])
+            m = np.flatnonzero((left >= l) & (left - l < n))
+            out[first[m] + left[m] - l] = seen_before(c[m], right[beyond - l][m])
+        return out
+
+
+def _by_class(c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): stable order by (c, x), and where another pair begins in it."""
+    order = np.lexsort((x, c))
+    new = np.ones(len(c), dtype=bool)
+    new[1:] = (np.diff(c[order]) != 0) | (x[order][1:] != x[order][:-1])
+    return order, new
+
+
+def refined(c: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes of places that were in one class and have the same next word."""
+    order, new = _by_class(c, word)
+    out = np.empty(len(c), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def seen_before(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """True where an earlier place has the same classes on both sides."""
+    order, new = _by_class(left, right)
+    out = np.empty(len(left), dtype=bool)
+    out[order] = ~new
+    return out
+
 
 def _cut(length: int):
     @B.tidy

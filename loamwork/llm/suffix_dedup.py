@@ -1,10 +1,12 @@
 """Suffix-array dedup: a depth-limited radix sort of suffixes over `documents`.
 
-Suffixes are compared through `length` bytes only.  The passes go by digits, most
-significant first: the window's 32-byte anchor, then the whole segment of windows that
-share the anchor, then the two halves of the window.  A bucket that holds one suffix, or
-none but copies of one segment, is settled and goes no further; the groups left equal
-after the last digit are exactly the repeated windows.
+Suffixes are compared through `length` bytes only, by passes over digits, most significant
+first.  The first digits choose the bucket and are hashed: the window's 32-byte anchor, then
+the whole segment of windows that share the anchor.  A bucket that holds one suffix, or none
+but copies of one segment, is settled and goes no further.  In the others the suffixes are
+sorted by their own bytes: the anchor's place, then eight bytes a pass, where only buckets
+with different digits are sorted and suffixes left alone drop out.  The groups still equal
+after the last pass are exactly the repeated windows.
 
 Nulls and empty texts have no bytes and lose none.  Null or repeated doc_ids: see
 `common.doc_rows`; a repeated row counts as a later copy.  Texts of any length are cut
@@ -30,7 +32,7 @@ OUT_PA = pa.schema([("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 class Bytes(R.Tokens):
-    """Every byte is a token; a window's last digits are its halves."""
+    """Every byte is a token; windows are told apart by radix passes over their bytes."""
 
     def __init__(self, length: int, k: int):
         self.length, self.k = length, min(k, length)
@@ -46,6 +48,53 @@ class Bytes(R.Tokens):
         half = i + self.length // 2
         return roll.of(i, half), roll.of(half, i + self.length)
 
+    def again(self, raw, starts, ends, at, h, left, n):
+        which = np.repeat(np.arange(len(h)), n)
+        j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        bucket = np.cumsum(np.append(0, h[1:] != h[:-1]))
+        return equal_suffixes(raw, at[which] + j, bucket[which] * self.length + (left[which] - j), self.length)
+
+
+def digits_of(raw: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes (8 or 1) from every place on as one number, first byte highest."""
+    if width == 1:
+        return raw
+    padded = np.append(raw, np.zeros(-len(raw) % 8, np.uint8))
+    out = np.empty(len(raw) - 7, np.uint64)
+    for k in range(8):
+        x = padded[k : len(padded) - (8 - k) % 8].view(">u8")
+        out[k::8] = x[: len(out[k::8])]
+    return out
+
+
+def equal_suffixes(raw: np.ndarray, i: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
+    """True where the `length` bytes from i equal those from an earlier entry of i in its bucket."""
+    again = np.zeros(len(i), dtype=bool)
+    if len(i) < 2:
+        return again
+    width = 8 if length >= 8 else 1
+    digits = digits_of(raw, width)
+    order = np.argsort(bucket, kind="stable")
+    new = np.append(True, np.diff(bucket[order]) != 0)
+    for depth in [*range(0, length - width, width), length - width]:
+        # suffixes alone in their bucket are settled
+        kept = ~(new & np.append(new[1:], True))
+        order, new = order[kept], new[kept]
+        if not len(order):
+            return again
+        d = digits[i[order] + depth]
+        group = np.cumsum(new) - 1
+        differs = d != d[new][group]
+        if differs.any():
+            mixed = np.zeros(group[-1] + 1, dtype=bool)
+            mixed[group[differs]] = True
+            m = np.flatnonzero(mixed[group])
+            by = m[np.lexsort((d[m], group[m]))]
+            order[m], d[m] = order[by], d[by]
+            new[1:] |= d[1:] != d[:-1]
+    again[order[~new]] = True
+    return again
+
 
 def _cut(length: int):
     @B.tidy

@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 
 from loamwork.llm import repeats, simhash
-from loamwork.llm.substring_dedup import remove_repeated_passages
-from loamwork.llm.suffix_dedup import remove_repeated_bytes
+from loamwork.llm.substring_dedup import Words, remove_repeated_passages
+from loamwork.llm.suffix_dedup import equal_suffixes, remove_repeated_bytes
 
 from .helpers import covered, odd_documents, sha
 
@@ -115,3 +116,46 @@ def test_one_of_each_keeps_columns(spark):
     assert kept.columns == d.columns
     first = {c for _, c in brute_components(odd_documents()).values()}
     assert {r.doc_id for r in kept.collect()} == first
+
+
+@pytest.mark.parametrize("length", [5, 8, 20, 101])
+def test_radix_passes_against_trying_every_suffix(length):
+    r = np.random.default_rng(length)
+    raw = np.concatenate([r.integers(0, 2, 300), np.tile([1, 0, 1], 120), r.integers(0, 2, 40)]).astype(np.uint8)
+    raw = np.concatenate([raw, raw[100:500]])
+    i = np.arange(len(raw) - length + 1)
+    bucket = i % 2
+    seen, want = set(), []
+    for k in i:
+        x = (k % 2, raw[k : k + length].tobytes())
+        want.append(x in seen)
+        seen.add(x)
+    assert equal_suffixes(raw, i, bucket, length).tolist() == want
+
+
+def test_extension_against_trying_every_window():
+    """Places of two seeds, with all or few of their windows inside the segment."""
+    r = np.random.default_rng(3)
+    t = Words(6, 2)
+    texts, h, left, n = [], [], [], []
+    for _ in range(400):
+        reach, k = int(r.integers(0, 5)), int(r.integers(1, 4))
+        k = min(k, reach + 1)
+        words = [f"w{x}" for x in r.integers(0, 2, k + 5)]
+        seed = int(r.integers(0, 2))
+        words[reach : reach + 2] = [f"s{seed}", "s"]
+        texts.append(" ".join(words).encode())
+        h.append(seed)
+        left.append(reach)
+        n.append(k)
+    by = np.argsort(h, kind="stable")
+    texts, h, left, n = [texts[x] for x in by], np.array(h)[by], np.array(left)[by], np.array(n)[by]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, bounds = t.split(raw, np.append(0, np.cumsum([len(x) for x in texts])))
+    seen, want = set(), []
+    for s, g, reach, k in zip(texts, h, left, n, strict=True):
+        for j in range(k):
+            x = (g, reach - j, tuple(s.split()[j : j + 6]))
+            want.append(x in seen)
+            seen.add(x)
+    assert t.again(raw, starts, ends, bounds[:-1], h, left, n).tolist() == want
