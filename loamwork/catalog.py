@@ -744,3 +744,317 @@ def pages_by_host(get):
     n = d.groupBy("host").agg(F.count("*").alias("pages_of_host"))
     return d.join(n, "host")
 
+
+
+# ---------------------------------------------------------------- row-wise steps
+
+
+@query("SELECT c_custkey, 'night' AS load_name, 3 AS load_number FROM customer")
+def constants_added(get):
+    return transforms.add_constants(get("customer").select("c_custkey"), {"load_name": "night", "load_number": 3})
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM dirty_customer", ("dirty_customer",))
+def sparse_columns_dropped(get):
+    return transforms.drop_sparse_columns(get("dirty_customer"), 0.12)
+
+
+@query("SELECT * FROM dirty_customer WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL", ("dirty_customer",))
+def missing_dropped(get):
+    return transforms.drop_missing(get("dirty_customer"))
+
+
+@query("SELECT c_acctbal, c_mktsegment FROM dirty_customer WHERE c_acctbal IS NOT NULL OR c_mktsegment IS NOT NULL", ("dirty_customer",))
+def empty_rows_dropped(get):
+    return transforms.drop_empty_rows(get("dirty_customer").select("c_acctbal", "c_mktsegment"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 10 <> 0")
+def infinite_removed(get):
+    return transforms.remove_infinite(get("events").select("event_id", F.when(F.col("event_id") % 10 == 0, float("inf")).otherwise(F.col("value")).alias("value")))
+
+
+THIRDS = "SELECT doc_id, batch, CASE WHEN n > 2 * size THEN substr(text, least(batch * size // 2, n - size) + 1, size) ELSE text END AS content FROM (SELECT doc_id, text, length(text) AS n, greatest(1000, length(text) // 3) AS size, unnest(range(3)) AS batch FROM documents WHERE doc_id % 2 = 0)"
+
+
+@query(f"SELECT doc_id, 'chunk' AS type, batch AS chunk_index, md5(content) AS content_md5 FROM ({THIRDS}) UNION ALL SELECT doc_id, 'full', NULL, md5(text) FROM documents WHERE doc_id % 2 <> 0")
+def exploded_documents(get):
+    d = get("documents").select("doc_id", "text")
+    chunks = documents.windows(d.filter("doc_id % 2 = 0"), 3).withColumnRenamed("batch", "chunk_index")
+    return transforms.explode_documents(d, chunks).select("doc_id", "type", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+@query(f"SELECT 'text' AS modality, count(*) AS n, sum(length(content))::BIGINT AS chars FROM (SELECT content FROM ({THIRDS}) UNION ALL SELECT text FROM documents WHERE doc_id % 2 <> 0) UNION ALL SELECT 'tables', count(*), sum(length(s_name))::BIGINT FROM supplier")
+def modality_sizes(get):
+    d = get("documents").select("doc_id", "text")
+    chunks = documents.windows(d.filter("doc_id % 2 = 0"), 3).withColumnRenamed("batch", "chunk_index")
+    parts = fusion.modalities_of(transforms.explode_documents(d, chunks, get("supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("content"))))
+    sizes = [p.agg(F.lit(k).alias("modality"), F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars")) for k, p in parts.items()]
+    return ordering.union_all(sizes)
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND length(text) > 500")
+def long_documents(get):
+    return transforms.long_texts(get("documents").select("doc_id", "text"), 500).select("doc_id")
+
+
+@query("SELECT s_suppkey, concat('n', s_nationkey) AS file_path, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def tagged_rows(get):
+    path = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("file_path")
+    return joins.tag_by_file(get("supplier").select("s_suppkey", path("s_nationkey")), get("nation").select(path("n_nationkey"), "n_name"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chunk_number, count(*) OVER (PARTITION BY conv_id) AS chunk_count FROM conversations")
+def numbered_turns(get):
+    return documents.numbered(get("conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("SELECT lang, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents GROUP BY lang")
+def grouped_documents(get):
+    return documents.group_by_similarity(get("documents"))
+
+
+@query("SELECT DISTINCT doc_id, lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 ORDER BY doc_id LIMIT 500")
+def combined_batches(get):
+    d = get("documents").select("doc_id", "lang")
+    return assembly.combine([d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0")], 500, ["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR left(text, 4) = substr(text, 2, 4)")
+def entities_with_valid_spans(get):
+    spans = F.array(F.struct(F.left("text", F.lit(4)).alias("text"), (F.col("doc_id") % 3 == 0).cast("int").alias("start"), F.when(F.col("doc_id") % 3 == 0, 5).otherwise(F.least(F.length("text"), F.lit(4))).alias("end")))
+    return assembly.valid_spans(get("documents").select("doc_id", "text", spans.alias("entities"))).select("doc_id")
+
+
+@query("SELECT event_id, value / 100 AS confidence FROM events WHERE value / 100 >= 0.8")
+def confident_rows(get):
+    return documents.confident(get("events").select("event_id", (F.col("value") / 100).alias("confidence")))
+
+
+@query("SELECT execution_id, round(CASE status WHEN 'running' THEN 0.06 WHEN 'completed' THEN 0.001 * rows_processed / 1000 ELSE 0.01 + rows_processed * 10 * 0.000003 END::DOUBLE, 6) AS cost FROM executions", ("executions",))
+def planned_step_costs(get):
+    kind = F.when(F.col("status") == "running", "source").when(F.col("status") == "completed", "transform").otherwise("model")
+    return documents.step_costs(get("executions").select("execution_id", kind.alias("step_type"), F.col("rows_processed").alias("n_rows"))).select("execution_id", "cost")
+
+
+@query("SELECT doc_id, CASE WHEN n > 10000 THEN least(2000, greatest(100, n // 100)) WHEN n > 5000 THEN least(1000, greatest(50, n // 80)) ELSE least(500, greatest(20, n // 50)) END::BIGINT AS rows FROM (SELECT doc_id, length(text) // 4 AS n FROM documents)")
+def rows_by_tokens(get):
+    return get("documents").select("doc_id", documents.rows_from_tokens(X.tokens(F.col("text")), F.lit("qa_pairs")).cast("long").alias("rows"))
+
+
+@query("SELECT doc_id, CASE WHEN n > 10000 THEN greatest(100, n // 150) WHEN n > 5000 THEN greatest(50, n // 120) WHEN n > 2000 THEN greatest(30, n // 100) ELSE 20 END::BIGINT AS rows FROM (SELECT doc_id, length(text) AS n FROM documents)")
+def rows_by_generator(get):
+    return get("documents").select("doc_id", documents.generator_rows(F.length("text").cast("long")).alias("rows"))
+
+
+# ---------------------------------------------------------------- checks and profiles of whole tables
+
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("SELECT column_name FROM (" + union([f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS u, count(*) AS n FROM orders" for c in ORDERS]) + ") WHERE u = n AND n > 0")
+def identifiers(get):
+    return profile.identifier_columns(profile.nulls_distinct(get("orders")))
+
+
+@query("""SELECT column_name, null_count > 0 AS nullable, null_count, unique_count, logical_type FROM (""" + union([f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, '{k}' AS logical_type FROM dirty_customer" for c, k in (("c_custkey", "integer"), ("c_acctbal", "float"), ("c_mktsegment", "string"), ("c_nationkey", "integer"))]) + ")", ("dirty_customer",))
+def schema_facts(get):
+    return readers.schema_profile(get("dirty_customer"), ["c_custkey"]).drop("samples")
+
+
+FUSED = ["doc_id", "docs_n_chars", "labels_quality", "labels_toxic"]
+
+
+@query("WITH f AS (SELECT doc_id, n_chars AS docs_n_chars, quality AS labels_quality, toxic AS labels_toxic FROM documents JOIN labels USING (doc_id)), r AS (SELECT 1.0 - avg(CASE WHEN abs(coalesce(c, 0)) > 0.9 THEN 1.0 ELSE 0.0 END) AS redundancy FROM (" + union([f"SELECT corr({a}, {b}) AS c FROM f" for i, a in enumerate(FUSED) for b in FUSED[i + 1 :]]) + ")) SELECT 1.0::DOUBLE AS completeness, redundancy, 0.8::DOUBLE AS preservation, 0.85::DOUBLE AS coherence, round((1.0 + redundancy + 0.8 + 0.85) / 4, 6) AS fusion_score FROM r")
+def fusion_scores(get):
+    docs = get("documents").select("doc_id", "n_chars")
+    fused = fusion.early({"docs": docs, "labels": get("labels")}, ["doc_id"])
+    return profile.fusion_score([docs, get("labels")], fused).withColumn("fusion_score", F.round("fusion_score", 6))
+
+
+WARNINGS = "concat_ws(',', CASE WHEN tokens > 500000 THEN 'very_large' END, CASE WHEN n_docs > 50 THEN 'many_documents' END, CASE WHEN tokens > 1000000 THEN 'costly' END)"
+STRATEGY = "CASE WHEN n_docs = 1 OR tokens < 50000 THEN 'single' WHEN n_docs > 10 AND tokens / n_docs < 5000 THEN 'batch' WHEN tokens > 150000 THEN 'chunk' ELSE 'combine' END"
+
+
+@query(f"SELECT n_docs, tokens, round(bytes / 1048576, 6) AS total_mb, {STRATEGY} AS strategy, {WARNINGS} AS warnings FROM (SELECT count(*) AS n_docs, sum(length(text) // 4)::BIGINT AS tokens, sum(strlen(text))::DOUBLE AS bytes FROM documents)")
+def document_totals(get):
+    return documents.document_stats(get("documents")).withColumn("total_mb", F.round("total_mb", 6))
+
+
+@query(f"SELECT *, ceil(round(base_chunks * 1.2::DOUBLE, 9))::BIGINT AS adjusted_chunks, {WARNINGS} AS warnings FROM (SELECT *, CASE strategy WHEN 'chunk' THEN ceil(tokens / 50000) WHEN 'batch' THEN ceil(tokens / 40000) ELSE 1 END::BIGINT AS base_chunks FROM (SELECT *, {STRATEGY} AS strategy FROM ({TOTALS.replace('source', 'lang')})))")
+def chunk_plan(get):
+    return documents.chunk_estimate(documents.choose_strategy(documents.token_totals(get("documents"), ["lang"])))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE value > 100 ORDER BY event_id LIMIT 100")
+def violations_report(get):
+    return checks.first_violations(get("events").select("event_id", "user_id", "value"), "value > 100", ["event_id"])
+
+
+@query("SELECT 'encoding_issues' AS issue_type, 'medium' AS severity, 'text' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM (SELECT count(*) FILTER (doc_id % 9 = 0 OR contains(text, chr(65533))) AS n, count(*) AS t FROM documents) WHERE n > 0")
+def encoding_issues(get):
+    return plain(checks.check_encoding(get("documents").select(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("�"))).otherwise(F.col("text")).alias("text"))))
+
+
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders WHERE o_orderstatus = 'F'),
+b AS (SELECT least(greatest(ceil((o_totalprice - lo) / w), 1), 10) AS bin, o_orderstatus AS s FROM orders, e WHERE o_orderstatus IN ('F', 'O')),
+p AS (SELECT bin, count(*) FILTER (s = 'F') / (SELECT count(*) FROM b WHERE s = 'F')::DOUBLE AS p, count(*) FILTER (s = 'O') / (SELECT count(*) FROM b WHERE s = 'O')::DOUBLE AS q FROM b GROUP BY bin)
+SELECT round(sum((greatest(q, 0.0001) - greatest(p, 0.0001)) * ln(greatest(q, 0.0001) / greatest(p, 0.0001))), 6) AS psi FROM p""")
+def price_drift(get):
+    o = get("orders")
+    return checks.drift(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), "o_totalprice").select(F.round("psi", 6).alias("psi"))
+
+
+@query("""WITH t AS (SELECT count(*)::DOUBLE AS t FROM dirty_customer), m AS (SELECT 'c_acctbal' AS c, count(*) - count(c_acctbal) AS n FROM dirty_customer UNION ALL SELECT 'c_mktsegment', count(*) - count(c_mktsegment) FROM dirty_customer)
+SELECT 'missing_values' AS issue_type, CASE WHEN n / t > 0.1 THEN 'high' ELSE 'medium' END AS severity, c AS column_name, n AS n_affected, round(n / t, 6) AS ratio FROM m, t WHERE n > 0
+UNION ALL SELECT 'duplicates', 'medium', NULL, t::BIGINT - n, round((t - n) / t, 6) FROM t, (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM dirty_customer))""", ("dirty_customer",))
+def basic_issues(get):
+    return plain(task_checks.basic_check(get("dirty_customer")))
+
+
+@query("SELECT 'warning' AS level, 'rare: more than half missing' AS message FROM (SELECT count(*) AS n, count(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END) AS k FROM dirty_customer) WHERE n - k > 0.5 * n", ("dirty_customer",))
+def connector_warnings(get):
+    return task_checks.connector_check(get("dirty_customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("rare")))
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier")
+def passed_through(get):
+    return task_checks.pass_through(get("supplier").select("s_suppkey", "s_acctbal"))[0]
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM dirty_customer WHERE c_mktsegment IS NOT NULL", ("dirty_customer",))
+def critical_rows_kept(get):
+    return cleaning.drop_missing(get("dirty_customer"), threshold=0.12, critical=["c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT DISTINCT c_custkey, c_acctbal, trim(c_mktsegment) AS c_mktsegment, c_nationkey FROM dirty_customer", ("dirty_customer",))
+def missing_kept(get):
+    return cleaning.clean(get("dirty_customer"), missing="keep")
+
+
+@query("SELECT o_orderkey, total_text::DOUBLE AS total, o_orderstatus FROM dirty_orders WHERE total_text <> 'n/a'", ("dirty_orders",))
+def extracted_table(get):
+    d = get("dirty_orders").filter("total_text <> 'n/a'")
+    return cleaning.table_cleanup(d.select("o_orderkey", F.concat(F.lit("  "), "total_text").alias("total"), "o_orderstatus", F.lit(None).cast("string").alias("nothing")))
+
+
+@query("SELECT c_custkey FROM dirty_contacts", ("dirty_contacts",))
+def pii_columns_dropped(get):
+    return pii_masking.drop_columns(get("dirty_contacts"))
+
+
+ANY_PII = " OR ".join(f"regexp_matches(note, '{p}')" for p in pii_masking.TASK_PII.values())
+
+
+@query(f"SELECT c_custkey, CASE WHEN {ANY_PII} THEN '' ELSE note END AS note FROM dirty_contacts", ("dirty_contacts",))
+def pii_blank(get):
+    return pii_masking.blank(get("dirty_contacts"))
+
+
+# ---------------------------------------------------------------- shapes that readers meet
+
+
+@query("SELECT o_orderkey AS key_text, total_text FROM dirty_orders", ("dirty_orders",))
+def inferred_types(get):
+    return readers.infer_types(get("dirty_orders").select(F.col("o_orderkey").cast("string").alias("key_text"), "total_text"))
+
+
+@query("SELECT o_orderkey, o_totalprice AS price_text, o_orderstatus FROM orders")
+def mixed_coerced(get):
+    return readers.coerce_mixed(get("orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("price_text"), "o_orderstatus"))
+
+
+PROP = r"regexp_extract(props, '[0-9]+')::BIGINT"
+
+
+@query(f"SELECT {PROP} AS k FROM events UNION ALL SELECT event_id FROM events")
+def json_path(get):
+    d = get("events").select(F.concat(F.lit('{"data": {"rows": ['), "props", F.lit(', {"k": '), F.col("event_id").cast("string"), F.lit("}]}}")).alias("j"))
+    return readers.json_path_rows(d, "j", "$.data.rows[*]", "k long")
+
+
+@query(f"SELECT event_type AS key, {PROP} AS k FROM events")
+def json_record_dict(get):
+    d = get("events").select(F.concat(F.lit('{"'), "event_type", F.lit('": '), "props", F.lit("}")).alias("j"))
+    return readers.record_dict_rows(d, "j", "k long")
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN {PROP} END AS k, CASE WHEN event_id % 7 = 0 THEN 'broken ' || props END AS raw_content, CASE WHEN event_id % 7 = 0 THEN 'invalid json' END AS error FROM events")
+def json_repaired(get):
+    loose = F.regexp_replace("props", r"\}", ",}")
+    return readers.json_repair(get("events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("broken "), "props")).otherwise(loose).alias("j")), "j", "k long")
+
+
+@query('SELECT event_id, user_id AS "who.id", event_type AS "who.what.type" FROM events')
+def flattened(get):
+    return readers.flatten(get("events").select("event_id", F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("type")).alias("what")).alias("who")))
+
+
+@query("SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS part FROM orders")
+def arrays_expanded(get):
+    return readers.arrays(get("orders").select("o_orderkey", F.split("o_orderpriority", "-").alias("part")), "part")
+
+
+@query("SELECT s_suppkey AS key, s_name AS name, 'suppliers' AS _sheet FROM supplier UNION ALL SELECT c_custkey, c_name, 'customers' FROM customer")
+def sheets_stacked(get):
+    return readers.sheet_union({"suppliers": get("supplier").selectExpr("s_suppkey AS key", "s_name AS name"), "customers": get("customer").selectExpr("c_custkey AS key", "c_name AS name")})
+
+
+@query(r"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> '')) AS n_paragraphs, length(text) AS n_chars FROM documents")
+def text_shape(get):
+    return readers.text_counts(get("documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, 'utf-8' AS encoding FROM documents")
+def decoded_texts(get):
+    d = readers.decode_text(get("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")))
+    return d.select("doc_id", F.md5("text").alias("text_md5"), "encoding")
+
+
+@query("SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+def delimited_text(get):
+    return readers.csv_text_rows(get("customer").select("c_custkey", F.concat_ws(" ; ", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("line")), "line", "nation int, segment string", ";")
+
+
+@query("SELECT count(*) AS n_rows, 6 AS n_columns FROM part")
+def table_preview(get):
+    return readers.preview(get("part"), ["p_partkey"])[0].drop("dtypes")
+
+
+@query("SELECT doc_id, left(text, 500) AS preview, length(text) AS text_length, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents ORDER BY doc_id LIMIT 10")
+def first_results(get):
+    return readers.result_view(get("documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query("SELECT conv_id, role AS key, string_agg(text, '|' ORDER BY turn) AS joined FROM conversations GROUP BY 1, 2")
+def key_values_merged(get):
+    d = documents.merge_key_values(get("conversations").select("conv_id", "turn", F.create_map("role", "text").alias("m")), "conv_id", "turn", "m")
+    return d.select("conv_id", "key", F.array_join("values", "|").alias("joined"))
+
+
+@query("SELECT doc_id, lang || chr(10) || source || chr(10) || 'id: ' || doc_id AS content FROM documents")
+def sections_joined(get):
+    return get("documents").select("doc_id", documents.text_from_sections(F.array("lang", "source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string"))).alias("content"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
+def table_json_rows(get):
+    j = F.to_json(F.struct(F.array(F.lit("name"), F.lit("segment")).alias("headers"), F.array(F.array("c_name", "c_mktsegment")).alias("rows")))
+    d = documents.rows_from_table_json(get("customer").select("c_custkey", j.alias("t")), "t")
+    return d.select("c_custkey", F.col("record")["name"].alias("name"), F.col("record")["segment"].alias("segment"))
+
+
+PER_DOC = "SELECT doc_id, d.v AS docs_v, d.n AS docs_rows, l.v AS labels_v, l.n AS labels_rows FROM (SELECT doc_id, avg(n_chars) AS v, count(*) AS n FROM documents GROUP BY 1) d FULL JOIN (SELECT doc_id, avg(quality) AS v, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id)"
+
+
+@query(PER_DOC)
+def fuse_hybrid(get):
+    d = fusion.hybrid({"docs": get("documents").select("doc_id", "n_chars"), "labels": get("labels").select("doc_id", "quality")}, ["doc_id"], [["docs"], ["labels"]])
+    return d.withColumnsRenamed({"docs_docs_n_chars": "docs_v", "labels_labels_quality": "labels_v"})
+
+
+@query("SELECT doc_id, n_chars, lang, quality FROM documents JOIN labels USING (doc_id)")
+def fuse_hierarchical(get):
+    d = get("documents")
+    out = fusion.hierarchical({"a": d.select("doc_id", "n_chars"), "b": d.select("doc_id", "lang"), "c": get("labels").select("doc_id", "quality")}, ["doc_id"], [[["a", "b"]]])
+    return out.withColumnsRenamed({"a_b_a_n_chars": "n_chars", "a_b_b_lang": "lang", "c_c_quality": "quality", "c_quality": "quality"})
