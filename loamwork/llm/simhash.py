@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import staged, with_rid
+from .common import join_hot, staged, with_rid
 
 BITS, SHINGLE, SEED, LONG_LIST = 4, 4, 42, 256
 PIECE = 1 << 16
@@ -99,7 +99,7 @@ def links(prints: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> Da
     posts = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "part"))
     # what matters is only whether a key is alone, on a short list or on a long one
     sizes = posts.groupBy("t", "part").count().filter("count > 1").withColumnRenamed("t", "t2").withColumnRenamed("part", "part2")
-    met = posts.join(sizes.hint("merge"), (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2"))).select("t", "part", "fp", "count")
+    met = join_hot(posts, sizes, {"t": "t2", "part": "part2"}, "count", prints.count() * len(sets)).select("t", "part", "fp", "count")
     met = staged(met, "postings")
     short = met.filter(F.col("count") <= long_list)
     a, b = short.select("t", "part", F.col("fp").alias("u")), short.select(F.col("t").alias("t2"), F.col("part").alias("part2"), F.col("fp").alias("v"))
@@ -119,16 +119,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): connected components by alternating large and small stars.
 
     Every round is staged in the shared folder; the loop ends when a round changes nothing.
+    The hubs of the stars gather ever more rows, so they are joined as hot keys.
     """
+    least = [F.min("v").alias("m"), F.count("*").alias("n")]
     e = staged(edges.select("u", "v"), "edges")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(m.hint("merge"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        total = 2 * e.count()
+        m = both.groupBy("u").agg(*least).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.filter("v > u"), m, {"u": "w"}, "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: u > v holds in every row now
-        m = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = large.join(m.hint("merge"), F.col("u") == F.col("w"))
+        m = large.groupBy("u").agg(*least).withColumnRenamed("u", "w")
+        joined = join_hot(large, m, {"u": "w"}, "n", total)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = staged(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -149,13 +152,13 @@ def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     doc_id is never smallest unless its component has no other.
     """
     marked = staged(fingerprints(docs), "prints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     roots = components(links(classes.select("fp"), long_list=long_list))
-    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r2")
-    of = rooted.join(lows.hint("merge"), F.col("root") == F.col("r2")).select(F.col("fp").alias("fp2"), "component_id")
-    return marked.join(of.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n2")).withColumnRenamed("root", "r2")
+    of = join_hot(rooted, lows, {"root": "r2"}, "n2", rooted.count()).select(F.col("fp").alias("fp2"), "component_id", "n")
+    return join_hot(marked, staged(of, "classes"), {"fp": "fp2"}, "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from loamwork.llm import repeats, simhash
+from loamwork.llm import common, repeats, simhash
 from loamwork.llm.substring_dedup import Words, remove_repeated_passages
 from loamwork.llm.suffix_dedup import equal_suffixes, remove_repeated_bytes
 
@@ -105,6 +105,14 @@ def test_every_four_bytes_hold_a_triple():
     assert all(any(set(t) <= set(q) for t in simhash.triples()) for q in combinations(range(8), 4))
 
 
+def test_hot_keys_take_the_broadcast_way(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = odd_documents() + [(100 + k, "one and the same text of copies") for k in range(40)] + [(200 + k, " ".join([f"a{j}" for j in range(300)] + [f"z{k}"])) for k in range(12)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
