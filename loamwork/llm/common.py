@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,27 +65,6 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return big.join(side, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
-#: A key is hot beyond this many rows and beyond its share of one in HOT_KEYS of all rows.
-HOT_KEYS, HOT_ROWS = 10_000, 1_000
-
-
-def join_hot(rows: DataFrame, side: DataFrame, on: dict[str, str], weight: str, total: int) -> DataFrame:
-    """Inner join with a side of unique keys that knows each key's number of rows.
-
-    `on` maps key columns of rows to those of side (non-null, other names); `weight` is the
-    side's column with the number of rows of its key, `total` that of all rows.  Keys that hold
-    more than one in HOT_KEYS of all rows are fewer than HOT_KEYS, whatever the input: they are
-    broadcast, so that their rows stay where they are.  The other rows go by sort-merge.
-    """
-    limit = max(total // HOT_KEYS, HOT_ROWS)
-    hot = side.filter(F.col(weight) > limit).select(F.struct(*side.columns).alias("__hot"))
-    match = lambda at: reduce(lambda x, y: x & y, [F.col(k) == F.col(at + w) for k, w in on.items()])
-    marked = rows.join(F.broadcast(hot), match("__hot."), "left")
-    there = marked.filter("__hot IS NOT NULL").select(*rows.columns, "__hot.*")
-    rest = marked.filter("__hot IS NULL").select(*rows.columns).join(side.filter(F.col(weight) <= limit).hint("merge"), match(""))
-    return there.unionByName(rest)
-
-
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """((rid, text), named): rid is a unique long in ascending doc_id order; named puts
     doc_id back in the place of rid.
