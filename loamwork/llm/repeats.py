@@ -4,7 +4,7 @@ A window of `length` tokens is keyed by its anchor: the k-gram of least hash in
 (leftmost of equals).  Equal windows have equal anchors at equal places, so windows need
 comparing only under one anchor.  Neighbouring windows of one anchor form a segment:
 
-1. every segment is one row (anchor hash, segment hash, document, place), combined within
+1. every segment is one row (anchor hash, two segment hashes, document, place), combined within
    its batch: a segment seen earlier in the batch is repeated for certain;
 2. rows meet by anchor hash; a segment equal to an earlier one is repeated as a whole;
 3. only segments that share an anchor with a *different* segment are opened: their tokens
@@ -12,8 +12,7 @@ comparing only under one anchor.  Neighbouring windows of one anchor form a segm
    but the first are repeated.  Anchors with more than `CROWDED` different segments send one row per window instead,
    so that no task holds such a group.
 
-Keys are an anchor hash of 64 bits and at least 32 more of the segment or 128 more of the
-window.  A batch sends each segment on once, so a key's rows number at most the batches
+Keys are an anchor hash of 64 bits and 128 more of the segment or the window.  A batch sends each segment on once, so a key's rows number at most the batches
 times its different segments.
 """
 
@@ -37,8 +36,8 @@ OPEN_ROWS, CROWDED = 1 << 14, 1 << 16
 #: for "repeated in its batch"; distances take 12 bits.
 WIDE = 12
 
-SEG = "h long, s int, rid long, q long"
-SEG_PA = pa.schema([("h", pa.int64()), ("s", pa.int32()), ("rid", pa.int64()), ("q", pa.int64())])
+SEG = "h long, s long, s2 long, rid long, q long"
+SEG_PA = pa.schema([(c, pa.int64()) for c in ("h", "s", "s2", "rid", "q")])
 TOK = "h long, rid long, q long, tokens binary"
 TOK_PA = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("q", pa.int64()), ("tokens", pa.binary())])
 WIN = "h long, u long, v long, rid long, a long, sure boolean"
@@ -83,14 +82,15 @@ class Tokens:
 
 
 def segments(c0, c1, bounds, length: int, k: int):
-    """(row, h, s, a, b, p) of the segments of one slab; places count from the row's start."""
+    """(row, h, s, s2, a, b, p) of the segments of one slab; places count from the row's start."""
     out = []
     n = len(c0)
     stops = np.repeat(bounds[1:], np.diff(bounds))
     for lo in range(0, max(n - length + 1, 0), PIECE):
         hi = min(n, lo + PIECE + length - 1)
         x0, x1 = c0[lo:hi], c1[lo:hi]
-        kh = B.Rolling(x0, 0).every(k)
+        roll = B.Rolling(x0, 0)
+        kh = roll.every(k)
         key = (kh & ~LOW) | np.arange(len(kh), dtype=np.uint64)
         pos = (B.sliding_min(key, length - k + 1) & LOW).astype(np.int64)
         new = np.ones(len(pos), dtype=bool)
@@ -104,12 +104,14 @@ def segments(c0, c1, bounds, length: int, k: int):
         stop = np.flatnonzero(np.append(new[1:] | ~ok[1:], True) & ok)
         a, b, p = first, stop, pos[first]
         row = np.searchsorted(bounds, a + lo, side="right") - 1
-        s = B.mix(B.Rolling(x1, 1).of(a, b + length) ^ ((b - a) * 4096 + (p - a)).astype(np.uint64))
+        place = ((b - a) * 4096 + (p - a)).astype(np.uint64)
+        s, s2 = (B.mix(x.of(a, b + length) ^ place) for x in (B.Rolling(x1, 1), roll))
         base = lo - bounds[row]
-        out.append((row, kh[p], s, a + base, b + base, p + base))
+        out.append((row, kh[p], s, s2, a + base, b + base, p + base))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        u = z.astype(np.uint64)
+        return z, u, u, u, z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -148,13 +150,13 @@ def segment_rows(t: Tokens):
             for lo, hi in B.slabs(offs):
                 r = raw[offs[lo] : offs[hi]]
                 starts, ends, bounds = t.split(r, offs[lo : hi + 1] - offs[lo])
-                row, h, s, a, b, p = segments(t.codes(r, starts, ends, 0), t.codes(r, starts, ends, 1), bounds, t.length, t.k)
-                parts.append((rid[lo + row], h, s, a, b, p))
+                row, h, s, s2, a, b, p = segments(t.codes(r, starts, ends, 0), t.codes(r, starts, ends, 1), bounds, t.length, t.k)
+                parts.append((rid[lo + row], h, s, s2, a, b, p))
             if not parts:
                 continue
-            r, h, s, a, b, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            sure = repeated_here([h, s], r, a)
-            yield B.batch(SEG_PA, B.long_col(away(h, r, a, sure)), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)), B.long_col(r), B.long_col(pack(a, b, p, sure)))
+            r, h, s, s2, a, b, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sure = repeated_here([h, s, s2], r, a)
+            yield B.batch(SEG_PA, *map(B.long_col, (away(h, r, a, sure), s, s2, r, pack(a, b, p, sure))))
 
     return run
 
@@ -264,15 +266,15 @@ def repeated_starts(rows: DataFrame, t: Tokens) -> DataFrame:
     """
     seg = rows.mapInArrow(segment_rows(t), SEG)
     by_h = Window.partitionBy("h")
-    order = by_h.orderBy("s", "rid", "q")
+    order = by_h.orderBy("s", "s2", "rid", "q")
+    same = (F.lag("s").over(order) == F.col("s")) & (F.lag("s2").over(order) == F.col("s2"))
     met = seg.withColumns(
         {
-            "again": F.coalesce(F.lag("s").over(order) == F.col("s"), F.lit(False)) | (F.col("q").bitwiseAND(F.lit(1)) == 1),
-            "least": F.min("s").over(by_h),
-            "most": F.max("s").over(by_h),
+            "again": F.coalesce(same, F.lit(False)) | (F.col("q").bitwiseAND(F.lit(1)) == 1),
+            "differ": (F.min("s").over(by_h) != F.max("s").over(by_h)) | (F.min("s2").over(by_h) != F.max("s2").over(by_h)),
         }
     )
-    met = staged(met.filter("again OR least <> most").select("h", "rid", "q", "again"), "segments")
+    met = staged(met.filter("again OR differ").select("h", "rid", "q", "again"), "segments")
     start = F.shiftright("q", 2 * WIDE + 1)
     found = met.filter("again").select("rid", start.alias("a"), (start + F.shiftright("q", 1).bitwiseAND(F.lit((1 << WIDE) - 1))).alias("b"))
     mixed = met.filter("NOT again").select("h", "rid", "q")

@@ -159,3 +159,11 @@ def test_extension_against_trying_every_window():
             want.append(x in seen)
             seen.add(x)
     assert t.again(raw, starts, ends, bounds[:-1], h, left, n).tolist() == want
+
+
+def test_segments_that_share_half_a_hash_are_different(spark):
+    """Texts whose segments have one anchor and the same upper 32 bits of the first hash."""
+    text = "the quick brown fox jumps over the lazy dog and then walks home along the old river road by "
+    check_bytes(spark, [(1, f"{text}00001753"), (2, f"{text}00148372"), (3, f"{text}00001753")])
+    few = " ".join(f"w{i}" for i in range(18))
+    check_words(spark, [(1, f"{few} x135540 y"), (2, f"{few} x173369 y"), (3, f"{few} x135540 y")])
