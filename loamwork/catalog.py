@@ -573,6 +573,14 @@ def document_extraction(get):
 
 @query("SELECT doc_id, batch_number, least(2 * length(text) // 100 + 1 - (batch_number - 1) * 100, 100)::BIGINT AS n_examples, md5(left(text, 3000)) AS content_md5 FROM (SELECT doc_id, text, unnest(range(1, greatest(ceil((2 * length(text) // 100 + 1) / 100.0), 1)::BIGINT + 1)) AS batch_number FROM documents)")
 def request_plan(get):
+    target = F.floor(2 * F.length("text") / 100) + 1
+    return assembly.request_plan(get("documents").select("doc_id", "text"), target, "qa_pairs", windowed=False).select("doc_id", "batch_number", "n_examples", F.md5("content").alias("content_md5"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, 2 * length(text) // 100 + 1 AS target FROM documents), b AS (SELECT *, greatest(ceil(target / 100.0), 1)::BIGINT AS batches FROM d),
+w AS (SELECT *, greatest(1000, n // batches) AS size, unnest(range(1, batches + 1)) AS batch_number FROM b)
+SELECT doc_id, batch_number, least(target - (batch_number - 1) * 100, 100)::BIGINT AS n_examples, md5(left(CASE WHEN n > 2 * size THEN substr(text, least((batch_number - 1) * size // 2, n - size) + 1, size) ELSE text END, 3000)) AS content_md5 FROM w""")
+def request_plan_windows(get):
     target = F.floor(2 * F.length("text") / 100) + 1
     return assembly.request_plan(get("documents").select("doc_id", "text"), target, "qa_pairs").select("doc_id", "batch_number", "n_examples", F.md5("content").alias("content_md5"))
 

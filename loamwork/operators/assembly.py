@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-
+from .documents import window_of
 
 BATCH, SLICE = 100, 3000
 #: Row schemas of the dataset types.
@@ -18,12 +18,17 @@ SCHEMAS = {
 }
 
 
-def request_plan(df: DataFrame, target, dataset_type: str, column: str = "text") -> DataFrame:
-    """One request row per batch of 100 examples: batch_number (from 1), n_examples, content."""
+def request_plan(df: DataFrame, target, dataset_type: str, column: str = "text", windowed: bool = True) -> DataFrame:
+    """One request row per batch of 100 examples: batch_number (from 1), n_examples, content.
+
+    content is the first 3,000 characters of the batch's own window (`documents.window_of`);
+    where not windowed, of the text.
+    """
     n = F.greatest(F.ceil(target / BATCH), F.lit(1)).cast("int")
     d = df.withColumn("batch_number", F.explode(F.sequence(F.lit(1), n)))
     left = target - (F.col("batch_number") - 1) * BATCH
-    return d.withColumns({"dataset_type": F.lit(dataset_type), "n_examples": F.least(left, F.lit(BATCH)).cast("long"), "content": F.left(F.col(column), F.lit(SLICE)), "batch_number": F.col("batch_number").cast("long")})
+    own = window_of(F.col(column), F.col("batch_number") - 1, n) if windowed else F.col(column)
+    return d.withColumns({"dataset_type": F.lit(dataset_type), "n_examples": F.least(left, F.lit(BATCH)).cast("long"), "content": F.left(own, F.lit(SLICE)), "batch_number": F.col("batch_number").cast("long")})
 
 
 def parse_responses(df: DataFrame, column: str = "response", schema: str = SCHEMAS["qa_pairs"]) -> DataFrame:

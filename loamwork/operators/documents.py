@@ -198,13 +198,17 @@ def multi_document_cost(totals: DataFrame, prices=PLAN_PRICES) -> DataFrame:
     return d.withColumns({"total_cost": F.when(many, F.round(F.col("total_cost") * 1.1 * F.col("chunks"), 4)).otherwise(F.col("total_cost")), "seconds": F.when(many, F.col("seconds") * F.col("chunks")).otherwise(F.col("seconds"))})
 
 
+def window_of(c, batch, batches, least: int = 1000):
+    """The slice of text c that belongs to batch (from 0) of batches; the whole text for short ones."""
+    n, size = F.length(c), F.greatest(F.lit(least), F.floor(F.length(c) / F.greatest(batches, F.lit(1))).cast("int"))
+    start = F.least(F.floor(batch * size / 2), n - size)
+    return F.when(n > 2 * size, F.substr(c, (start + 1).cast("int"), size.cast("int"))).otherwise(c)
+
+
 def windows(df: DataFrame, batches: int, column: str = "text", least: int = 1000) -> DataFrame:
     """batch (from 0), content: overlapping slices of long texts, the whole text for short ones."""
-    c = F.col(column)
-    n, size = F.length(c), F.greatest(F.lit(least), F.floor(F.length(c) / max(batches, 1)).cast("int"))
     d = df.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-    start = F.least(F.floor(F.col("batch") * size / 2), n - size)
-    return d.withColumn("content", F.when(n > 2 * size, F.substr(c, (start + 1).cast("int"), size.cast("int"))).otherwise(c))
+    return d.withColumn("content", window_of(F.col(column), F.col("batch"), F.lit(batches), least))
 
 
 def document_ids(df: DataFrame, *parts: str) -> DataFrame:
