@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -113,14 +115,36 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZES["medium"], separato
     return d.select(id_col, "chunk_index", "total_chunks", F.aggregate(F.transform(part, X.tokens), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.array_join(part, separator).alias("content"))
 
 
+def _streamed_bins(n_groups: int, limit: int):
+    """The bins of `bins_of` for rows sorted by group and order, whose last column is the size."""
+
+    def run(batches):
+        last, now, used = None, 0, 0
+        for rb in batches:
+            groups = zip(*[rb.column(i).to_pylist() for i in range(n_groups)], strict=True) if n_groups else [()] * rb.num_rows
+            out = []
+            for g, x in zip(groups, rb.column(rb.num_columns - 1).to_pylist(), strict=True):
+                if g != last:
+                    last, now, used = g, 0, 0
+                elif used + x > limit:
+                    now, used = now + 1, 0
+                used += x
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(out, pa.int64())], names=[*rb.schema.names[:-1], "bin"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, group_cols: list[str], order_col: str, limit: int = CONTEXT, column: str = "text") -> DataFrame:
     """group, bin, n_docs, tokens, content: whole documents of a group packed greedily in order.
 
-    Only (order, tokens) of a group meet in one place for the fold; texts join their bin later.
+    Only (order, tokens) of a group meet in one task, which folds them row by row; texts join
+    their bin later.
     """
     t = docs.select(*group_cols, F.col(order_col), X.tokens(F.coalesce(F.col(column), F.lit(""))).alias("t"))
-    lists = t.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct(order_col, "t"))).alias("l"))
-    bins = lists.select(*group_cols, F.explode(F.arrays_zip(F.col(f"l.{order_col}").alias("o"), bins_of(F.col("l.t"), limit).alias("b"))).alias("x")).select(*group_cols, F.col("x.o").alias(order_col), F.col("x.b").alias("bin"))
+    dealt = (t.repartition(*group_cols) if group_cols else t.repartition(1)).sortWithinPartitions(*group_cols, order_col, "t")
+    schema = T.StructType([*dealt.schema.fields[:-1], T.StructField("bin", T.LongType())])
+    bins = dealt.mapInArrow(_streamed_bins(len(group_cols), limit), schema)
     header = F.concat(F.lit("\n\n--- Document: "), F.col(order_col).cast("string"), F.lit(" ---\n\n"), F.coalesce(F.col(column), F.lit("")))
     j = docs.select(*group_cols, order_col, column).join(bins, [*group_cols, order_col])
     return j.groupBy(*group_cols, "bin").agg(F.count("*").alias("n_docs"), F.sum(X.tokens(F.coalesce(F.col(column), F.lit("")))).alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), header.alias("h")))), lambda x: x["h"]), "").alias("content"))
@@ -140,9 +164,13 @@ def combined_content(docs: DataFrame, group_cols: list[str], order_col: str, siz
     from .transforms import text_column
 
     part = F.concat(F.lit("=== "), F.col(order_col).cast("string"), F.lit(" ===\n"), F.coalesce(text_column(docs), F.lit("")))
-    # what lies beyond the cut can't show: texts are cut before they meet
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), F.left(part, F.lit(size + 1)).alias("h")))), lambda x: x["h"]), "\n\n")
-    return docs.groupBy(*group_cols).agg(X.preview(joined, size).alias("content"))
+    # what lies beyond the cut can't show: texts are cut before they meet, and only the first
+    # rows that can reach it meet at all (each has a header of 10 characters and 2 between)
+    d = docs.select(*group_cols, F.col(order_col), F.left(part, F.lit(size + 1)).alias("h"))
+    w = Window.partitionBy(*group_cols).orderBy(F.col(order_col).asc_nulls_last(), "h")
+    d = d.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= size // 12 + 2)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), "h"))), lambda x: x["h"]), "\n\n")
+    return d.groupBy(*group_cols).agg(X.preview(joined, size).alias("content"))
 
 
 def rows_by(table: dict, value, dataset_type, capped: bool = True):
