@@ -131,8 +131,10 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: What isn't ASCII or a Latin letter, and the apostrophe (contractions) and the i's with case rules.
-ODD = re.compile("[^\t-\r\x20-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: Latin letters whose lower case is one letter of the same range.
+PLAIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and "\u00df" <= c.lower() <= "\u024f")
+#: What is neither ASCII nor such a letter, and the apostrophe (contractions).
+ODD = re.compile(f"[^\t-\r\x20-\x26\x28-\x7e{PLAIN}]")
 #: The tokenizer's own split of other text in lower case: letters, one digit, or neither.
 PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t-\r\x20a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 

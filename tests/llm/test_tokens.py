@@ -57,3 +57,34 @@ def test_chunks(spark, monkeypatch, chunk):
     d = spark.createDataFrame(odd_documents(), "doc_id long, text string")
     a = sorted(tuple(r) for r in T.token_table(d).collect())
     assert [r[1] for r in a] == list(np.cumsum([0] + [r[2] for r in a[:-1]]))
+
+
+ENCODER = T.Encoder(T.TOKENIZER)
+
+
+def equal_ids(texts):
+    e = ENCODER
+    for t, got in zip(texts, e.of([t.encode() for t in texts]), strict=True):
+        assert got == e.ids(t).tobytes(), ascii(t)
+
+
+def test_letters_whose_lower_case_leaves_the_range():
+    """Capitals of Azerbaijani, Ewe, Akan and Hausa, and their like."""
+    equal_ids(["Əliyev", "Ɔkra", "Ɓauchi", "bAƏb", "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ", "Əliyev bAƏb gecə Ɓauchi"])
+
+
+def test_every_character_of_the_first_plane():
+    marks = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff"]
+    equal_ids([f"Ab{c}De {c} {c}x{c}" for c in marks])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_texts_of_all_planes(texts):
+    equal_ids(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aBé Əɔ'sſİıǅßø1_-́K\n"), max_size=60))
+def test_texts_of_awkward_letters(text):
+    equal_ids([text])
