@@ -16,12 +16,18 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; a cluster must name one,
+    as its executors don't see each other's disks.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="loamwork-")
@@ -37,17 +43,31 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few_by_hash(df: DataFrame, cols: list[str], n: int) -> DataFrame:
-    """The n rows of least hash of cols: bounded, and the same on every run.
+def few_by_hash(df: DataFrame, cols: list[str], n: int, by: str) -> DataFrame:
+    """At most n distinct rows of cols, half of them of each value of the boolean `by`: those of
+    least hash.
 
-    Rows far from the least hashes go before anything is sorted, so what the tasks hand on
-    follows n and not their number.
+    Copies count once, so what is chosen follows the different rows and not how often each
+    stands.  Only hashes below a bound go on: it lets through about four times what is asked
+    for of each value, and is widened if fewer came.  What the tasks hand on follows n and not
+    their number, and it is the same on every run.
     """
-    total = df.count()
     h = F.xxhash64(*cols)
-    if total > 16 * n:
-        df = df.filter(h < F.lit(-(1 << 63) + (1 << 64) * 4 * n // total))
-    return df.orderBy(h, *cols).limit(n)
+    rows = df.select(*cols, h.alias("__h"))
+    half = max(n // 2, 1)
+    there = {r[0]: r[1] for r in rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.approx_count_distinct("__h", 0.02)).collect()}
+    chosen = None
+    for value, different in sorted(there.items()):
+        own, share = rows.filter(F.col(by) == value), 4 * half / max(different, 1)
+        while True:
+            near = own.filter(F.col("__h") < F.lit(int(-(1 << 63) + (1 << 64) * share))) if share < 1 else own
+            near = near.distinct()
+            if share >= 1 or near.count() >= half:
+                break
+            share *= 4
+        near = near.orderBy("__h", *cols).limit(half).select(*cols)
+        chosen = near if chosen is None else chosen.unionByName(near)
+    return chosen if chosen is not None else rows.limit(0).select(*cols)
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -65,6 +85,22 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return big.join(side, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
+def ids_serve(rows: DataFrame, id_col: str = "doc_id") -> bool:
+    """True if no id is null and none is repeated."""
+    return not rows.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).take(1)
+
+
+def in_order(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """Rows dealt by range in order of id (nulls first), a hash of the text (and `more`), then these.
+
+    Ranges are found from a sample of short keys.  The last key only splits equal rows, so
+    that a third of all rows with one id and one text doesn't meet in one task.
+    """
+    tie, apart = F.xxhash64("text", *more), F.xxhash64(F.col("__row"))
+    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    return keyed.repartitionByRange(id_col, tie, apart).sortWithinPartitions(id_col, tie, "text", *more).drop("__row")
+
+
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """((rid, text), named): rid is a unique long in ascending doc_id order; named puts
     doc_id back in the place of rid.
@@ -75,11 +111,9 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal rows are numbered in turn, so each counts as a document of its own.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    doubtful = d.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1)
-    if not doubtful.take(1):
+    if ids_serve(d):
         return d.withColumnRenamed("doc_id", "rid"), lambda out: out.withColumnRenamed("rid", "doc_id")
-    tie = F.xxhash64("text")  # ranges are found from a sample of keys: short ones
-    rows = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    rows = in_order(d, "doc_id")
     rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docrows")
     names = rows.select(F.col("rid").alias("rid2"), "doc_id")
 
@@ -91,11 +125,9 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def with_rid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with a unique column __rid: the id itself, or a number where ids are null or repeated."""
-    if not docs.groupBy(id_col).count().filter(f"{id_col} IS NULL OR count > 1").limit(1).take(1):
+    if ids_serve(docs, id_col):
         return docs.withColumn("__rid", F.col(id_col).cast("long"))
-    tie = F.xxhash64("text")
-    rows = docs.repartitionByRange(id_col, tie).sortWithinPartitions(id_col, tie, "text")
-    return staged(rows.withColumn("__rid", F.monotonically_increasing_id()), "rids")
+    return staged(in_order(docs, id_col).withColumn("__rid", F.monotonically_increasing_id()), "rids")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

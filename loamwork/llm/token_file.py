@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import join_checked, shared_dir, staged
+from .common import in_order, join_checked, shared_dir, staged
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 BLOCK = 128
@@ -262,10 +262,7 @@ def _write(name: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Tokenise documents in ascending doc_id order and write the files under path."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # ranges are found from a sample of keys: short ones
-    tie = F.xxhash64("text")
-    rows = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    rows.mapInArrow(_write(tokenizer, end_id), FILE).write.option("compression", "uncompressed").parquet(path)
+    in_order(d, "doc_id").mapInArrow(_write(tokenizer, end_id), FILE).write.option("compression", "uncompressed").parquet(path)
 
 
 def _read(batches):

@@ -3,8 +3,9 @@
 Rules are exact: a rule fits its host and all subdomains where the URL's path starts with the
 rule's path, and the longest rule wins.  URLs that no rule fits are judged by a logistic
 regression over hashed 3- to 5-grams of host and path.  It is trained from a small table of
-labelled URLs: by default at most `max_labelled` of the pages' own URLs on which a rule
-decides, those of least hash, so training rows are bounded and the same on every run.
+labelled URLs: by default at most `max_labelled` of the pages' own different URLs on which a
+rule decides, half of either verdict, those of least hash, so training rows are bounded, the
+same on every run, and of both verdicts wherever both are there.
 
 Null URLs, and those without "://", have empty host and path, fit no rule and get the
 model's verdict on empty text.  Without labelled rows the model allows everything.  Repeated
@@ -116,6 +117,6 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     d = with_rules(pages, rules)
     if labelled is None:
         labelled = d.filter("ruled IS NOT NULL").select("host", "path", (F.col("ruled") == "block").alias("blocked"))
-    few = few_by_hash(labelled.select("host", "path", "blocked"), ["host", "path", "blocked"], max_labelled).collect()
+    few = few_by_hash(labelled, ["host", "path", "blocked"], max_labelled, "blocked").collect()
     w, bias = train([r.host for r in few], [r.path for r in few], [r.blocked for r in few])
     return d.mapInArrow(_judge(w, bias), OUT)
