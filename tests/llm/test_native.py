@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
+
+import xxhash
 
 from loamwork.llm import mixing, pii, secret_scan
 
@@ -59,7 +62,16 @@ def test_no_python_in_native_plans(spark):
 
 def brute_mix(rows, weights=(5, 2, 1), epochs=3):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    h = lambda i: int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    serve = len({i for i, _, _ in rows} - {None}) == len(rows)
+    number, hashes = Counter(), []
+    for i, t, x in rows:
+        tie = 42
+        for c in (t, x):
+            tie = tie if c is None else xxhash.xxh64_intdigest(c.encode(), tie)
+        tie -= (tie >> 63) << 64
+        name = f"mix:{i}" if serve else f"mix:{'' if i is None else i}:{tie}:{number[i, tie]}"
+        number[i, tie] += 1
+        hashes.append(int(hashlib.md5(name.encode()).hexdigest()[:15], 16))
     sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
     total = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
@@ -79,22 +91,37 @@ def brute_mix(rows, weights=(5, 2, 1), epochs=3):
         q = int(goal[s] // total[s]) if total[s] else 0
         budget, cum, tau = goal[s] - q * total[s], 0.0, None
         groups = {}
-        for i, t, x in rows:
+        for (_, t, x), h in zip(rows, hashes, strict=True):
             if x == s:
-                groups[h(i)] = groups.get(h(i), 0) + size(t)
+                groups[h] = groups.get(h, 0) + size(t)
         for k in sorted(groups):
             if cum + groups[k] > budget:
                 tau = k + (abs(cum + groups[k] - budget) < abs(cum - budget))
                 break
             cum += groups[k]
-        out += [(i, size(t), total[s], round(goal[s], 6), size(t) * min(epochs, q + (tau is None or h(i) < tau))) for i, t, x in rows if x == s]
+        out += [(i, size(t), total[s], round(goal[s], 6), size(t) * min(epochs, q + (tau is None or h < tau))) for (i, t, x), h in zip(rows, hashes, strict=True) if x == s]
     return sorted(out, key=repr)
 
 
 def test_mix_against_brute_force(spark):
     r = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(r.randrange(60))), ["big"] * 5 + ["b", "c", "é", "Z", None] and r.choice(["big", "big", "big", "b", "c", "é", "Z", None])) for i in range(300)]
-    rows += [(None, "a b c", "b"), (5, None, "c"), (5, "x y", "c"), (900, "", "empty"), (901, None, "empty")]
+    rows += [(900, "", "empty"), (901, None, "empty")]
+    check_mix(spark, rows)
+    check_mix(spark, rows + [(None, "a b c", "b"), (5, None, "c"), (5, "x y", "c"), (5, "x y", "c"), (5, "x y", "b"), (None, None, None)])
+
+
+def test_mix_of_one_id_comes_near_the_targets(spark):
+    """All rows of one id, or of none, and most of them equal."""
+    for i in (7, None):
+        rows = [(i, "w " * (3 if k % 3 else 1 + k % 7), "a" if k < 600 else "b") for k in range(1000)]
+        check_mix(spark, rows)
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+        for target in {x.target for x in got}:
+            assert abs(sum(x.taken for x in got if x.target == target) - target) <= 7
+
+
+def check_mix(spark, rows):
     d = spark.createDataFrame([(*x, "t") for x in rows], "doc_id long, text string, source string, target string").repartition(3)
     got = sorted(((x.doc_id, x.size, x.source_size, round(x.target, 6), x.taken) for x in mixing.mix(d).collect()), key=repr)
     assert got == brute_mix(rows)
