@@ -4,10 +4,10 @@ Every line with a word is a position; Viterbi decoding marks it content or boile
 what its characters, words and repeats look like and from its neighbours.  A document is kept
 if its base rules hold and the share of its words on content lines is at least `share`.
 
-The field is trained here, on the lines of at most `max_docs` labelled documents (those of
-least hash of their doc_id) and at most `max_lines` lines of each: a line takes its
-document's label, the field evens out the noise of that.  Without labels of both kinds, fixed
-weights stand in.
+The field is trained here, on the lines of at most `max_docs` labelled documents (half of
+either label, those of least hash of their doc_id) and at most `max_lines` lines of each, in
+one run from a place that varies: a line takes its document's label, the field evens out the
+noise of that.  Without labels of both kinds, fixed weights stand in.
 
 Nulls and empty texts have no words; base_failed is true for them and kept is false.
 Repeated rows and ids stay as they are; other columns are passed over.
@@ -173,41 +173,45 @@ class Field:
     @classmethod
     def trained(cls, docs: list[tuple[bool, np.ndarray]], rounds: int = 150, rate: float = 0.1, ridge: float = 0.01) -> Field:
         """By gradient ascent of the likelihood, forward and backward over padded documents."""
-        docs = [(g, x) for g, x in docs if len(x)]
+        docs = sorted(((g, x) for g, x in docs if len(x)), key=lambda d: -len(d[1]))
         if len({g for g, _ in docs}) < 2:
             return cls()
-        m, top, k = len(docs), max(len(x) for _, x in docs), len(FEATURES)
-        x = np.zeros((m, top, k))
-        here = np.zeros((m, top), dtype=bool)
+        # lines by place, documents by length: those that are as long as t lines come first
+        size = np.array([len(x) for _, x in docs])
+        m, top, k = len(docs), int(size[0]), len(FEATURES)
+        x = np.zeros((top, m, k))
         for i, (_, lines) in enumerate(docs):
-            x[i, : len(lines)] = lines
-            here[i, : len(lines)] = True
+            x[: len(lines), i] = lines
+        live = np.searchsorted(-size, -np.arange(top + 1), side="left")
+        here = np.arange(top)[:, None] < size
         y = np.array([0 if g else 1 for g, _ in docs])
         # both kinds of document weigh the same
-        cost = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / here.sum(axis=1) / m
+        cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / size / m
         f = cls(np.zeros(k), np.zeros((2, 2)))
         mean = [np.zeros(k), np.zeros((2, 2))]
         var = [np.zeros(k), np.zeros((2, 2))]
-        size = here.sum(axis=1)
+        stays = np.array([(cost * (size - 1) * (y == v)).sum() for v in (0, 1)])
         for step in range(1, rounds + 1):
-            emit = np.zeros((m, top, 2))
-            emit[:, :, 1] = x @ f.weights
-            a = np.zeros((m, top, 2))
-            b = np.zeros((m, top, 2))
-            a[:, 0] = emit[:, 0]
+            # label 0 weighs 1 on every line and label 1 weighs e; a and b are label 1's shares
+            e, move = np.exp(np.clip(np.einsum("tmk,k->tm", x, f.weights), -60, 60)), np.exp(f.moves)
+            a, b = np.zeros((top, m)), np.full((top, m), 0.5)
+            a[0] = e[0] / (1 + e[0])
             for t in range(1, top):
-                a[:, t] = np.where(here[:, t, None], emit[:, t] + np.logaddexp.reduce(a[:, t - 1, :, None] + f.moves, axis=1), a[:, t - 1])
+                n = live[t]
+                one = a[t - 1, :n]
+                up = (move[0, 1] + (move[1, 1] - move[0, 1]) * one) * e[t, :n]
+                a[t, :n] = up / (up + move[0, 0] + (move[1, 0] - move[0, 0]) * one)
             for t in range(top - 2, -1, -1):
-                b[:, t] = np.where(here[:, t + 1, None], np.logaddexp.reduce(f.moves + (emit[:, t + 1] + b[:, t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(a[:, -1], axis=1)
-            p1 = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]) * here
-            gw = np.einsum("m,mt,mtk->k", cost, y[:, None] * here - p1, x) - ridge * f.weights / len(f.weights)
-            gm = np.zeros((2, 2))
-            pair = np.exp(a[:, :-1, :, None] + f.moves + (emit[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * here[:, 1:, None, None]
-            gm -= np.einsum("m,mtij->ij", cost, pair)
-            for v in (0, 1):
-                gm[v, v] += (cost * (size - 1) * (y == v)).sum()
-            gm -= ridge * f.moves
+                n = live[t + 1]
+                up, down = e[t + 1, :n] * b[t + 1, :n], 1 - b[t + 1, :n]
+                one = move[1, 0] * down + move[1, 1] * up
+                b[t, :n] = one / (one + move[0, 0] * down + move[0, 1] * up)
+            p1 = a * b / (a * b + (1 - a) * (1 - b)) * here
+            gw = np.einsum("tm,tmk->k", (y * here - p1) * cost, x) - ridge * f.weights / len(f.weights)
+            left, right = (1 - a[:-1], a[:-1]), (1 - b[1:], e[1:] * b[1:])
+            pair = [[left[i] * move[i, j] * right[j] for j in (0, 1)] for i in (0, 1)]
+            weight = here[1:] * cost / (pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1])
+            gm = np.diag(stays) - np.array([[np.vdot(weight, pair[i][j]) for j in (0, 1)] for i in (0, 1)]) - ridge * f.moves
             for j, (target, g) in enumerate(((f.weights, gw), (f.moves, gm))):
                 mean[j] = 0.9 * mean[j] + 0.1 * g
                 var[j] = 0.99 * var[j] + 0.01 * g * g
@@ -224,7 +228,10 @@ def _features(max_lines: int):
             for lo, hi in B.slabs(offs):
                 _, row, _, x = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                out += [x[cut[i] : min(cut[i + 1], cut[i] + max_lines)].astype(np.float32).tolist() for i in range(hi - lo)]
+                n = np.diff(cut)
+                # a run of lines from anywhere in the document, the same on every run
+                at = cut[:-1] + (np.diff(offs[lo : hi + 1]) * 2654435761 >> 8) % np.maximum(n - max_lines + 1, 1)
+                out += [x[at[i] : at[i] + min(n[i], max_lines)].astype(np.float32).tolist() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([good, pa.array(out, pa.list_(pa.list_(pa.float32())))], names=["good", "lines"])
 
     return run
@@ -233,9 +240,11 @@ def _features(max_lines: int):
 def train_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Field:
     """A field from at most max_docs labelled documents and max_lines lines of each."""
     few = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("lid"), (F.col("quality") > 0).alias("good"))
-    few = few_by_hash(few, ["lid", "good"], max_docs)
+    few = few_by_hash(few, ["lid", "good"], max_docs, "good")
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), F.col("doc_id") == F.col("lid"))  # few has max_docs rows at most
-    got = joined.select("good", "text").mapInArrow(_features(max_lines), TRAIN_OUT).limit(2 * max_docs).collect()
+    # where ids repeat, a label stands for the text of least hash
+    one = joined.groupBy("lid", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("good", "text").mapInArrow(_features(max_lines), TRAIN_OUT).collect()
     rows = sorted(((r.good, r.lines) for r in got), key=repr)  # in one order on every run
     return Field.trained([(g, np.array(x, dtype=np.float64).reshape(-1, len(FEATURES))) for g, x in rows])
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from loamwork.llm import fm_index, quality_crf, url_filter
+from loamwork.llm.common import few_by_hash
 
 from .helpers import WORD, odd_documents, sha, words
 
@@ -155,3 +156,47 @@ def test_fm_index_empty(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert fm_index.contamination(d.limit(0), b).count() == 0
     assert not any(r.n_hit for r in fm_index.contamination(d, b.limit(0)).collect())
+
+
+def test_sample_of_few_repeated_urls_has_both_verdicts(spark):
+    """Six different URLs in 200,000 rows: copies take no place in the sample."""
+    urls = [f"http://s{i}.com/a" for i in range(5)] + ["http://q.net/es/x"]
+    d = spark.range(200_000).selectExpr("id AS page_id", f"element_at(array({', '.join(repr(u) for u in urls)}), CAST(CASE WHEN id % 1000 = 0 THEN 6 ELSE id % 5 + 1 END AS INT)) AS url")
+    d = url_filter.with_rules(d)
+    few = few_by_hash(d.selectExpr("host", "path", "ruled = 'block' AS blocked"), ["host", "path", "blocked"], 2000, "blocked").collect()
+    assert sorted((r.host, r.blocked) for r in few) == [("q.net", True), *((f"s{i}.com", False) for i in range(5))]
+
+
+def test_sample_is_bounded_and_even(spark):
+    d = spark.range(50_000).selectExpr("id AS v", "id % 100 = 0 AS b", "1 AS other")
+    few = few_by_hash(d, ["v", "b"], 400, "b").collect()
+    assert Counter(r.b for r in few) == {True: 200, False: 200}
+    assert few == few_by_hash(d.repartition(7), ["v", "b"], 400, "b").collect()
+    assert few_by_hash(d.limit(0), ["v", "b"], 400, "b").count() == 0
+
+
+def test_documents_of_good_and_bad_halves(spark):
+    """Prose and junk in one document: lines get the label of what they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, prose(i) if i % 2 else junk(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality_crf.train_field(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    right = n = 0
+    for i in range(100, 160):
+        good, bad = prose(i).split("\n"), junk(i).split("\n")
+        lines = good + bad if i % 2 else bad + good
+        raw, offs = quality_crf.B.buffer_of(pa.array(["\n".join(lines)]))
+        _, row, _, x = quality_crf.measure(raw, offs)
+        got = field.decode(x, row)
+        want = np.array([line in bad for line in lines])
+        right, n = right + int((got == want).sum()), n + len(lines)
+    assert right >= 0.98 * n
+
+
+def test_repeated_ids_train_alike(spark):
+    rows = [(i % 7, prose(i) if i % 2 else junk(i)) for i in range(70)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    a, b = (quality_crf.train_field(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1]))
+    assert a.weights.tolist() == b.weights.tolist()
