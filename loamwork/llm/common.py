@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side is broadcast only after its rows were counted and are at most this many.
 BROADCAST_ROWS = 20_000
+#: The same for a side of one long a row.
+BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

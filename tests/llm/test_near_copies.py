@@ -64,3 +64,42 @@ def test_the_stage_takes_five_words_and_similarity(spark):
 def test_no_rows(spark):
     assert near_copies.one_of_each(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert near_copies.one_of_each(frame(spark, [(1, None), (2, " ")])).count() == 1
+
+
+def test_lists_of_many_blocks_and_batches(spark, monkeypatch):
+    """Blocks of a few texts, and groups that end in the middle of a batch."""
+    monkeypatch.setattr(near_copies, "BLOCK", 500)
+    rows = near_rows()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id for r in near_copies.one_of_each(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_firsts(rows)
+
+
+def test_group_of_near_copies_whose_middle_is_missing(spark):
+    """Some are linked to a few others only, and to no leader; columns clash."""
+    import random
+
+    base, r, rows = words(150, 7, 5000), random.Random(5), []
+    for k in range(150):
+        w = list(base)
+        for x in r.sample(range(150), 1 + k % 7):
+            w[x] = f"e{k}x{x}"
+        if k % 5 == 0:  # a second edition
+            w[20:34] = [f"second{j}" for j in range(14)]
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame([(i, t, 0, "a", "b") for i, t in rows], "doc_id long, text string, __x long, rid string, first string").repartition(5)
+    kept = near_copies.one_of_each(d)
+    assert kept.columns == d.columns
+    assert {x.doc_id for x in kept.collect()} == brute_firsts(rows)
+
+
+def test_chances_of_a_pair_at_the_threshold():
+    """What the docstring says of pairs at 0.8."""
+    from math import comb
+
+    n, p = near_copies.BANDS * near_copies.ROWS, near_copies.SIMILARITY
+    assert (1 - p**near_copies.ROWS) ** near_copies.BANDS < 4e-8
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_copies.LEAST)) < 1e-9

@@ -6,8 +6,8 @@ import pytest
 from loamwork.llm import simhash
 
 from .helpers import odd_documents, words
-from .test_dedup import brute_components
 from .test_filters import base, brute_hits, junk, prose
+from .test_near_copies import brute_firsts
 
 
 @pytest.fixture(scope="module")
@@ -31,9 +31,9 @@ def test_stages(spark, tables):
         kept[name] = sorted((r.doc_id, r.text) for r in docs.collect())
     assert not any(base(t)[5] for _, t in kept["quality"])
     assert {i for i, _ in kept["quality"]} >= set(range(100, 120)) and not {i for i, _ in kept["quality"]} & set(range(200, 210))
-    # ids may repeat: fingerprints are compared under numbers of their own
+    # ids may repeat: texts are compared under numbers of their own
     numbered = list(enumerate(t for _, t in kept["quality"]))
-    assert len(kept["near_dedup"]) == len({c for _, c in brute_components(numbered).values()})
+    assert len(kept["near_dedup"]) == len(brute_firsts(numbered))
     assert set(kept["near_dedup"]) <= set(kept["quality"])
     hits = brute_hits(list(enumerate(t for _, t in kept["near_dedup"])), [(1, " ".join(words(20, 77)))])
     assert kept["decontaminate"] == [x for k, x in enumerate(kept["near_dedup"]) if not hits[k][4]]
