@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from ..functions.text import strip
+from .order_stats import distinct_counts, quantiles
 
 ISSUE = "issue_type string, severity string, column_name string, n_affected long, ratio double, metrics map<string,double>"
 
@@ -67,8 +68,10 @@ def check_duplicates(df: DataFrame) -> DataFrame:
 def check_identifiers(df: DataFrame, exact: bool = True) -> DataFrame:
     """Repeats in id-like columns; a second null is a repeat."""
     d = M.normalize(df)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    row = d.agg(F.count("*").alias("n"), *[x for i, c in enumerate(d.columns) for x in (distinct(F.col(f"`{c}`")).alias(f"u{i}"), F.count(F.col(f"`{c}`")).alias(f"c{i}"))]).first()
+    row = d.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(d.columns)], *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(d.columns) if not exact])
+    if exact:
+        row = row.crossJoin(F.broadcast(distinct_counts(d, d.columns)))  # one row each
+    row = row.first()
     out = []
     for i, c in enumerate(d.columns):
         u, filled = row[f"u{i}"], row[f"c{i}"]
@@ -83,11 +86,12 @@ def check_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool
     """z-scores beyond 3, and quartile fences where they find over 1.5 times as many."""
     d = M.normalize(df)
     cols = columns or M.numeric(d)
-    quart = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], 10000))
-    one = d.agg(*[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), quart(F.col(c)).alias(f"q{i}"))]).first()
+    quarts = quantiles(d, cols, [0.25, 0.75], exact)
+    one = d.agg(F.lit(0).alias("none"), *[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
     aggs, use = [F.lit(0).alias("none")], []
     for i, c in enumerate(cols):
-        n, m, s, q = (one[f"{k}{i}"] for k in "nmsq")
+        n, m, s = (one[f"{k}{i}"] for k in "nms")
+        q = quarts.get(c)
         if n is None or n < 10 or not s:
             continue
         lo, hi = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
@@ -143,14 +147,22 @@ def check_formats(df: DataFrame, low_cardinality: int = 1000) -> DataFrame:
             plain.append(c)
             if row[f"ws{i}"]:
                 out.append(("inconsistent_formats", "low", c, row[f"ws{i}"], row[f"ws{i}"] / n, None))
-    for c in plain:
-        v = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count()
-        g = v.groupBy(F.lower("v").alias("l")).agg(F.count("*").alias("k")).agg(F.sum("k").alias("values"), F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("mixed")).first()
-        if g["values"] and g["values"] < low_cardinality and g.mixed:
-            out.append(("inconsistent_formats", "medium", c, g.mixed, g.mixed / g["values"], None))
+    for c, values, mixed in case_variants(df, plain):
+        if values < low_cardinality and mixed:
+            out.append(("inconsistent_formats", "medium", c, mixed, mixed / values, None))
     return issues(df.sparkSession, out)
 
 
+def case_variants(df: DataFrame, columns: list[str]) -> list[tuple[str, int, int]]:
+    """(column, values, values that differ from another in case only) of each column, in one pass."""
+    if not columns:
+        return []
+    pairs = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("i", "v")).filter("v IS NOT NULL").distinct()
+    low = pairs.groupBy("i", F.lower("v").alias("l")).agg(F.count("*").alias("k"))
+    g = low.groupBy("i").agg(F.sum("k").alias("values"), F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("mixed"))
+    return [(columns[r.i], r["values"], r.mixed) for r in g.orderBy("i").collect()]
+
+
 def check_schema(df: DataFrame, required: list[str] = (), types: dict[str, str] | None = None) -> DataFrame:
     """Missing required columns, and columns of another logical type than declared."""
     out = [("invalid_values", "critical", None, 1, 1.0, None) for c in required if c not in df.columns]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from ..functions import text as X
+from .order_stats import modes, quantiles
 
 
 def remove_duplicates(df: DataFrame, columns: list[str] | None = None, order_cols: list[str] | None = None) -> DataFrame:
@@ -40,16 +41,17 @@ def drop_missing(df: DataFrame, profile: str = "validator", threshold: float = 0
 
 def fill_missing(df: DataFrame, profile: str = "validator", values: dict | None = None) -> DataFrame:
     """Validator: a given value, else the median, else the mode (lowest of equals), else "Unknown".
-    Task: the mean, else empty text.  One aggregate."""
+    Task: the mean, else empty text."""
     d = M.normalize(df)
     values = dict(values or {})
     nums, texts = M.numeric(d), M.strings(d)
-    stats = [(c, F.percentile(F.col(c), F.lit(0.5)) if profile == "validator" else F.avg(c)) for c in nums if c not in values]
+    nums, asked = [c for c in nums if c not in values], [c for c in texts if c not in values]
     if profile == "validator":
-        stats += [(c, F.mode(F.col(c), True)) for c in texts if c not in values]
-    if stats:
-        row = d.agg(*[e.alias(f"f{i}") for i, (_, e) in enumerate(stats)]).first()
-        values |= {c: row[i] for i, (c, _) in enumerate(stats) if row[i] is not None}
+        values |= {c: q[0] for c, q in quantiles(d, nums, [0.5]).items()}
+        values |= {c: v for c, v in modes(d, asked).items() if v is not None}
+    elif nums:
+        row = d.agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(nums)]).first()
+        values |= {c: row[i] for i, c in enumerate(nums) if row[i] is not None}
     for c in texts:
         values.setdefault(c, "Unknown" if profile == "validator" else "")
     kinds = dict(d.dtypes)
@@ -82,14 +84,8 @@ def remove_outliers(df: DataFrame, columns: list[str] | None = None, threshold:
 
 def fences(df: DataFrame, columns: list[str], method: str, threshold: float, ddof: int, exact: bool) -> dict[str, tuple[float, float]]:
     d = M.normalize(df)
-    aggs = []
-    for i, c in enumerate(columns):
-        if method == "zscore":
-            aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), (F.stddev_pop(c) if ddof == 0 else F.stddev_samp(c)).alias(f"s{i}")]
-        else:
-            q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(c, [0.25, 0.75], 10000)
-            aggs += [F.count(c).alias(f"n{i}"), q.alias(f"q{i}")]
-    row = d.agg(*aggs).first()
+    quarts = quantiles(d, columns, [0.25, 0.75], exact) if method != "zscore" else {}
+    row = d.agg(F.lit(0).alias("none"), *[x for i, c in enumerate(columns) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), (F.stddev_pop(c) if ddof == 0 else F.stddev_samp(c)).alias(f"s{i}"))]).first()
     out = {}
     for i, c in enumerate(columns):
         if (row[f"n{i}"] or 0) < 3:
@@ -98,7 +94,7 @@ def fences(df: DataFrame, columns: list[str], method: str, threshold: float, ddo
             if row[f"s{i}"]:
                 out[c] = (row[f"m{i}"] - threshold * row[f"s{i}"], row[f"m{i}"] + threshold * row[f"s{i}"])
         else:
-            q1, q3 = row[f"q{i}"]
+            q1, q3 = quarts[c]
             out[c] = (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
     return out
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from ..functions.missing import long_rows
+from .order_stats import distinct_counts, quantiles
 
 
 def group_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -25,8 +26,9 @@ def nulls_distinct(df: DataFrame, exact: bool = True) -> DataFrame:
     """column_name, n_rows, null_count, null_pct, unique_count, unique_pct."""
     df = M.normalize(df)
     cols = df.columns
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(cols)], *[distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols)])
+    row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(cols)], *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols) if not exact])
+    if exact:
+        row = row.crossJoin(F.broadcast(distinct_counts(df, cols)))  # one row each
     out = row.select("*", *[x for i in range(len(cols)) for x in (F.col("n").alias(f"n_rows__{i}"), F.coalesce(f"m{i}", F.lit(0)).alias(f"null_count__{i}"), F.col(f"u{i}").alias(f"unique_count__{i}"), F.when(F.col("n") > 0, F.round(100 * F.col(f"m{i}") / F.col("n"), 6)).alias(f"null_pct__{i}"), F.when(F.col("n") > 0, F.round(100 * F.col(f"u{i}") / F.col("n"), 6)).alias(f"unique_pct__{i}"))])
     return long_rows(out, cols, {"n_rows": "long", "null_count": "long", "null_pct": "double", "unique_count": "long", "unique_pct": "double"})
 
@@ -35,13 +37,13 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, exact: bool =
     """column_name, n, mean, std, min, q25, q50, q75, max of the numeric columns."""
     df = M.normalize(df)
     cols = columns or M.numeric(df)
-    quart = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10000))
+    quarts = quantiles(df, cols, [0.25, 0.5, 0.75], exact)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
-        aggs += [F.count(x).alias(f"n__{i}"), F.avg(x).alias(f"mean__{i}"), F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}"), quart(x).alias(f"q{i}")]
+        aggs += [F.count(x).alias(f"n__{i}"), F.avg(x).alias(f"mean__{i}"), F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}")]
     row = df.agg(*aggs)
-    row = row.select("*", *[F.col(f"q{i}")[k].alias(f"{name}__{i}") for i in range(len(cols)) for k, name in enumerate(("q25", "q50", "q75"))])
+    row = row.select("*", *[F.lit(quarts[c][k] if c in quarts else None).cast("double").alias(f"{name}__{i}") for i, c in enumerate(cols) for k, name in enumerate(("q25", "q50", "q75"))])
     metrics = ("mean", "std", "min", "q25", "q50", "q75", "max")
     out = long_rows(row, cols, {"n": "long", **dict.fromkeys(metrics, "double")})
     return out.withColumns({m: F.round(m, digits) for m in metrics})

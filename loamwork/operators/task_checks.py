@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from .checks import issues
+from .order_stats import distinct_counts, quantiles
 
 
 def cell_counts(df: DataFrame):
@@ -27,9 +28,8 @@ def task_quality(df: DataFrame, factor: float = 1.5, exact: bool = True) -> tupl
         out.append(("duplicates", "medium", None, dup, dup / n, None))
     d, cols = M.normalize(df), M.numeric(df)
     if cols and n:
-        q = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], 10000))
-        one = d.agg(*[q(F.col(c)).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        fences = {c: (one[i][0] - factor * (one[i][1] - one[i][0]), one[i][1] + factor * (one[i][1] - one[i][0])) for i, c in enumerate(cols) if one[i]}
+        quarts = quantiles(d, cols, [0.25, 0.75], exact)
+        fences = {c: (lo - factor * (hi - lo), hi + factor * (hi - lo)) for c, (lo, hi) in quarts.items()}
         if fences:
             two = d.agg(*[F.coalesce(F.sum(((F.col(c) < lo) | (F.col(c) > hi)).cast("long")), F.lit(0)).alias(f"o{i}") for i, (c, (lo, hi)) in enumerate(fences.items())]).first()
             out += [("outliers", "low", c, two[i], two[i] / n, {"lower_bound": float(lo), "upper_bound": float(hi)}) for i, (c, (lo, hi)) in enumerate(fences.items()) if two[i]]
@@ -42,7 +42,7 @@ def task_quality(df: DataFrame, factor: float = 1.5, exact: bool = True) -> tupl
 def dataset_quality(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row with overall_score, column_name and score of every column)."""
     n, k, missing, dup = cell_counts(df)
-    distinct = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(df.columns)]).first()
+    distinct = distinct_counts(df, df.columns).first()
     cells = n * k
     overall = 100 - 30 * (sum(missing.values()) / cells if cells else 0) - 20 * (dup / n if n else 0)
     cols = [(c, round(max(0.0, 100 - 50 * (m / n if n else 0) - (30 if distinct[i] == 1 and n > 1 else 0)), 2)) for i, (c, m) in enumerate(missing.items())]
