@@ -1,7 +1,7 @@
 """PII: surrogate generation for detected entities.
 
-Entities are e-mail and IP addresses, social security, phone and card numbers, and names after
-a title.  Each is replaced by a surrogate of its own type and format, made from a keyed digest
+Entities are e-mail (in any script) and IP addresses, social security, phone, card and account
+(IBAN) numbers, and names after a title; names without one are not looked for.  Each is replaced by a surrogate of its own type and format, made from a keyed digest
 of its canonical form: letters stay letters and digits digits where they stood, a card number
 that passes the Luhn test still does, an IP address is valid, a name keeps its title and gets a
 given name of the title's gender in its own script.
@@ -22,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, doc_rows, staged
+from .common import BROADCAST_ROWS, staged
 from .spans import bind, located, total
 
-KEY, ROUNDS, LATE = "surrogate-key", 24, 6
+KEY, ROUNDS, LAST, COUNTRY = "surrogate-key", 24, 40, "1"
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {
@@ -53,10 +53,11 @@ SYLLABLES = {
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _titles = "|".join(t.replace(".", r"\.") for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,4}\)?){1,2}(?:[ .-][0-9]{2,8}){1,4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\x20\p{{Lu}}\p{{L}}+(?:\x20\p{{Lu}}\p{{L}}+)?",
 }
@@ -75,10 +76,11 @@ def kind_of(m):
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
         F.when(F.contains(m, F.lit("@")), "email")
+        .when(F.rlike(m, F.lit(r"^[A-Z]{2}[0-9]{2}")), "iban")
         .when(F.rlike(m, F.lit(r"^\p{L}")), "name")
         .when(F.rlike(m, F.lit(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")) & F.rlike(m, F.lit(rf"^(?:{OCTET}\.){{3}}{OCTET}$")), "ip")
         .when(F.rlike(m, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), "ssn")
-        .when(F.rlike(m, F.lit(PATTERNS["phone"])) & (F.length(digits) <= 13), "phone")
+        .when(F.startswith(m, F.lit("+")) | F.rlike(m, F.lit(PATTERNS["phone"])) & (F.length(digits) <= 13), "phone")
         .otherwise("card")
     )
 
@@ -93,7 +95,9 @@ def canonical(t, m):
     gender = F.when(title_of(m).isin(*TITLES["m"]), "m").when(title_of(m).isin(*TITLES["f"]), "f").otherwise("n")
     # a name's gender is part of it: Mr. Berg and Mrs. Berg are two persons
     name = F.concat_ws(" ", gender, F.lower(F.regexp_replace(m, rf"^(?:{_titles})\x20", "")))
-    return rule(t, lambda k: {"email": F.lower(m), "ip": m, "ssn": digits, "phone": F.right(digits, F.lit(10)), "card": digits, "name": name}[k])
+    code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?:[^0-9]|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)", 1)).otherwise(F.lit(COUNTRY))
+    rest = F.when(F.startswith(m, F.lit("+")), F.substr(digits, F.length(code) + 1, F.length(digits))).otherwise(digits)
+    return rule(t, lambda k: {"email": F.lower(m), "ip": m, "ssn": digits, "phone": F.concat_ws("-", code, rest), "card": digits, "name": name, "iban": F.replace(m, F.lit(" "))}[k])
 
 
 def draw(t, norm, attempt, key: str):
@@ -121,6 +125,12 @@ def number(norm, h):
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: digit(h, i)), "")
 
 
+def phone(norm, h):
+    """Country code, hyphen, number: the code stays."""
+    parts = F.split(norm, "-")
+    return F.concat_ws("-", F.get(parts, 0), number(F.get(parts, 1), h))
+
+
 def card(norm, h):
     body = bind(F.length(norm), lambda n: F.concat(F.left(norm, F.lit(1)), F.substr(number(norm, h), F.lit(2), n - 2)))
     check = lambda b: ((10 - luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")
@@ -131,18 +141,36 @@ def address(norm, h):
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.conv(F.substr(h, i * 4, F.lit(3)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
 
 
+#: Letters to draw from, by script.
+ALPHABETS = {"cyrillic": "бвгдклмнпрстаеио", "greek": "βγδζκλμνπρσταειο", "latin": "bdfgklmnprstaeio"}
+
+
 def letters(text, h, attempt):
     """Letters and digits of an address drawn anew where they stand; the last label stays."""
-    low = F.array(*[F.lit(c) for c in "bdfgklmnprstaeio"])
+    of = {k: F.array(*[F.lit(c) for c in v]) for k, v in ALPHABETS.items()}
 
     def one(c, i):
-        return F.when(F.rlike(c, F.lit("[0-9]")), digit(h, i)).when(F.rlike(c, F.lit(r"\p{L}")), F.get(low, nibble(h, i))).otherwise(c)
+        script = F.when(F.rlike(c, F.lit(r"\p{IsCyrillic}")), of["cyrillic"]).when(F.rlike(c, F.lit(r"\p{IsGreek}")), of["greek"]).otherwise(of["latin"])
+        return F.when(F.rlike(c, F.lit("[0-9]")), digit(h, i)).when(F.rlike(c, F.lit(r"\p{L}")), F.get(script, nibble(h, i))).otherwise(c)
 
-    label = F.regexp_extract(text, r"(\.[A-Za-z]+)$", 1)
+    label = F.regexp_extract(text, r"(\.\p{L}+)$", 1)
     head = F.left(text, F.length(text) - F.length(label))
     drawn = bind(head, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: bind(F.substr(x, i, F.lit(1)), lambda c: one(c, i))), ""))
-    # short addresses have few forms: late attempts grow longer
-    return F.concat(F.when(attempt >= LATE, F.left(h, F.lit(12))).otherwise(F.lit("")), drawn, label)
+    # short addresses have few forms: once these are full, addresses grow longer
+    return F.concat(F.when(attempt >= ROUNDS, F.left(h, F.lit(12))).otherwise(F.lit("")), drawn, label)
+
+
+def account(norm, h):
+    """An account number of the same country, letters and digits where they stood, its check digits right."""
+    capital = F.array(*[F.lit(c) for c in "ABCDEFGHJKLMNPRS"])
+    one = lambda c, i: F.when(F.rlike(c, F.lit("[0-9]")), digit(h, i)).otherwise(F.get(capital, nibble(h, i)))
+    land = F.left(norm, F.lit(2))
+    body = F.array_join(F.transform(F.sequence(F.lit(5), F.length(norm)), lambda i: bind(F.substr(norm, i, F.lit(1)), lambda c: one(c, i))), "")
+    # ISO 7064: letters count from 10, the whole modulo 97 is 1
+    value = lambda c: F.when(F.rlike(c, F.lit("[0-9]")), c.cast("int")).otherwise(F.ascii(c) - 55)
+    chars = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)))
+    rest = lambda x: F.aggregate(chars(x), F.lit(0), lambda a, c: bind(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
+    return bind(body, lambda b: F.concat(land, F.lpad((98 - rest(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
 
 
 def person(norm, h, attempt):
@@ -150,7 +178,7 @@ def person(norm, h, attempt):
     script = F.when(F.rlike(norm, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(norm, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
     given = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
     syllables = F.create_map(*[x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
-    count = F.when(attempt >= LATE, 8).otherwise(4)
+    count = F.when(attempt >= ROUNDS, 8).otherwise(4)
     family = bind(F.element_at(syllables, script), lambda s: F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.get(s, nibble(h, i + 8))), ""))
     first = bind(F.element_at(given, F.concat_ws(" ", F.left(norm, F.lit(1)), script)), lambda g: F.lower(F.get(g, F.conv(F.left(h, F.lit(7)), 16, 10).cast("int") % F.size(g))))
     two = F.size(F.split(norm, " ")) > 2
@@ -159,23 +187,23 @@ def person(norm, h, attempt):
 
 def surrogate(t, norm, attempt, key: str = KEY):
     """Canonical form of the surrogate of a canonical form."""
-    return bind(draw(t, norm, attempt, key), lambda h: rule(t, lambda k: {"email": letters(norm, h, attempt), "ip": address(norm, h), "ssn": number(norm, h), "phone": number(norm, h), "card": card(norm, h), "name": person(norm, h, attempt)}[k]))
+    return bind(draw(t, norm, attempt, key), lambda h: rule(t, lambda k: {"email": letters(norm, h, attempt), "ip": address(norm, h), "ssn": number(norm, h), "phone": phone(norm, h), "card": card(norm, h), "iban": account(norm, h), "name": person(norm, h, attempt)}[k]))
 
 
 def written(t, m, new):
     """The surrogate in the format of the mention m."""
 
-    def filled(m, new):
-        # digits before the last ones (a country code) stay
-        parts = F.split(m, "[0-9]", -1)
-        kept = F.regexp_replace(m, "[^0-9]", "")
-        return bind(F.concat(F.left(kept, F.greatest(F.length(kept) - F.length(new), F.lit(0))), new), lambda d: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.substr(d, i + 1, F.lit(1)))), ""))
+    def filled(m, new, kept):
+        # what m itself holds of them: a country code may be left out
+        parts = F.split(m, kept, -1)
+        n = F.size(parts) - 1
+        return bind(F.right(F.replace(new, F.lit("-")), n), lambda d: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.substr(d, i + 1, F.lit(1)))), ""))
 
     shout = lambda s: F.when(m == F.upper(m), F.upper(s)).otherwise(s)
     name = F.substr(new, F.lit(3), F.length(new))
     title = title_of(m)
     cased = F.when(F.substr(m, F.length(title) + 2, F.length(m)) == F.upper(F.substr(m, F.length(title) + 2, F.length(m))), F.upper(name)).otherwise(F.initcap(name))
-    return rule(t, lambda k: {"email": shout(new), "ip": new, "name": F.concat_ws(" ", title, cased)}.get(k, filled(m, new)))
+    return rule(t, lambda k: {"email": shout(new), "ip": new, "name": F.concat_ws(" ", title, cased)}.get(k, filled(m, new, "[0-9A-Z]" if k == "iban" else "[0-9]")))
 
 
 def entities(text):
@@ -184,7 +212,7 @@ def entities(text):
     return F.transform(located(text, ANY), typed)
 
 
-def exceptions(norms: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def exceptions(norms: DataFrame, key: str = KEY, rounds: int = LAST) -> DataFrame:
     """(type, norm, attempt) of the canonical forms whose first surrogate can't stand.
 
     `norms` holds distinct staged (type, norm).  Each round draws for those that lost the
@@ -194,17 +222,17 @@ def exceptions(norms: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFr
     attempt = F.lit(0)
     settled = staged(norms.withColumn("attempt", attempt).withColumn("new", surrogate(F.col("type"), F.col("norm"), F.col("attempt"), key)), "surrogates")
     taken = norms.select(F.col("type").alias("t2"), F.col("norm").alias("n2"))
-    for _ in range(rounds):
+    for tried in range(rounds):
         first = F.row_number().over(Window.partitionBy("type", "new").orderBy("attempt", "norm"))
         marked = settled.withColumn("rn", first).join(taken.hint("merge"), (F.col("type") == F.col("t2")) & (F.col("new") == F.col("n2")), "left")
         marked = staged(marked.select("type", "norm", "attempt", "new", ((F.col("rn") > 1) | F.col("n2").isNotNull()).alias("lost")), "surrogates")
         lost = marked.filter("lost")
-        if not lost.limit(1).take(1):
+        if tried == rounds - 1 or not lost.limit(1).take(1):
             return marked.filter("attempt > 0").select("type", "norm", "attempt")
         again = lost.select("type", "norm", (F.col("attempt") + 1).alias("attempt"))
         again = again.withColumn("new", surrogate(F.col("type"), F.col("norm"), F.col("attempt"), key))
         settled = staged(marked.filter("NOT lost").select("type", "norm", "attempt", "new").unionByName(again), "surrogates")
-    raise ValueError("a format has too few forms for its entities")
+    raise ValueError("rounds must be at least 1")
 
 
 def rebuilt(text, found, attempts, key: str):
@@ -223,20 +251,17 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, entities): text with surrogates; entities as type:start:end
     of the original text, comma-joined."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    norms = rows.select(F.explode(entities(F.col("text"))).alias("e")).select("e.type", "e.norm").distinct()
+    # texts are searched once; what is found is written beside them
+    rows = staged(rows.withColumns({"rid": F.monotonically_increasing_id(), "found": entities(F.col("text"))}), "found")
+    norms = rows.select(F.explode("found").alias("e")).select("e.type", "e.norm").distinct()
     odd = staged(exceptions(staged(norms, "entities"), key), "exceptions")
     name = F.concat_ws("|", "type", "norm")
     if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         attempts = odd.agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("attempts"))  # one row of few entries
-        d = rows.crossJoin(F.broadcast(attempts)).withColumn("found", entities(F.col("text")))
-        restore = lambda out: out
+        d = rows.crossJoin(F.broadcast(attempts))
     else:
-        rows, named = doc_rows(docs)
-        d = rows.withColumn("found", entities(F.col("text")))
-        mentions = d.select("rid", F.explode("found").alias("e")).select("rid", "e.type", "e.norm").distinct()
+        mentions = rows.select("rid", F.explode("found").alias("e")).select("rid", "e.type", "e.norm").distinct()
         per_doc = mentions.join(odd.hint("merge"), ["type", "norm"]).groupBy(F.col("rid").alias("rid2")).agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("attempts"))
-        d = d.join(per_doc.hint("merge"), F.col("rid") == F.col("rid2"), "left")
-        restore = lambda out: named(out)
+        d = rows.join(per_doc.hint("merge"), F.col("rid") == F.col("rid2"), "left")
     listed = F.array_join(F.transform("found", lambda e: F.concat_ws(":", e["type"], e["start"], e["end"])), ",")
-    first = "doc_id" if "doc_id" in d.columns else "rid"
-    return restore(d.select(first, rebuilt(F.col("text"), F.col("found"), F.col("attempts"), key).alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(listed, F.lit("")).alias("entities")))
+    return d.select("doc_id", rebuilt(F.col("text"), F.col("found"), F.col("attempts"), key).alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(listed, F.lit("")).alias("entities"))

@@ -194,3 +194,59 @@ def test_exceptions_joined_by_document(spark, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", -1)
     assert sorted((r.doc_id, r.text) for r in pii.with_surrogates(d).collect()) == want
     assert pii.with_surrogates(d.limit(0)).count() == 0
+
+
+def entities_of(r, t):
+    return [(k, t[int(a) : int(e)]) for k, a, e in (x.split(":") for x in r.entities.split(",") if x)]
+
+
+def test_phones_keep_their_country_and_addresses_their_script(spark):
+    texts = [
+        (1, "call +1 555-123-4567 or +44 555-123-4567 or 555-123-4567, or +49 30 123456."),
+        (2, "пишите иван@почта.ru или ivan@mail.de, νίκος@ταχυδρομείο.gr"),
+        (3, "account DE89 3704 0044 0532 0130 00, DE89370400440532013000 and GB29NWBK60161331926819."),
+    ]
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [k for i, t in texts for k, _ in entities_of(got[i], t)] == ["phone"] * 4 + ["email"] * 3 + ["iban"] * 3
+    one, british, bare, german = re.search(r"call (.+) or (.+) or (.+), or (.+)\.$", got[1].text).groups()
+    assert re.fullmatch(r"\+1 \d{3}-\d{3}-\d{4}", one) and re.fullmatch(r"\+44 \d{3}-\d{3}-\d{4}", british) and re.fullmatch(r"\+49 \d\d \d{6}", german)
+    assert one[3:] == bare != british[4:] and "123-4567" not in got[1].text
+    cyrillic, latin, greek = re.search(r"пишите (\S+) или (\S+), (\S+)$", got[2].text).groups()
+    assert re.fullmatch(r"[а-я]{4}@[а-я]{5}\.ru", cyrillic) and re.fullmatch(r"[a-z]{4}@[a-z]{4}\.de", latin) and re.fullmatch(r"[α-ω]{5}@[α-ω]{11}\.gr", greek)
+    spaced, dense, gb = re.search(r"account (.+), (\S+) and (\S+)\.$", got[3].text).groups()
+    assert spaced.replace(" ", "") == dense != "DE89370400440532013000" and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", spaced) and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", gb)
+    for x in (dense, gb):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_surrogates_over_a_made_up_corpus(spark):
+    """Every mention against brute force: one surrogate for each entity, different ones for different
+    entities, none an entity of the corpus, and each in its mention's own format."""
+    r = random.Random(8)
+    people = [f"{t} {g} {f}" for t in ("Mr.", "Mrs.", "Dr.") for g in ("John", "Anna") for f in ("Berg", "Stone", "Lake")]
+    mails = [f"{a}.{b}@{c}.org" for a in ("ann", "bob") for b in ("li", "ma") for c in ("mail", "post")] + [f"{c}@x.io" for c in "abcdefghij"]
+    numbers = [f"{r.randrange(200, 999)}-555-{k:04d}" for k in range(40)] + [f"{k:03d}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}" for k in range(100, 140)] + [f"10.{k}.{r.randrange(255)}.7" for k in range(40)]
+    entities = people + mails + numbers
+    texts = [(i, " ; ".join(r.choice([x, x.upper() if "@" in x else x]) for x in r.sample(entities, 12))) for i in range(150)]
+    got = {x.doc_id: x for x in pii.with_surrogates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    new: dict[str, set] = {}
+    for i, t in texts:
+        assert got[i].n_entities == 12
+        for a, b in zip(t.split(" ; "), got[i].text.split(" ; "), strict=True):
+            new.setdefault(a.lower(), set()).add(b.lower())
+            shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s)))
+            if "@" in a or "-" in a:
+                assert shape(a) == shape(b)
+            elif a[0].isupper():
+                assert re.fullmatch(r"(Mr\.|Mrs\.|Dr\.) [A-Z][a-z]+ [A-Z][a-z]+", b) and b.split()[0] == a.split()[0]
+    assert all(len(x) == 1 for x in new.values())
+    flat = [next(iter(x)) for x in new.values()]
+    assert len(set(flat)) == len(flat) and not set(flat) & set(new)
+
+
+def test_full_formats_give_a_result(spark, monkeypatch):
+    """More addresses than their format has forms grow longer; nothing is raised."""
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rows = [(i, f"{c}@{d}.io") for i, (c, d) in enumerate((c, d) for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst")]
+    got = [r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
