@@ -166,7 +166,7 @@ def safe_cast(get):
     return transforms.cast(d, {"o_orderkey": "string", "total_text": "double"})
 
 
-@query()
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 1000")
 def hash_sample(get):
     return transforms.sample_by_hash(get("events"), ["event_id"], 1000).select("event_id", "user_id", "event_type")
 
@@ -281,13 +281,19 @@ def check_missing(get):
     return plain(checks.check_missing(get("dirty_customer")))
 
 
-@query("""SELECT 'duplicates' AS issue_type, CASE WHEN sum(n - 1) / sum(n)::DOUBLE > .05 THEN 'high' ELSE 'medium' END AS severity, NULL::VARCHAR AS column_name, sum(n - 1)::BIGINT AS n_affected, round(sum(n - 1) / sum(n)::DOUBLE, 6) AS ratio
-FROM (SELECT count(*) AS n FROM dirty_customer GROUP BY c_custkey, c_acctbal, c_mktsegment, c_nationkey)""", ("dirty_customer",))
+DUPLICATES_SQL = """SELECT 'duplicates' AS issue_type, CASE WHEN sum(n - 1) / sum(n)::DOUBLE > .05 THEN 'high' ELSE 'medium' END AS severity, NULL::VARCHAR AS column_name, sum(n - 1)::BIGINT AS n_affected, round(sum(n - 1) / sum(n)::DOUBLE, 6) AS ratio
+FROM (SELECT count(*) AS n FROM dirty_customer GROUP BY c_custkey, c_acctbal, c_mktsegment, c_nationkey)"""
+
+
+@query(DUPLICATES_SQL, ("dirty_customer",))
 def check_duplicates(get):
     return plain(checks.check_duplicates(get("dirty_customer")))
 
 
-@query(union([f"SELECT 'duplicates' AS issue_type, 'critical' AS severity, '{c}' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM (SELECT count(*) - count(DISTINCT {c}) AS n, count(*) AS t FROM dirty_customer) WHERE n > 0" for c in ("c_custkey", "c_nationkey")]), ("dirty_customer",))
+DUP_IDS_SQL = union([f"SELECT 'duplicates' AS issue_type, 'critical' AS severity, '{c}' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM (SELECT count(*) - count(DISTINCT {c}) AS n, count(*) AS t FROM dirty_customer) WHERE n > 0" for c in ("c_custkey", "c_nationkey")])
+
+
+@query(DUP_IDS_SQL, ("dirty_customer",))
 def check_dup_ids(get):
     return plain(checks.check_identifiers(get("dirty_customer")))
 
@@ -308,9 +314,12 @@ def check_dates_numbers(get):
     return plain(checks.check_formats(get("dirty_orders").select("order_date_text", "total_text")))
 
 
-@query("""WITH v AS (SELECT c_mktsegment AS v FROM dirty_customer WHERE c_mktsegment IS NOT NULL), w AS (SELECT count(*) FILTER (v <> trim(v)) AS n, count(*) AS t FROM v),
+CASE_SQL = """WITH v AS (SELECT c_mktsegment AS v FROM dirty_customer WHERE c_mktsegment IS NOT NULL), w AS (SELECT count(*) FILTER (v <> trim(v)) AS n, count(*) AS t FROM v),
 g AS (SELECT sum(k) AS t, sum(k) FILTER (k > 1) AS n FROM (SELECT count(DISTINCT v) AS k FROM v GROUP BY lower(v)))
-SELECT 'inconsistent_formats' AS issue_type, 'low' AS severity, 'c_mktsegment' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM w UNION ALL SELECT 'inconsistent_formats', 'medium', 'c_mktsegment', n::BIGINT, round(n / t::DOUBLE, 6) FROM g""", ("dirty_customer",))
+SELECT 'inconsistent_formats' AS issue_type, 'low' AS severity, 'c_mktsegment' AS column_name, n AS n_affected, round(n / t::DOUBLE, 6) AS ratio FROM w UNION ALL SELECT 'inconsistent_formats', 'medium', 'c_mktsegment', n::BIGINT, round(n / t::DOUBLE, 6) FROM g"""
+
+
+@query(CASE_SQL, ("dirty_customer",))
 def check_whitespace_case(get):
     return plain(checks.check_formats(get("dirty_customer")))
 
@@ -348,18 +357,37 @@ def column_scores(get):
     return checks.column_scores(d, checks.check_missing(d))
 
 
-@query()
+def outlier_sql(tab: str, c: str) -> str:
+    return f"""SELECT 'outliers' AS issue_type, unnest(['medium', 'low']) AS severity, '{c}' AS column_name, unnest([z, CASE WHEN q3 > q1 AND f > 1.5 * z THEN f ELSE 0 END]) AS n_affected, n AS n_all
+FROM (SELECT count(*) FILTER (abs(({c} - m) / s) > 3) AS z, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS f, any_value(n) AS n, any_value(q1) AS q1, any_value(q3) AS q3
+FROM {tab}, (SELECT avg({c}) AS m, stddev_samp({c}) AS s, quantile_cont({c}::DOUBLE, .25) AS q1, quantile_cont({c}::DOUBLE, .75) AS q3, count({c}) AS n FROM {tab}))"""
+
+
+#: All issues of dirty_customer that need no schema and no rules: issue_type, severity, column_name, n_affected, ratio.
+ISSUES_SQL = f"""SELECT * FROM ({MISSING_SQL}) UNION ALL SELECT * FROM ({DUPLICATES_SQL})
+UNION ALL SELECT * FROM ({DUP_IDS_SQL}) UNION ALL SELECT * FROM ({CASE_SQL}) WHERE n_affected > 0
+UNION ALL SELECT issue_type, severity, column_name, n_affected, round(n_affected / n_all::DOUBLE, 6) AS ratio FROM ({union([outlier_sql("dirty_customer", c) for c in ("c_custkey", "c_acctbal", "c_nationkey")])}) WHERE n_affected > 0
+UNION ALL SELECT 'pii_detected', 'critical', 'c_mktsegment', n, NULL FROM ({union([f"SELECT count(*) FILTER (regexp_matches(c_mktsegment, '{p}')) AS n FROM dirty_customer" for p in checks.PII.values()])}) WHERE n > 0"""
+SCORE_SQL = """SELECT greatest(0, 100 - least(2 * w, 100)) * 0.8 + 20 * completeness AS score, c FROM
+(SELECT coalesce(sum(CASE severity WHEN 'critical' THEN 10.0 WHEN 'high' THEN 5.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END), 0) AS w, count(*) FILTER (severity = 'critical') AS c FROM i),
+(SELECT (count(c_custkey) + count(c_acctbal) + count(c_mktsegment) + count(c_nationkey)) / (4.0 * count(*)) AS completeness FROM dirty_customer)"""
+
+
+@query(f"""SELECT issue_type, severity, column_name, n_affected::BIGINT AS n_affected, ratio FROM ({ISSUES_SQL}) UNION ALL SELECT 'invalid_values', 'critical', NULL, 1, 1.0
+UNION ALL SELECT 'business_rule_violations', 'high', 'c_acctbal', n, round(n / t::DOUBLE, 6) FROM (SELECT count(*) FILTER (c_acctbal < 0) AS n, count(*) AS t FROM dirty_customer) WHERE n > 0""", ("dirty_customer",))
 def full_validation(get):
     return plain(checks.validate(get("dirty_customer"), {"required": ["c_email"]}, [{"type": "range", "column": "c_acctbal", "min": 0}]))
 
 
-@query()
+@query(f"""WITH i AS ({ISSUES_SQL}), s AS ({SCORE_SQL})
+SELECT c = 0 AND score >= 70 AS passed, CASE WHEN c > 0 THEN 'critical issues' WHEN score < 70 THEN 'score below minimum' ELSE '' END AS reason FROM s""", ("dirty_customer",))
 def validation_gate(get):
     d = get("dirty_customer")
     return checks.gate(checks.overall_score(d, checks.validate(d)))
 
 
-@query()
+@query(f"""WITH i AS ({ISSUES_SQL}), c AS (SELECT issue_type, array_to_string(list_sort(list(DISTINCT column_name) FILTER (column_name IS NOT NULL))[1:5], ', ') AS cols FROM i GROUP BY 1)
+SELECT issue_type, replace(advice, '{{}}', coalesce(cols, '')) AS advice FROM c JOIN (SELECT unnest({list(checks.ADVICE)}) AS t, unnest({list(checks.ADVICE.values())}) AS advice) ON t = issue_type""", ("dirty_customer",))
 def validation_advice(get):
     return checks.recommendations(checks.validate(get("dirty_customer")))
 
@@ -410,7 +438,7 @@ def clean_strip_case(get):
     return cleaning.standardize_case(cleaning.strip_whitespace(d), "upper")
 
 
-@query()
+@query("SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+'), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), '')) AS title_md5 FROM documents")
 def title_case(get):
     return get("documents").select("doc_id", F.md5(X.title(F.col("text"))).alias("title_md5"))
 
@@ -504,13 +532,22 @@ def collection_summary(get):
     return documents.collection_summary(get("documents"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), l AS (SELECT doc_id, CASE WHEN length(x) // 4 <= 200 THEN [x] ELSE string_split(x, chr(10)) END AS p FROM d),
+e AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM l), o AS (SELECT doc_id, k, part, length(part) // 4 AS t FROM e),
+r AS (SELECT doc_id, k, 0::BIGINT AS bin, t AS used FROM o WHERE k = 1 UNION ALL
+ SELECT o.doc_id, o.k, CASE WHEN used + t > 200 THEN bin + 1 ELSE bin END, CASE WHEN used + t > 200 THEN t ELSE used + t END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+SELECT doc_id, bin AS chunk_index, max(bin) OVER (PARTITION BY doc_id) + 1 AS total_chunks, tokens, content_md5 FROM
+(SELECT doc_id, bin, sum(t)::BIGINT AS tokens, md5(string_agg(part, chr(10) ORDER BY o.k)) AS content_md5 FROM r JOIN o USING (doc_id, k) GROUP BY 1, 2)""")
 def chunk_documents(get):
     d = documents.chunk_documents(get("documents"), 200, "\n")
     return d.select("doc_id", "chunk_index", "total_chunks", "tokens", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, text, length(coalesce(text, '')) // 4 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, k, 0::BIGINT AS bin, t AS used FROM o WHERE k = 1 UNION ALL
+ SELECT o.source, o.k, CASE WHEN used + t > 20000 THEN bin + 1 ELSE bin END, CASE WHEN used + t > 20000 THEN t ELSE used + t END FROM r JOIN o ON o.source = r.source AND o.k = r.k + 1)
+SELECT source, bin, count(*) AS n_docs, sum(t)::BIGINT AS tokens, md5(string_agg(chr(10) || chr(10) || '--- Document: ' || doc_id || ' ---' || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY doc_id)) AS content_md5
+FROM r JOIN o USING (source, k) GROUP BY 1, 2""")
 def combine_documents(get):
     d = documents.pack_documents(get("documents"), ["source"], "doc_id", 20000)
     return d.select("source", "bin", "n_docs", "tokens", F.md5("content").alias("content_md5"))
@@ -610,7 +647,8 @@ def pattern_entities(get):
     return good.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT doc_id, array_to_string(s[1:5], ' ') AS text, array_to_string(s[1:2], ' ') AS summary FROM
+(SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents) WHERE len(s) >= 3""")
 def lead_summaries(get):
     return assembly.lead_summaries(get("documents"))
 
@@ -1066,3 +1104,6 @@ def fuse_hierarchical(get):
     d = get("documents")
     out = fusion.hierarchical({"a": d.select("doc_id", "n_chars"), "b": d.select("doc_id", "lang"), "c": get("labels").select("doc_id", "quality")}, ["doc_id"], [[["a", "b"]]])
     return out.withColumnsRenamed({"a_b_a_n_chars": "n_chars", "a_b_b_lang": "lang", "c_c_quality": "quality", "c_quality": "quality"})
+
+
+from . import catalog_io  # noqa: E402, F401  registers its queries here

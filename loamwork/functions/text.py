@@ -41,13 +41,16 @@ def clean_name(name: str) -> str:
 
 
 def clean_names(names: list[str]) -> list[str]:
-    """Clean names made distinct: repeats get _1, _2, ..."""
-    seen: dict[str, int] = {}
+    """Clean names made distinct: repeats get _1, _2, ..., the next that isn't taken."""
+    taken: set[str] = set()
     out = []
     for n in map(clean_name, names):
-        k = seen.get(n)
-        seen[n] = 0 if k is None else k + 1
-        out.append(n if k is None else f"{n}_{k + 1}")
+        new, k = n, 0
+        while new in taken:
+            k += 1
+            new = f"{n}_{k}"
+        taken.add(new)
+        out.append(new)
     return out
 
 

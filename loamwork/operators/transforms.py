@@ -53,7 +53,7 @@ def custom(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
 
 def sample_by_hash(df: DataFrame, key_cols: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
     """n rows of least hash: the same rows on every run, by a bounded top-n on each task."""
-    return df.orderBy(F.xxhash64(*key_cols, F.lit(seed)), *key_cols).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])), *key_cols).limit(n)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def work_path(df: DataFrame, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; a cluster must name one.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="loamwork-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where}/{label}-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
