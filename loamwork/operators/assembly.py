@@ -75,11 +75,15 @@ def qa_pairs(conversations: DataFrame) -> DataFrame:
 
 def balanced_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int | None = None) -> DataFrame:
     """Labelled documents with as many of each class as the smallest has, of least hash."""
-    d = docs.join(labels.select("doc_id", label).filter(F.col(label).isNotNull()), "doc_id")
+    from .joins import ranked
+
+    found = labels.filter(F.col(label).isNotNull()).select("doc_id", label)
     if per_class is None:
-        per_class = labels.filter(F.col(label).isNotNull()).groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return d.withColumn("__rn", rn).filter(F.col("__rn") <= per_class).drop("__rn")
+        per_class = found.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    # ids are ranked without their texts, and no class is one task
+    ids = docs.select("doc_id").join(found.hint("merge"), "doc_id").withColumn("__h", F.md5(F.col("doc_id").cast("string")))
+    chosen = ranked(ids, [label], ["__h", "doc_id"]).filter(F.col("__pos") <= per_class).select("doc_id", label)
+    return docs.join(chosen.hint("merge"), "doc_id")
 
 
 def pattern_entities(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, group_cols: list[str], order_col: str, limit
     schema = T.StructType([*dealt.schema.fields[:-1], T.StructField("bin", T.LongType())])
     bins = dealt.mapInArrow(_streamed_bins(len(group_cols), limit), schema)
     header = F.concat(F.lit("\n\n--- Document: "), F.col(order_col).cast("string"), F.lit(" ---\n\n"), F.coalesce(F.col(column), F.lit("")))
-    j = docs.select(*group_cols, order_col, column).join(bins, [*group_cols, order_col])
+    j = docs.select(*group_cols, order_col, column).join(bins.hint("merge"), [*group_cols, order_col])
     return j.groupBy(*group_cols, "bin").agg(F.count("*").alias("n_docs"), F.sum(X.tokens(F.coalesce(F.col(column), F.lit("")))).alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), header.alias("h")))), lambda x: x["h"]), "").alias("content"))
 
 
@@ -154,7 +154,10 @@ def batch_documents(docs: DataFrame, group_cols: list[str], order_col: str, size
     """group, batch_index, batch_total, n_docs, content: `size` documents a batch, with headers."""
     from .ordering import batches
 
-    b = batches(docs.select(*group_cols, order_col, column), size, [order_col], group_cols)
+    # positions are found without the texts
+    found = batches(docs.select(*group_cols, order_col), size, [order_col], group_cols)
+    found = found.withColumnsRenamed({c: f"__{c}" for c in [*group_cols, order_col]})
+    b = docs.select(*group_cols, order_col, column).join(found.hint("merge"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group_cols, order_col]])
     part = F.concat(F.lit("=== "), F.col(order_col).cast("string"), F.lit(" ===\n"), F.coalesce(F.col(column), F.lit("")))
     return b.groupBy(*group_cols, "batch_index", "batch_total").agg(F.count("*").alias("n_docs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), part.alias("h")))), lambda x: x["h"]), "\n\n").alias("content"))
 
@@ -285,7 +288,7 @@ def document_stats(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def group_by_similarity(docs: DataFrame, type_col: str = "lang") -> DataFrame:
-    """The contract's grouping, by type; near duplicates are `joins.minhash_pairs`."""
+    """The contract's grouping, by type; near duplicates are `joins.shingle_pairs`."""
     return docs.groupBy(type_col).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

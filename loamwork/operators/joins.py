@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import work_path
+
 
 def join_step(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     if how not in ("inner", "outer", "left", "right"):
@@ -20,15 +22,24 @@ def positioned(df: DataFrame, order_cols: list[str], name: str = "__pos") -> Dat
     """
     if not order_cols:
         raise ValueError("positions need order_cols")
-    parts = df.repartitionByRange(*order_cols).withColumn("__p", F.spark_partition_id())
-    # the range numbers must be the same for counting and numbering
-    parts = parts.persist()
+    # written out: the range numbers must be the same for counting and numbering
+    path = work_path(df, "ranges")
+    df.repartitionByRange(*order_cols).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    parts = df.sparkSession.read.parquet(path)
     counts = parts.groupBy("__p").count()
     before = counts.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # one row per range
     numbered = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order_cols)))
     return numbered.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__n")).drop("__p", "__n", "__before")
 
 
+def ranked(df: DataFrame, group_cols: list[str], order_cols: list[str]) -> DataFrame:
+    """__pos (from 1) within each group, and __size, the group's rows; a group may hold most rows."""
+    d = positioned(df, [*group_cols, *order_cols])
+    groups = d.groupBy(*[F.col(c).alias(f"__{c}") for c in group_cols]).agg((F.min("__pos") - 1).alias("__start"), F.count("*").alias("__size"))
+    cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group_cols]
+    return d.join(groups.hint("merge"), cond).withColumn("__pos", F.col("__pos") - F.col("__start")).drop("__start", *[f"__{c}" for c in group_cols])
+
+
 def align(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[str] | None = None, order: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Side by side by key or by position; clashing names get _left and _right."""
     if keys is None:
@@ -59,33 +70,38 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     a = left.withColumn("__block", block(F.col(left_col)))
     b = right.withColumn("__block", block(F.col(right_col)))
     longest = F.greatest(F.length(F.col(left_col)), F.length(F.col(right_col)))
+    # the edits are at least the difference of the lengths
+    near = longest - F.least(F.length(F.col(left_col)), F.length(F.col(right_col))) <= F.round(longest * (1 - threshold), 9)
     score = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(F.col(left_col), F.col(right_col)) / longest)
-    return a.join(b, "__block").withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("__block")
+    return a.join(b.hint("merge"), "__block").filter(near).withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("__block")
 
 
-def minhash_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, words: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
-    """id_a, id_b, similarity: pairs whose word-shingle sets have at least this Jaccard similarity.
+def shingle_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """id_a, id_b, similarity: all pairs whose word-shingle sets have at least this Jaccard similarity.
 
-    MinHash signatures are cut into bands; texts that agree in a band are compared exactly.
-    A pair at the threshold is missed with probability (1 - similarity**rows)**bands.  Texts
-    should be distinct: equal ones agree in every band.
+    Candidates come from an exact prefix filter: with shingles in one order, rarest first, two
+    such sets share one of the first n - ceil(similarity * n) + 1 of each; shingles that stand
+    in one text only come first and meet nothing.  Texts should be distinct: equal ones are
+    pairs like any other.
     """
     w = F.split(F.trim(F.lower(F.col(text_col))), r"\s+")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    d = df.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.array_distinct(grams).alias("g"))
-    band = lambda b: F.xxhash64(F.lit(b), *[F.array_min(_hashed("g", b * rows + r)) for r in range(rows)])
-    keys = d.select("id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("key"))
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    x = d.select(F.col("id").alias("id_a"), F.col("g").alias("ga"))
-    y = d.select(F.col("id").alias("id_b"), F.col("g").alias("gb"))
-    both = pairs.join(x, "id_a").join(y, "id_b").withColumn("k", F.size(F.array_intersect("ga", "gb")))
+    path = work_path(df, "shingles")
+    df.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.array_distinct(grams).alias("g")).write.parquet(path)
+    d = df.sparkSession.read.parquet(path)
+    posts = d.select("id", F.size("g").alias("n"), F.explode("g").alias("key"))
+    common = posts.groupBy("key").count().filter("count > 1").select(F.col("key").alias("key2"), "count")
+    shared = posts.join(common.hint("merge"), F.col("key") == F.col("key2")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("s"))
+    prefix = F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1 - (F.col("n") - F.size("s"))
+    keys = shared.filter(prefix > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+    a, b = keys.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("key").alias("key2"))
+    close = F.least("na", "nb") >= F.round(F.greatest("na", "nb") * similarity, 9)
+    pairs = a.join(b.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("id_a") < F.col("id_b")) & close).select("id_a", "id_b").distinct()
+    x, y = d.select(F.col("id").alias("ia"), F.col("g").alias("ga")), d.select(F.col("id").alias("ib"), F.col("g").alias("gb"))
+    both = pairs.join(x.hint("merge"), F.col("id_a") == F.col("ia")).join(y.hint("merge"), F.col("id_b") == F.col("ib")).withColumn("k", F.size(F.array_intersect("ga", "gb")))
     return both.withColumn("similarity", F.col("k") / (F.size("ga") + F.size("gb") - F.col("k"))).filter(F.col("similarity") >= similarity).select("id_a", "id_b", "similarity")
 
 
-def _hashed(column: str, seed: int):
-    return F.transform(column, lambda x: F.xxhash64(x, F.lit(seed)))
-
-
 def catalog_join(datasets: DataFrame, files: DataFrame, key: str, file_id: str) -> DataFrame:
     """Every dataset with its sorted list of files."""
     lists = files.groupBy(key).agg(F.array_sort(F.collect_list(file_id)).alias("files"))

@@ -54,7 +54,7 @@ def cost_timeline(costs: DataFrame, time_col: str = "ts", cost_col: str = "cost_
     d = costs.groupBy(F.date_trunc(unit, time_col).cast("date").alias("bucket")).agg(F.sum(cost_col).alias("cost"), F.count("*").alias("n"))
     step = {"day": F.expr("interval 1 day"), "week": F.expr("interval 7 days"), "month": F.expr("interval 1 month")}[unit]
     dense = d.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b", step)).alias("bucket"))
-    return dense.join(d, "bucket", "left").select("bucket", F.round(F.coalesce("cost", F.lit(0.0)), 6).alias("cost"), F.coalesce("n", F.lit(0)).alias("n"))
+    return dense.join(d.hint("merge"), "bucket", "left").select("bucket", F.round(F.coalesce("cost", F.lit(0.0)), 6).alias("cost"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def cost_by(costs: DataFrame, key: str, cost_col: str = "cost_usd") -> DataFrame:

@@ -23,15 +23,13 @@ def first_per_group(df: DataFrame, columns: list[str], order_cols: list, n: int
 def batches(df: DataFrame, size: int, order_cols: list[str], group_cols: list[str] | None = None) -> DataFrame:
     """batch_index (from 0) and batch_total: groups of `size` rows in order.
 
-    Within groups a window numbers the rows; over the whole table positions are computed range
-    by range.
+    Positions are computed range by range, within groups too, so no task holds all rows of one.
     """
-    if group_cols:
-        w = Window.partitionBy(*group_cols)
-        rn, n = F.row_number().over(w.orderBy(*order_cols)), F.count("*").over(w)
-        return df.withColumns({"batch_index": F.floor((rn - 1) / size).cast("long"), "batch_total": F.ceil(n / size).cast("long")})
-    from .joins import positioned
+    from .joins import positioned, ranked
 
+    if group_cols:
+        d = ranked(df, group_cols, order_cols)
+        return d.withColumns({"batch_index": F.floor((F.col("__pos") - 1) / size).cast("long"), "batch_total": F.ceil(F.col("__size") / size).cast("long")}).drop("__pos", "__size")
     d = positioned(df, order_cols)
     total = F.broadcast(df.agg(F.ceil(F.count("*") / size).cast("long").alias("batch_total")))  # one row
     return d.withColumn("batch_index", F.floor((F.col("__pos") - 1) / size).cast("long")).drop("__pos").crossJoin(total)

@@ -92,7 +92,7 @@ def remove_infinite(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 def explode_documents(docs: DataFrame, chunks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Documents as rows of type chunk where chunked, of type full where not, plus table rows."""
     chunk_rows = chunks.select("doc_id", F.lit("chunk").alias("type"), "chunk_index", F.col("content"))
-    whole = docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("full").alias("type"), F.lit(None).cast("long").alias("chunk_index"), F.col("text").alias("content"))
+    whole = docs.join(chunks.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select("doc_id", F.lit("full").alias("type"), F.lit(None).cast("long").alias("chunk_index"), F.col("text").alias("content"))
     out = chunk_rows.unionByName(whole)
     return out if tables is None else out.unionByName(tables.withColumn("type", F.lit("table")), allowMissingColumns=True)
 

@@ -112,7 +112,7 @@ def schema_profile(df: DataFrame, order_cols: list[str] | None = None, samples:
     head = (flat.orderBy(*order_cols) if order_cols else flat).limit(100).agg(*[F.slice(F.collect_list(F.col(c).cast("string")), 1, samples).alias(f"samples__{i}") for i, c in enumerate(flat.columns)])
     s = M.long_rows(head, df.columns, {"samples": "array<string>"})
     kinds = df.sparkSession.createDataFrame([(f.name, M.logical_type(f.dataType)) for f in df.schema.fields], "column_name string, logical_type string")
-    return p.select("column_name", (F.col("null_count") > 0).alias("nullable"), "null_count", "unique_count").join(s, "column_name").join(kinds, "column_name")
+    return p.select("column_name", (F.col("null_count") > 0).alias("nullable"), "null_count", "unique_count").join(F.broadcast(s), "column_name").join(F.broadcast(kinds), "column_name")  # a row per column
 
 
 def read_json(spark: SparkSession, path, schema=None) -> DataFrame:
