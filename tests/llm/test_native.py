@@ -250,3 +250,37 @@ def test_full_formats_give_a_result(spark, monkeypatch):
     rows = [(i, f"{c}@{d}.io") for i, (c, d) in enumerate((c, d) for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst")]
     got = [r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()]
     assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
+
+
+def planted(n=60):
+    """Random keys and ordinary strings of many lengths: class -> strings."""
+    r = random.Random(21)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sets = {"base64": abc + abc.lower() + "0123456789+/", "base32": abc + "234567", "hex": "0123456789ABCDEF"}
+    sound = lambda s: any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    out = {}
+    for kind, letters in sets.items():
+        for length in (20, 22, 24, 32, 40, 64):
+            out[f"{kind} {length}"] = [next(s for s in iter(lambda: "".join(r.choice(letters) for _ in range(length)), 0) if sound(s)) for _ in range(n)]
+    words = "alpha bravo window house river garden silver letter number market people little winter summer between company during problem against system program question".split()
+    pick = lambda k: [r.choice(words) for _ in range(k)]
+    out["camel"] = ["".join(w.capitalize() for w in pick(r.randrange(4, 8))) + str(r.randrange(100)) for _ in range(2 * n)]
+    out["snake"] = ["_".join(pick(r.randrange(4, 7))) + f"_{r.randrange(100)}" for _ in range(2 * n)]
+    out["slug"] = ["-".join(pick(r.randrange(4, 7))) + f"-{r.randrange(2000)}" for _ in range(2 * n)]
+    out["path"] = ["/".join(pick(r.randrange(4, 7))) + f"/v{r.randrange(9)}" for _ in range(2 * n)]
+    return out
+
+
+def test_planted_keys_are_found_and_ordinary_strings_left_alone(spark):
+    strings = planted()
+    rows = [(k, s) for k, ss in strings.items() for s in ss]
+    d = spark.createDataFrame([(i, f"see {s} here", "x") for i, (_, s) in enumerate(rows)], "doc_id long, text string, candidates string").repartition(4)
+    got = {x.doc_id: x.n_random for x in secret_scan.scan(d).collect()}
+    found = Counter(k for i, (k, _) in enumerate(rows) if got[i])
+    share = {k: found[k] / len(ss) for k, ss in strings.items()}
+    ordinary, keys = [k for k in share if " " not in k], [k for k in share if " " in k]
+    assert all(share[k] < 0.05 for k in ordinary), share
+    assert sum(found[k] for k in ordinary) <= 0.05 * sum(found.values())
+    # capital runs of base32 look much like words in capitals: short ones are missed
+    assert all(share[k] >= (0.45 if int(k.split()[1]) < 24 else 0.65) for k in keys if "base64" in k), share
+    assert all(share[k] >= 0.85 for k in keys if "hex" in k) and share["base32 64"] >= 0.7, share
