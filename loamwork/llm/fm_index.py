@@ -47,32 +47,47 @@ def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Phrases:
-    """The test windows of a block of items: codes of their words, and the items they're from."""
+    """The test windows of a block of items: places in one array of words, and the items they're from.
+
+    Equal windows (by 128 bits over their words' codes) are one.  What is sent to the
+    executors is some 30 bytes for each word of the block.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         raw, offs = B.buffer_of(pa.array([t or "" for _, t in items], pa.string()))
-        found: dict[bytes, list] = {}
+        z = np.zeros(0, np.int64)
+        parts = [(z.astype(np.uint64), z)]
         for lo, hi in B.slabs(offs):
             codes, row = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                own = codes[cut[i] : cut[i + 1]]
-                for j in range(max(len(own) - window + 1, min(len(own), 1))):
-                    ids = found.setdefault(own[j : j + window].tobytes(), [])
-                    if not ids or ids[-1] != items[lo + i][0]:
-                        ids.append(items[lo + i][0])
-        self.windows = [np.frombuffer(k, dtype=np.uint64) for k in found]
-        self.items = [sorted(set(x)) for x in found.values()]
-        self.vocabulary = np.unique(np.concatenate(self.windows)) if found else np.zeros(0, np.uint64)
-        self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.least, self.most = (int(self.sizes.min()), int(self.sizes.max())) if found else (0, 0)
-        #: symbols 1.. right-aligned; 0 where a window has no such word
-        self.symbols = np.zeros((len(found), self.most), dtype=np.int64)
-        for i, w in enumerate(self.windows):
-            self.symbols[i, self.most - len(w) :] = np.searchsorted(self.vocabulary, w) + 1
+            parts.append((codes, row + lo))
+        codes, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = np.bincount(row, minlength=len(items))
+        many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), many)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(n) - n, many)
+        size = np.minimum(n, window)[item]
+        h = [B.Rolling(codes, k).of(start, start + size) + size.astype(np.uint64) for k in (0, 1)]
+        order = np.lexsort((h[1], h[0]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(h[0][order]) != 0) | (np.diff(h[1][order]) != 0)
+        self.starts, self.sizes = start[order[new]], size[order[new]]
+        #: names of items in order, and for each window the ranks of its items
+        self.names = sorted({i for i, _ in items})
+        rank = np.searchsorted(np.array(self.names, dtype=object), np.array([i for i, _ in items], dtype=object)) if items else z
+        pair = np.unique((np.cumsum(new) - 1) * max(len(self.names), 1) + rank[item[order]])
+        self.ranks = (pair % max(len(self.names), 1)).astype(np.int32)
+        self.bounds = np.searchsorted(pair // max(len(self.names), 1), np.arange(len(self.starts) + 1))
+        self.vocabulary, sym = np.unique(codes, return_inverse=True)
+        self.symbols = (sym + 1).astype(np.int32)  # of the words; 0 is no word
+        self.least, self.most = (int(self.sizes.min()), int(self.sizes.max())) if len(self.sizes) else (0, 0)
         self.likely = np.zeros(1 << 16, dtype=bool)
         self.likely[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """The items of some windows, sorted."""
+        ranks = [self.ranks[self.bounds[w] : self.bounds[w + 1]] for w in np.unique(windows).tolist()]
+        return [self.names[r] for r in np.unique(np.concatenate(ranks)).tolist()] if ranks else []
+
     def encode(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), dtype=np.int64)
         at = np.flatnonzero(self.likely[(codes >> np.uint64(48)).astype(np.int64)])
@@ -127,14 +142,14 @@ class Index:
             i = np.where(one, zeros + ranks[i], i - ranks[i])
         return i - lo
 
-    def search(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that begin with each phrase (right-aligned, 0 unused)."""
-        m = len(symbols)
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that begin with each phrase, from its last word back."""
+        m = len(phrases.starts)
         lo, hi = np.zeros(m, dtype=np.int64), np.full(m, len(self.bwt), dtype=np.int64)
         live = np.arange(m)
-        for t in range(symbols.shape[1] - 1, -1, -1):
-            c = symbols[live, t]
-            live, c = live[c > 0], c[c > 0]
+        for t in range(1, phrases.most + 1):
+            live = live[phrases.sizes[live] >= t]
+            c = phrases.symbols[phrases.starts[live] + phrases.sizes[live] - t].astype(np.int64)
             lo[live] = self.counts[c] + self.rank(c, lo[live])
             hi[live] = self.counts[c] + self.rank(c, hi[live])
             live = live[lo[live] < hi[live]]
@@ -191,7 +206,7 @@ def shard_hits(phrases: Phrases, raw: np.ndarray, offs: np.ndarray):
     if not len(text):
         return n_words, z, z, z
     index = Index(text, len(phrases.vocabulary) + 1)
-    lo, hi = index.search(phrases.symbols)
+    lo, hi = index.search(phrases)
     n = np.maximum(hi - lo, 0)
     which = np.repeat(np.arange(len(n)), n)
     at = index.locate(np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
@@ -218,7 +233,7 @@ def _search(shared):
                     else:
                         merged.append({"start": s, "end": e})
                 spans[row[lo]] = merged
-                items[row[lo]] = sorted({i for w in np.unique(which[lo:hi]).tolist() for i in phrases.items[w]})
+                items[row[lo]] = phrases.items_of(which[lo:hi])
             yield B.batch(OUT_PA, rb.column(0), B.long_col(n_words), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string())))
 
     return run

@@ -200,3 +200,27 @@ def test_repeated_ids_train_alike(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
     a, b = (quality_crf.train_field(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1]))
     assert a.weights.tolist() == b.weights.tolist()
+
+
+def test_phrases_stay_small(spark):
+    """What a block sends to the executors follows its words."""
+    import pickle
+
+    items = [(str(i), " ".join(words(200, i, 50_000))) for i in range(500)]
+    phrases = fm_index.Phrases(items)
+    assert len(pickle.dumps(phrases)) < 40 * 100_000 + 200_000
+    assert len(phrases.starts) == 500 * 188
+    same = fm_index.Phrases([("b", "x y"), ("a", "x y"), ("b", "x y"), ("c", None)])
+    import numpy as np
+
+    assert len(same.starts) == 1 and same.items_of(np.array([0])) == ["a", "b"]
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    docs, items = bench_rows()
+    a = docs[-2][1]
+    rows = [(None, "nothing here"), (None, a), (7, a), (7, "other words"), (7, a)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for size in (8 << 20, 60):
+        got = fm_index.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), b, block_bytes=size).collect()
+        assert Counter((r.doc_id, r.n_words) for r in got) == Counter((i, len(SPLIT.findall(lower(t)))) for i, t in rows)
