@@ -1,7 +1,8 @@
 """Vectorised helpers over the raw bytes of Arrow string columns.
 
 A batch of texts is one byte buffer with offsets.  Everything here works on that buffer
-with numpy, in slabs of a quarter megabyte, so memory stays bounded whatever a batch holds.
+with numpy, in slabs of a quarter megabyte.  A longer text is a slab of its own, of which
+only what is kept for each word grows with it: bytes are hashed a piece at a time.
 """
 
 from __future__ import annotations
@@ -68,6 +69,32 @@ class Rolling:
         return mix((self.sum[k:] - self.sum[:m]) * self.inv[:m])
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the bytes of ascending spans, a piece of the buffer at a time."""
+    if len(raw) <= 2 * SLAB:
+        return Rolling(CODES[which][raw], which).of(start, end)
+    out = np.empty(len(start), dtype=np.uint64)
+    lo = 0
+    while lo < len(start):
+        at = int(start[lo])
+        hi = max(int(np.searchsorted(end, at + SLAB, side="right")), lo + 1)
+        piece = Rolling(CODES[which][raw[at : int(end[hi - 1])]], which)
+        out[lo:hi] = piece.of(start[lo:hi] - at, end[lo:hi] - at)
+        lo = hi
+    return out
+
+
+def span_sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """True bytes within each of ascending disjoint spans; empty spans have none."""
+    full = end > start
+    out = np.zeros(len(start), dtype=np.int64)
+    if full.any():
+        both = np.stack((start[full], end[full]), axis=1).ravel()
+        both = both[:-1] if both[-1] == len(mask) else both
+        out[full] = np.add.reduceat(mask, both, dtype=np.int64)[::2]
+    return out
+
+
 def tidy(run):
     """Give freed memory back when a task ends: workers are kept and share their executor's limit."""
 

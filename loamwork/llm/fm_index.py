@@ -43,7 +43,7 @@ def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """64-bit codes of the words of a slab's texts, and their rows."""
     low = LOWER[raw]
     s, e, row = B.word_spans(low, offs, APART)
-    return B.Rolling(B.CODES[0][low], 0).of(s, e), row
+    return B.span_hashes(low, s, e), row
 
 
 class Phrases:

@@ -49,10 +49,6 @@ POINT = np.ones(256, dtype=bool)
 POINT[128:192] = False  # continuation bytes
 
 
-def sums(mask: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(mask)))
-
-
 def seen_before(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(equal key stands earlier in the row, equal key stands in the row at all)."""
     n = len(keys)
@@ -71,10 +67,8 @@ def measure(raw: np.ndarray, offs: np.ndarray):
     rows = len(offs) - 1
     s, e, wrow = B.word_spans(raw, offs)
     per_row = lambda at: np.bincount(at, minlength=rows)
-    inside = sums(~B.SPACE[raw] & POINT[raw])
-    symbols = sums(SYMBOL[raw])
-    roll = B.Rolling(B.CODES[0][raw], 0)
-    words = roll.of(s, e)
+    inside = ~B.SPACE[raw] & POINT[raw]
+    words = B.span_hashes(raw, s, e)
     covered = np.zeros(len(s), dtype=bool)
     if len(s) >= 3:
         tri = B.Rolling(words, 1).every(3)
@@ -96,22 +90,21 @@ def measure(raw: np.ndarray, offs: np.ndarray):
     starts, ends, lrow, n_line = starts[full], ends[full], lrow[full], n_line[full]
     number = np.cumsum(full) - 1
     line_of = number[line_of]
-    copy, _ = seen_before(roll.of(starts, ends), lrow)
+    copy, _ = seen_before(B.span_hashes(raw, starts, ends), lrow)
     base = {
         "n_words": per_row(wrow),
-        "word_chars": inside[offs[1:]] - inside[offs[:-1]],
-        "n_symbols": symbols[offs[1:]] - symbols[offs[:-1]],
+        "word_chars": B.span_sums(inside, offs[:-1], offs[1:]),
+        "n_symbols": B.span_sums(SYMBOL[raw], offs[:-1], offs[1:]),
         "n_dup_lines": per_row(lrow[copy]),
         "n_repeat_words": per_row(wrow[covered]),
     }
-    size = np.maximum(inside[ends] - inside[starts], 1)
-    part = lambda mask: (lambda c: (c[ends] - c[starts]) / size)(sums(mask[raw]))
+    size = np.maximum(B.span_sums(inside, starts, ends), 1)
+    part = lambda mask: B.span_sums(mask[raw], starts, ends) / size
     stutter = np.zeros(len(s), dtype=bool)
     if len(s) > 1:
         stutter[1:] = (words[1:] == words[:-1]) & (line_of[1:] == line_of[:-1])
-    letters = sums(ALPHA[raw])
-    letters = np.maximum(letters[ends] - letters[starts], 1)
-    upper = sums(UPPER[raw])
+    letters = np.maximum(B.span_sums(ALPHA[raw], starts, ends), 1)
+    upper = B.span_sums(UPPER[raw], starts, ends)
     x = np.column_stack(
         (
             np.ones(len(starts)),
@@ -120,7 +113,7 @@ def measure(raw: np.ndarray, offs: np.ndarray):
             np.minimum(part(SYMBOL) * 6, 1),
             np.minimum(part(PIPE) * 10, 1),
             np.minimum(part(SHOUT) * 10, 1),
-            (upper[ends] - upper[starts]) / letters > 0.5,
+            upper / letters > 0.5,
             part(DIGIT) > 0.2,
             np.bincount(line_of, stutter, minlength=len(starts)) / np.maximum(n_line, 1),
             np.bincount(line_of, covered, minlength=len(starts)) / np.maximum(n_line, 1),

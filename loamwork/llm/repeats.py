@@ -63,7 +63,8 @@ class Tokens:
     `split(raw, offs)` gives (byte starts, byte ends) of the tokens of a slab and the bounds
     of its documents in tokens; `codes(raw, starts, ends, which)` one 64-bit code a token;
     `again(raw, starts, ends, at, h, left, n)` compares the windows of opened segments;
-    `halves` hashes single windows of crowded anchors.
+    `halves` hashes single windows of crowded anchors; `pieces(raw)` cuts a long text into
+    (first byte, last byte, tokens before), each with the first length - 1 tokens of the next.
     """
 
     length: int
@@ -72,6 +73,7 @@ class Tokens:
     def split(self, raw, offs): ...
     def codes(self, raw, starts, ends, which): ...
     def halves(self, roll, i, p): ...
+    def pieces(self, raw): ...
 
     def again(self, raw, starts, ends, at, h, left, n):
         """True per window that equals an earlier one under its anchor hash h.
@@ -149,9 +151,12 @@ def segment_rows(t: Tokens):
             parts = []
             for lo, hi in B.slabs(offs):
                 r = raw[offs[lo] : offs[hi]]
-                starts, ends, bounds = t.split(r, offs[lo : hi + 1] - offs[lo])
-                row, h, s, s2, a, b, p = segments(t.codes(r, starts, ends, 0), t.codes(r, starts, ends, 1), bounds, t.length, t.k)
-                parts.append((rid[lo + row], h, s, s2, a, b, p))
+                cuts = t.pieces(r) if hi == lo + 1 and len(r) > 2 * B.SLAB else [(0, len(r), 0)]
+                for x, y, before in cuts:
+                    part = r[x:y]
+                    starts, ends, bounds = t.split(part, offs[lo : hi + 1] - offs[lo] if y - x == len(r) else np.array([0, y - x]))
+                    row, h, s, s2, a, b, p = segments(t.codes(part, starts, ends, 0), t.codes(part, starts, ends, 1), bounds, t.length, t.k)
+                    parts.append((rid[lo + row], h, s, s2, a + before, b + before, p + before))
             if not parts:
                 continue
             r, h, s, s2, a, b, p = (np.concatenate(x) for x in zip(*parts, strict=True))

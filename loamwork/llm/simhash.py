@@ -17,6 +17,7 @@ there.  Such links are right (two at one point differ in 4 bits or fewer) and no
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,8 @@ from . import bytesops as B
 from .common import staged, with_rid
 
 BITS, SHINGLE, SEED, LONG_LIST = 4, 4, 42, 256
-PIECE = 1 << 16
+PIECE, LONG = 1 << 16, 1 << 20
+GAP = re.compile(rb"[\x09-\x0d\x20]")
 FP_PA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -40,24 +42,40 @@ def triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if tuple(sorted(part[i] for i in t)) in wanted]
 
 
+def word_runs(text: bytes, size: int):
+    """Lists of words of a text, each of LONG bytes or so, the last size - 1 of one again in the next."""
+    lo, kept = 0, []
+    while lo < len(text):
+        gap = GAP.search(text, lo + LONG)
+        hi = gap.start() if gap else len(text)
+        words = kept + text[lo:hi].lower().split()  # of bytes: A-Z and ASCII white space only
+        lo = hi
+        if len(words) >= size or lo == len(text):
+            yield words
+            kept = words[len(words) - size + 1 :] if size > 1 else []
+        else:
+            kept = words
+
+
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the word shingles of a text, as an unsigned 64-bit number."""
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    flat = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(len(words) - size + 1, 1)
-    s, e = starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    total = np.zeros(64, dtype=np.int64)
-    for lo in range(0, n, PIECE):
-        hashes = np.array([h(flat[x:y], seed) for x, y in zip(s[lo : lo + PIECE], e[lo : lo + PIECE], strict=True)], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view("<u8").reshape(-1, 8)
-        # 255 ones fit a byte: eight counters are added at once
-        total += np.add.reduceat(bits, np.arange(0, len(hashes), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    total, count = np.zeros(64, dtype=np.int64), 0
+    for words in word_runs(text, size):
+        if not words or count and len(words) < size:
+            continue
+        flat = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        n = max(len(words) - size + 1, 1)
+        count += n
+        s, e = starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()
+        for lo in range(0, n, PIECE):
+            hashes = np.array([h(flat[x:y], seed) for x, y in zip(s[lo : lo + PIECE], e[lo : lo + PIECE], strict=True)], dtype="<u8")
+            bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view("<u8").reshape(-1, 8)
+            # 255 ones fit a byte: eight counters are added at once
+            total += np.add.reduceat(bits, np.arange(0, len(hashes), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0]) if count else 0
 
 
 def _fingerprints(size: int, seed: int):

@@ -42,8 +42,30 @@ class Words(R.Tokens):
         starts, ends, row = B.word_spans(raw, offs)
         return starts, ends, np.searchsorted(row, np.arange(len(offs)), side="left")
 
+    def pieces(self, raw):
+        lo = before = 0
+        while lo < len(raw):
+            cut = lo + B.SLAB
+            while cut < len(raw) and not B.SPACE[raw[cut]]:  # no word is cut
+                cut += 1
+            cut = min(cut, len(raw))
+            room = 32 * self.length
+            while True:
+                hi = min(cut + room, len(raw))
+                while hi < len(raw) and not B.SPACE[raw[hi]]:
+                    hi += 1
+                more, _, _ = B.word_spans(raw[cut:hi], np.array([0, hi - cut]))
+                if hi == len(raw) or len(more) >= self.length - 1:
+                    break
+                room *= 2
+            if len(more) >= self.length:
+                hi = cut + int(more[self.length - 1])
+            yield lo, hi, before
+            before += len(B.word_spans(raw[lo:cut], np.array([0, cut - lo]))[0])
+            lo = cut
+
     def codes(self, raw, starts, ends, which):
-        return B.Rolling(B.CODES[which][raw], which).of(starts, ends)
+        return B.span_hashes(raw, starts, ends, which)
 
     def halves(self, roll, i, p):
         # the left extension knows its length, and so the seed's place

@@ -38,9 +38,13 @@ class Bytes(R.Tokens):
         self.length, self.k = length, min(k, length)
 
     def split(self, raw, offs):
-        at = np.arange(len(raw) + 1)
+        at = np.arange(len(raw) + 1, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
         return at[:-1], at[1:], offs
 
+    def pieces(self, raw):
+        for lo in range(0, len(raw), B.SLAB):
+            yield lo, min(lo + B.SLAB + self.length - 1, len(raw)), lo
+
     def codes(self, raw, starts, ends, which):
         return B.CODES[which][raw]
 

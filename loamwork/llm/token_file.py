@@ -39,6 +39,7 @@ ESCAPE = 15
 CHUNK_IDS = 1 << 18
 CACHE = 300_000
 TEXT_SLAB = 2 << 20
+GAP = re.compile(rb"[\x09-\x0d\x20]")
 
 FILE = "shard int, seq int, before long, doc_ids array<long>, lengths array<long>, offsets binary, words binary"
 FILE_PA = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
@@ -213,6 +214,17 @@ class Encoder:
         return [b"".join(map(get, parts)) for parts in split]
 
 
+    def long(self, text: bytes) -> bytes:
+        """The same of one long text, cut between words."""
+        out, lo = [], 0
+        while lo < len(text):
+            gap = GAP.search(text, lo + TEXT_SLAB)
+            hi = gap.start() if gap else len(text)
+            out += self.of([text[lo:hi]])
+            lo = hi
+        return b"".join(out)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -228,7 +240,7 @@ def token_batches(batches, name: str, end_id: int):
         ids = rb.column(0).to_pylist()
         for lo, hi in B.slabs(offs, TEXT_SLAB):
             cut = offs[lo : hi + 1].tolist()
-            texts = encoder.of([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)])
+            texts = encoder.of([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]) if cut[-1] - cut[0] <= 2 * TEXT_SLAB else [encoder.long(flat[cut[0] : cut[-1]])]
             yield ids[lo:hi], [t + end for t in texts]
 
 
