@@ -5,9 +5,9 @@ at most 4 bits differ in at most 4 bytes, so they share at least 4 of the 8 posi
 the guaranteed minimum.  Posting lists of single bytes would each hold a 256th of all
 documents and tallies over them grow with the square of the corpus, so the lists are kept
 under three positional bytes: of every 4 shared bytes, one of 20 chosen triples is among
-them (a (8,4,3) Turan system).  Pairs that meet on a list have their shared bytes counted
-(a pair found by several triples is still one pair), those below the minimum go, and the
-rest are verified by Hamming distance.
+them (a (8,4,3) Turan system).  Pairs that meet on a list have their shared bytes tallied
+over all eight positions, those below the minimum go (a pair found by several triples is one
+pair from there on), and the rest are verified by Hamming distance.
 
 A list longer than `long_list` isn't paired off.  Its members differ in 5 bytes at most, and
 two of them are within 4 bits exactly if some point is within 2 bits of both; each member is
@@ -122,7 +122,8 @@ def links(prints: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> Da
     short = met.filter(F.col("count") <= long_list)
     a, b = short.select("t", "part", F.col("fp").alias("u")), short.select(F.col("t").alias("t2"), F.col("part").alias("part2"), F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
-    pairs = a.join(b.hint("merge"), (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("u") < F.col("v")) & (shared_bytes(x) >= 8 - bits) & (F.bit_count(x) <= bits)).select("u", "v")
+    pairs = a.join(b.hint("merge"), (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("u") < F.col("v")) & (shared_bytes(x) >= 8 - bits)).select("u", "v").distinct()
+    pairs = pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
     far = met.filter(F.col("count") > long_list)
     free = [[b for b in range(64) if b // 8 not in t] for t in sets]
     near = [[0, *(1 << i for i in f), *((1 << i) | (1 << j) for i, j in combinations(f, 2))] for f in free]
@@ -176,8 +177,17 @@ def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return marked.join(of.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """The rows of docs, with all their columns, that come first (by doc_id) in their component."""
+def one_of_each(docs: DataFrame, long_list: int = LONG_LIST, words: int | None = None, similarity: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that come first (by doc_id) in their component.
+
+    Without a similarity, fingerprints link by their bits; with one, sets of `words`-word
+    shingles link by Jaccard similarity, through the same index over longer sketches
+    (see `near_copies`).
+    """
+    if similarity is not None:
+        from .near_copies import WORDS, one_of_each_set
+
+        return one_of_each_set(docs, words or WORDS, similarity)
     rows = with_rid(docs)
     found = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), long_list)
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first"))

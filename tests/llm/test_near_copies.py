@@ -46,7 +46,7 @@ def near_rows():
 
 def test_pairs_beyond_four_bits_are_linked(spark):
     rows = near_rows()
-    got = {r.doc_id for r in near_copies.one_of_each(frame(spark, rows)).collect()}
+    got = {r.doc_id for r in near_copies.one_of_each_set(frame(spark, rows)).collect()}
     assert got == brute_firsts(rows)
     prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
     assert (prints[1] ^ prints[3]).bit_count() > 4 and 3 not in got
@@ -62,8 +62,8 @@ def test_the_stage_takes_five_words_and_similarity(spark):
 
 
 def test_no_rows(spark):
-    assert near_copies.one_of_each(frame(spark, [(1, "a")]).limit(0)).count() == 0
-    assert near_copies.one_of_each(frame(spark, [(1, None), (2, " ")])).count() == 1
+    assert near_copies.one_of_each_set(frame(spark, [(1, "a")]).limit(0)).count() == 0
+    assert near_copies.one_of_each_set(frame(spark, [(1, None), (2, " ")])).count() == 1
 
 
 def test_lists_of_many_blocks_and_batches(spark, monkeypatch):
@@ -72,7 +72,7 @@ def test_lists_of_many_blocks_and_batches(spark, monkeypatch):
     rows = near_rows()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {r.doc_id for r in near_copies.one_of_each(frame(spark, rows)).collect()}
+        got = {r.doc_id for r in near_copies.one_of_each_set(frame(spark, rows)).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_firsts(rows)
@@ -91,7 +91,7 @@ def test_group_of_near_copies_whose_middle_is_missing(spark):
             w[20:34] = [f"second{j}" for j in range(14)]
         rows.append((k, " ".join(w)))
     d = spark.createDataFrame([(i, t, 0, "a", "b") for i, t in rows], "doc_id long, text string, __x long, rid string, first string").repartition(5)
-    kept = near_copies.one_of_each(d)
+    kept = near_copies.one_of_each_set(d)
     assert kept.columns == d.columns
     assert {x.doc_id for x in kept.collect()} == brute_firsts(rows)
 
