@@ -410,14 +410,16 @@ def validate_rules(get):
     return task_checks.validate_rules(get("dirty_customer"), [{"type": "not_null", "column": "c_acctbal"}, {"type": "unique", "column": "c_custkey"}, {"type": "range", "column": "c_acctbal", "min": 0, "max": 9000}, {"type": "regex", "column": "c_mktsegment", "pattern": "[A-Z]"}])
 
 
-@query("""SELECT * FROM (SELECT 'error' AS level, 'missing_column' AS kind, 'c_email' AS column_name, 1::BIGINT AS n UNION ALL SELECT 'warning', 'extra_column', 'c_nationkey', 1 UNION ALL SELECT 'warning', 'type', 'c_mktsegment', 1
+@query("""SELECT * FROM (SELECT 'error' AS level, 'missing_column' AS kind, c AS column_name, 1::BIGINT AS n FROM (SELECT unnest(['c_custkey', 'c_email']) AS c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM dirty_customer))
+UNION ALL SELECT 'warning', 'extra_column', column_name, 1 FROM (DESCRIBE SELECT * FROM dirty_customer) WHERE column_name NOT IN ('c_custkey', 'c_acctbal', 'c_mktsegment')
+UNION ALL SELECT 'warning', 'type', column_name, 1 FROM (DESCRIBE SELECT * FROM dirty_customer) WHERE column_name = 'c_mktsegment' AND column_type NOT IN ('BIGINT', 'INTEGER')
 UNION ALL SELECT 'error', 'unique', 'c_custkey', count(*) - count(DISTINCT c_custkey) FROM dirty_customer UNION ALL SELECT 'error', 'not_null', 'c_acctbal', count(*) - count(c_acctbal) FROM dirty_customer UNION ALL SELECT 'error', 'range', 'c_acctbal', count(*) FILTER (c_acctbal < 0) FROM dirty_customer) WHERE n > 0""", ("dirty_customer",))
 def schema_constraints(get):
     spec = {"required": ["c_custkey", "c_email"], "columns": {"c_custkey": {"type": "integer", "unique": True}, "c_acctbal": {"type": "float", "not_null": True, "min": 0}, "c_mktsegment": {"type": "integer"}}}
     return task_checks.schema_validation(get("dirty_customer"), spec)
 
 
-@query("SELECT count(*) AS n_rows, 6 AS n_columns, count(*) > 0 AS has_data FROM events")
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE events))::INT AS n_columns, count(*) > 0 AS has_data FROM events")
 def row_count(get):
     return task_checks.row_count(get("events"))
 
@@ -788,7 +790,7 @@ def pages_by_host(get):
     host = F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1))
     d = get("pages").select("page_id", host.alias("host"))
     n = d.groupBy("host").agg(F.count("*").alias("pages_of_host"))
-    return d.join(n, "host")
+    return d.join(n.hint("merge"), "host")
 
 
 
@@ -1062,7 +1064,7 @@ def delimited_text(get):
     return readers.csv_text_rows(get("customer").select("c_custkey", F.concat_ws(" ; ", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("line")), "line", "nation int, segment string", ";")
 
 
-@query("SELECT count(*) AS n_rows, 6 AS n_columns FROM part")
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE part))::INT AS n_columns FROM part")
 def table_preview(get):
     return readers.preview(get("part"), ["p_partkey"])[0].drop("dtypes")
 

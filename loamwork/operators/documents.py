@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,15 +86,26 @@ def chunk_estimate(totals: DataFrame, dataset_type: str = "qa_pairs") -> DataFra
 
 
 def bins_of(sizes, limit: int):
-    """Greedy bins of an array of sizes, in order: a bin closes before it would exceed limit."""
-    state = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("any"), F.array().cast("array<long>").alias("bins"))
+    """Greedy bins of an array of sizes, in order: a bin closes before it would exceed limit.
 
-    def step(s, x):
-        full = s["any"] & (s["used"] + x > limit)
-        b = s["bin"] + full.cast("long")
-        return F.struct(b.alias("bin"), (F.when(full, F.lit(0)).otherwise(s["used"]) + x).alias("used"), F.lit(True).alias("any"), F.array_append(s["bins"], b).alias("bins"))
+    A fold over token counts only, by Arrow batches: the built-in one copies its list of bins
+    at every step.
+    """
+
+    @F.pandas_udf("array<long>")
+    def fold(arrays: pd.Series) -> pd.Series:
+        out = []
+        for x in arrays:
+            now, used, bins = 0, 0, []
+            for i, n in enumerate(x.tolist()):
+                if i and used + n > limit:
+                    now, used = now + 1, 0
+                used += n
+                bins.append(now)
+            out.append(bins)
+        return pd.Series(out)
 
-    return F.aggregate(sizes, state, step, lambda s: s["bins"])
+    return fold(sizes)
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZES["medium"], separator: str = "\n\n", id_col: str = "doc_id", column: str = "text") -> DataFrame:
