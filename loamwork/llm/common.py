@@ -98,9 +98,10 @@ def in_order(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
     Ranges are found from a sample of short keys.  The last key only splits equal rows, so
     that a third of all rows with one id and one text doesn't meet in one task.
     """
-    tie, apart = F.xxhash64("text", *more), F.xxhash64(F.col("__row"))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    return keyed.repartitionByRange(id_col, tie, apart).sortWithinPartitions(id_col, tie, "text", *more).drop("__row")
+    row = fresh(rows, "__row")
+    tie, apart = F.xxhash64("text", *more), F.xxhash64(F.col(row))
+    keyed = rows.withColumn(row, F.monotonically_increasing_id())
+    return keyed.repartitionByRange(id_col, tie, apart).sortWithinPartitions(id_col, tie, "text", *more).drop(row)
 
 
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -125,11 +126,19 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("rid", "text"), named
 
 
-def with_rid(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with a unique column __rid: the id itself, or a number where ids are null or repeated."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def with_rid(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """(docs with a unique column, its name): the id itself, or a number where ids are null or repeated."""
+    rid = fresh(docs, "__rid")
     if ids_serve(docs, id_col):
-        return docs.withColumn("__rid", F.col(id_col).cast("long"))
-    return staged(in_order(docs, id_col).withColumn("__rid", F.monotonically_increasing_id()), "rids")
+        return docs.withColumn(rid, F.col(id_col).cast("long")), rid
+    return staged(in_order(docs, id_col).withColumn(rid, F.monotonically_increasing_id()), "rids"), rid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

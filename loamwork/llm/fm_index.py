@@ -309,9 +309,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """
     items = items_of(benchmark)
     if blocks_of(items, block_bytes) > 1:
-        rows = with_rid(docs)
-        bad = contamination(rows.select(F.col("__rid").alias("doc_id"), "text"), benchmark, window, block_bytes, share).filter("contaminated")
-        return rows.join(bad.select(F.col("doc_id").alias("__bad")).hint("merge"), F.col("__rid") == F.col("__bad"), "left_anti").select(*docs.columns)
+        rows, rid = with_rid(docs)
+        bad = contamination(rows.select(F.col(rid).alias("doc_id"), "text"), benchmark, window, block_bytes, share).filter("contaminated")
+        bad = bad.select(F.col("doc_id").alias("__bad")).hint("merge")
+        return rows.join(bad, rows[rid] == bad["__bad"], "left_anti").select(*docs.columns)
     shared = block_phrases(items, 0, 1, window)
 
     @B.tidy

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ids_serve, in_order, join_checked, staged
+from .common import WORD, fresh, ids_serve, in_order, join_checked, staged
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix"
 HASH_BITS, STEP = 60, 10
@@ -35,27 +35,28 @@ def hash60(*parts, seed: str = SEED):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def hashed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with a column __h, the fixed hash of each row.
+def hashed(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, str]:
+    """(docs with a column, its name): the fixed hash of each row.
 
     Equal rows are numbered within each part of the sorted table, from where the parts before
     it end, so a third of all rows may be equal.
     """
+    name, number = fresh(docs, "__h"), fresh(docs, "__n")
     if ids_serve(docs):
-        return docs.withColumn("__h", hash60(F.col("doc_id").cast("long"), seed=seed))
-    rows = staged(in_order(docs, "doc_id", "source").withColumn("__n", F.monotonically_increasing_id()), "ordered")
-    keyed = rows.select("__n", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", "source").alias("tie"), F.shiftright("__n", 33).alias("part"))
-    parts = keyed.groupBy("id", "tie", "part").agg(F.count("*").alias("n"), F.min("__n").alias("low"))
+        return docs.withColumn(name, hash60(F.col("doc_id").cast("long"), seed=seed)), name
+    rows = staged(in_order(docs, "doc_id", "source").withColumn(number, F.monotonically_increasing_id()), "ordered")
+    keyed = rows.select(F.col(number).alias("n1"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", "source").alias("tie"), F.shiftright(number, 33).alias("part"))
+    parts = keyed.groupBy("id", "tie", "part").agg(F.count("*").alias("n"), F.min("n1").alias("low"))
     before = F.sum("n").over(Window.partitionBy("id", "tie").orderBy("part")) - F.col("n")
     parts = parts.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), F.col("part").alias("part2"), "low", before.alias("before"))
     met = keyed.join(parts.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")) & (F.col("part") == F.col("part2")))
-    own = met.select(F.col("__n").alias("__n2"), hash60(F.col("id"), F.col("tie"), F.col("__n") - F.col("low") + F.col("before"), seed=seed).alias("__h"))
-    return rows.join(own.hint("merge"), F.col("__n") == F.col("__n2")).select(*docs.columns, "__h")
+    own = met.select(F.col("n1").alias("__own"), hash60(F.col("id"), F.col("tie"), F.col("n1") - F.col("low") + F.col("before"), seed=seed).alias(name)).hint("merge")
+    return rows.join(own, rows[number] == own["__own"]).select(*[rows[c] for c in docs.columns], own[name]), name
 
 
-def sizes_of(rows: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of every hashed row."""
-    return rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("__h").alias("h"))
+def sizes_of(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, source, size, h) of every row; `name` holds its hash."""
+    return rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(name).alias("h"))
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -111,9 +112,9 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return join_checked(goals, done, ["source"]).select("source", "source_size", "target", "q", F.coalesce("tau", F.lit(1 << HASH_BITS)).alias("tau"))
 
 
-def plan_of(rows: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
+def plan_of(rows: DataFrame, name: str, weights=WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(sizes of the hashed rows, one row per source with its target and threshold), both staged."""
-    sizes = staged(sizes_of(rows), "sizes")
+    sizes = staged(sizes_of(rows, name), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     return sizes, staged(thresholds(sizes, targets(totals, weights, epochs)), "plan")
 
@@ -124,7 +125,7 @@ def repeats_of(h, epochs: int):
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, repeats, taken) for every row of docs."""
-    sizes, plan = plan_of(hashed(docs, seed), weights, epochs)
+    sizes, plan = plan_of(*hashed(docs, seed), weights, epochs)
     out = join_checked(sizes, plan, ["source"], "inner").withColumn("repeats", repeats_of(F.col("h"), epochs))
     return out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
@@ -134,9 +135,9 @@ def mixture(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str =
 
     Texts stay where they are: sources' thresholds come to them.
     """
-    found = hashed(docs, seed)
-    plan = plan_of(found, weights, epochs)[1].select(F.col("source").alias("__source"), F.col("q"), F.col("tau"))
-    rows = found.select(F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("__source"), F.col("__h"))
+    found, name = hashed(docs, seed)
+    plan = plan_of(found, name, weights, epochs)[1].select(F.col("source").alias("__source"), F.col("q"), F.col("tau"))
+    rows = found.select(F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("__source"), F.col(name).alias("__h"))
     out = join_checked(rows, plan, ["__source"], "inner").withColumn("__n", repeats_of(F.col("__h"), epochs).cast("int"))
     return out.filter("__n > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select("__row.*")
 

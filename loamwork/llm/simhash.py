@@ -188,7 +188,7 @@ def one_of_each(docs: DataFrame, long_list: int = LONG_LIST, words: int | None =
         from .near_copies import WORDS, one_of_each_set
 
         return one_of_each_set(docs, words or WORDS, similarity)
-    rows = with_rid(docs)
-    found = near_duplicates(rows.select(F.col("__rid").alias("doc_id"), "text"), long_list)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first"))
-    return rows.join(first.hint("merge"), F.col("__rid") == F.col("__first"), "left_semi").select(*docs.columns)
+    rows, rid = with_rid(docs)
+    found = near_duplicates(rows.select(F.col(rid).alias("doc_id"), "text"), long_list)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).hint("merge")
+    return rows.join(first, rows[rid] == first["__first"], "left_semi").select(*docs.columns)

@@ -47,3 +47,15 @@ def test_stages(spark, tables):
 def test_shape():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "tokens"]
     assert corpus_pipeline.ORACLE_SQL is None and simhash.BITS == 4
+
+
+def test_columns_with_the_names_used_inside(spark, tables):
+    """Columns called like the operators' own come through unchanged, with and without repeated ids."""
+    names = ["__rid", "__h", "__n", "__row", "__x", "rid", "h", "first", "__first", "__bad"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for d in (docs, docs.filter("doc_id <> 102")):
+        d = d.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+        for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontaminate, corpus_pipeline.mix):
+            out = stage(spark, d, tables)
+            assert out.columns == d.columns
+            assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names if r.doc_id is not None)
