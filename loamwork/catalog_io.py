@@ -33,7 +33,7 @@ def csv_bad_lines(get):
     bad = F.col("o_orderkey") % 10 == 0
     d.select(F.when(bad, F.concat(F.lit("x"), F.col("o_orderkey"))).otherwise(F.col("o_orderkey").cast("string")).alias("o_orderkey"), "o_totalprice").write.option("header", True).csv(path)
     found = readers.read_csv(d.sparkSession, path, "o_orderkey long, o_totalprice double")
-    good = F.col(readers.CORRUPT).isNull()
+    good = ~readers.is_broken(found)
     return found.select(*[F.when(good, F.col(c)).alias(c) for c in ("o_orderkey", "o_totalprice")])
 
 
@@ -63,7 +63,7 @@ def jsonl_read(get):
     line = F.to_json(F.struct("event_id", "event_type"))
     d.select(F.when(F.col("event_id") % 7 == 0, F.left(line, F.lit(9))).otherwise(line)).write.text(path)
     found = readers.read_jsonl(d.sparkSession, path, "event_id long, event_type string")
-    broken = F.col(readers.CORRUPT).isNotNull()
+    broken = readers.is_broken(found)
     return found.select(F.when(~broken, F.col("event_id")).alias("event_id"), F.when(~broken, F.col("event_type")).alias("event_type"), broken.alias("broken"))
 
 
