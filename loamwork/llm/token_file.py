@@ -205,9 +205,11 @@ class Encoder:
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of texts."""
         split = [self.keys(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
+        needed = set().union(*split)
+        if len(self.known) > CACHE:  # what these texts need stays: frequent parts always do
+            known = self.known
+            self.known = {x: known[x] for x in needed.intersection(known)}
+        new = needed.difference(self.known)
         if new:
             self.learn(list(new))
         get = self.known.__getitem__
