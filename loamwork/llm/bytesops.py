@@ -2,7 +2,12 @@
 
 A batch of texts is one byte buffer with offsets.  Everything here works on that buffer
 with numpy, in slabs of a quarter megabyte.  A longer text is a slab of its own, of which
-only what is kept for each word grows with it: bytes are hashed a piece at a time.
+a copy is made and else only what is kept for each word grows with it.
+
+Equality of words, lines and other spans rests on `span_hashes`, which isn't linear.  `Rolling`
+is a polynomial modulo 2**64: sequences of structure (Thue-Morse words) collide in it under
+any base once they have some hundred members, so it serves windows of a few words or bytes,
+over codes that span_hashes gave or that are random.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SLAB = 1 << 18
@@ -19,7 +25,12 @@ _rng = np.random.default_rng(20240607)
 #: Random codes of the 256 bytes, for two hash functions.
 CODES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_SEEDS = (0x51ED270B7A3C19D5, 0x2545F4914F6CDD1D)
 _POWERS: dict = {}
+#: Spans of more bytes are hashed one by one.
+WIDE = 64
+#: Masks of the first 0 to 8 bytes.
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slice of a code sequence, in constant time each."""
+    """Hashes of any slice of a code sequence, in constant time each; for short slices (see above)."""
 
     def __init__(self, codes: np.ndarray, which: int):
         n = len(codes)
@@ -70,20 +81,35 @@ class Rolling:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the bytes of ascending spans, a piece of the buffer at a time."""
-    if len(raw) <= 2 * SLAB:
-        return Rolling(CODES[which][raw], which).of(start, end)
-    out = np.empty(len(start), dtype=np.uint64)
-    lo = 0
-    while lo < len(start):
-        at = int(start[lo])
-        hi = max(int(np.searchsorted(end, at + SLAB, side="right")), lo + 1)
-        piece = Rolling(CODES[which][raw[at : int(end[hi - 1])]], which)
-        out[lo:hi] = piece.of(start[lo:hi] - at, end[lo:hi] - at)
-        lo = hi
+    """Hashes of the bytes of spans, not linear in them: eight bytes are mixed in at a time.
+
+    Spans of over WIDE bytes go to xxh3.  The two functions (`which`) start from different
+    seeds and are told apart by every mixing step.
+    """
+    size = np.asarray(end - start, dtype=np.int64)
+    out = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ U(_SEEDS[which]))
+    eight = lanes(raw)
+    live, at = np.flatnonzero((size > 0) & (size <= WIDE)), 0
+    while len(live):
+        out[live] = mix(out[live] ^ lane(eight, start[live] + at, size[live] - at) * U(_BASES[which]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > WIDE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], _SEEDS[which])
     return out
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lane(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place; those after the `left` bytes of a span are zero."""
+    return eight[at] & TAIL[np.minimum(left, 8)]
+
+
 def span_sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """True bytes within each of ascending disjoint spans; empty spans have none."""
     full = end > start

@@ -39,11 +39,11 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 OUT_PA = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
 
 
-def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of the words of a slab's texts, and their rows."""
+def words_of(raw: np.ndarray, offs: np.ndarray):
+    """(codes of the words of a slab's texts, their rows, a function that gives second codes of chosen words)."""
     low = LOWER[raw]
     s, e, row = B.word_spans(low, offs, APART)
-    return B.span_hashes(low, s, e), row
+    return B.span_hashes(low, s, e), row, lambda at: B.span_hashes(low, s[at], e[at], 1)
 
 
 class Phrases:
@@ -56,11 +56,11 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         raw, offs = B.buffer_of(pa.array([t or "" for _, t in items], pa.string()))
         z = np.zeros(0, np.int64)
-        parts = [(z.astype(np.uint64), z)]
+        parts = [(z.astype(np.uint64), z.astype(np.uint64), z)]
         for lo, hi in B.slabs(offs):
-            codes, row = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            parts.append((codes, row + lo))
-        codes, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+            codes, row, second = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            parts.append((codes, second(np.arange(len(codes))), row + lo))
+        codes, seconds, row = (np.concatenate(x) for x in zip(*parts, strict=True))
         n = np.bincount(row, minlength=len(items))
         many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
         item = np.repeat(np.arange(len(items)), many)
@@ -77,7 +77,8 @@ class Phrases:
         pair = np.unique((np.cumsum(new) - 1) * max(len(self.names), 1) + rank[item[order]])
         self.ranks = (pair % max(len(self.names), 1)).astype(np.int32)
         self.bounds = np.searchsorted(pair // max(len(self.names), 1), np.arange(len(self.starts) + 1))
-        self.vocabulary, sym = np.unique(codes, return_inverse=True)
+        self.vocabulary, where, sym = np.unique(codes, return_index=True, return_inverse=True)
+        self.seconds = seconds[where]
         self.symbols = (sym + 1).astype(np.int32)  # of the words; 0 is no word
         self.least, self.most = (int(self.sizes.min()), int(self.sizes.max())) if len(self.sizes) else (0, 0)
         self.likely = np.zeros(1 << 16, dtype=bool)
@@ -88,12 +89,15 @@ class Phrases:
         ranks = [self.ranks[self.bounds[w] : self.bounds[w + 1]] for w in np.unique(windows).tolist()]
         return [self.names[r] for r in np.unique(np.concatenate(ranks)).tolist()] if ranks else []
 
-    def encode(self, codes: np.ndarray) -> np.ndarray:
+    def encode(self, codes: np.ndarray, second) -> np.ndarray:
+        """The words' symbols; a word is one of the vocabulary if both codes, 128 bits, agree."""
         out = np.zeros(len(codes), dtype=np.int64)
         at = np.flatnonzero(self.likely[(codes >> np.uint64(48)).astype(np.int64)])
         x = codes[at]
         i = np.minimum(np.searchsorted(self.vocabulary, x), len(self.vocabulary) - 1)
-        out[at] = np.where(self.vocabulary[i] == x, i + 1, 0)
+        same = self.vocabulary[i] == x
+        at, i = at[same], i[same]
+        out[at] = np.where(second(at) == self.seconds[i], i + 1, 0)
         return out
 
 
@@ -167,9 +171,9 @@ class Index:
         return self.suffixes[rows] + steps
 
 
-def runs_of(phrases: Phrases, codes: np.ndarray, row: np.ndarray):
+def runs_of(phrases: Phrases, codes: np.ndarray, row: np.ndarray, second):
     """Symbols of the runs with separators, and each one's word number (or -1)."""
-    sym = phrases.encode(codes)
+    sym = phrases.encode(codes, second)
     inside = sym > 0
     new = inside.copy()
     new[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
@@ -192,11 +196,11 @@ def shard_hits(phrases: Phrases, raw: np.ndarray, offs: np.ndarray):
     n_words = np.zeros(rows, dtype=np.int64)
     texts, owners, firsts = [], [], []
     for lo, hi in B.slabs(offs):
-        codes, row = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        codes, row, second = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         n = np.bincount(row, minlength=hi - lo)
         n_words[lo:hi] = n
         if phrases.least:
-            text, at = runs_of(phrases, codes, row)
+            text, at = runs_of(phrases, codes, row, second)
             own = row[at] if len(row) else at
             texts.append(text)
             owners.append(own + lo)
