@@ -65,7 +65,25 @@ def op10_fm_index(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op9_secret_scan, op10_fm_index)}
+def op11_spelling_variants(spark, sf_dir):
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    from .byte_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    from .importance import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_suffix_dedup, op3_substring_dedup, op4_quality_crf, op5_url_filter, op6_simhash, op7_token_file, op8_mixing, op9_secret_scan, op10_fm_index, op11_spelling_variants, op12_byte_bpe, op13_importance_resampling)}
 
 OP10_SQL = r"""
 WITH w AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark),
@@ -103,10 +121,52 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes in DuckDB SQL; the table comes from the polynomial."""
+    steps = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        steps.append(x)
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, ({steps}::BIGINT[])[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+LOW_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOW_SQL}, '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, k, {crc32_sql("t")} AS h FROM (SELECT run, k, doc_id || ':' || run AS t FROM r)),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS u, b.word AS v FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.cut UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.cut),
+c AS (SELECT u, count(*) AS n_near, min_by(x.word, (-x.n, x.word)) AS best, max(x.n) AS m FROM p JOIN v x ON x.word = p.v GROUP BY u),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * v.n THEN best END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN c ON c.u = v.word),
+s AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(root, step) AS root FROM s GROUP BY word) USING (word)"""
+
+OP13_SQL = rf"""
+WITH t AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, r, doc_id, coalesce(regexp_extract_all({LOW_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS x FROM t),
+g AS (SELECT side, r, f, count(*) AS k FROM (SELECT side, r, unnest(x) AS f FROM w UNION ALL SELECT side, r, x[i] || ' ' || x[i + 1] FROM (SELECT side, r, x, unnest(range(1, len(x))) AS i FROM w)) GROUP BY ALL),
+b AS (SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM g)),
+n AS (SELECT bucket, coalesce(sum(k) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (side = 'b'), 0)::DOUBLE AS t FROM g JOIN b USING (f) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+e AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM n, a),
+m AS (SELECT r, sum(k) AS n_features, sum(k * gain) AS total FROM g JOIN b USING (f) JOIN e USING (bucket) WHERE side = 'd' GROUP BY r),
+o AS (SELECT w.doc_id, len(x) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+      ('0x' || left(sha256('7:' || w.doc_id), 8))::BIGINT AS h FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
+q AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_words >= 20) OVER () AS fits FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * fits // 100 THEN place END AS rank FROM q"""
+
+
 def _oracles() -> dict[str, str]:
     from . import mixing
 
-    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_mixing": mixing.oracle(), "op10_fm_index": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_mixing": mixing.oracle(), "op10_fm_index": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op13_importance_resampling": OP13_SQL}
 
 
 ORACLES: dict[str, str] = _oracles()
