@@ -3,12 +3,14 @@
 Words come from maximal runs of Latin letters.  (As the contract asks, the run's digest with
 its doc_id decides on a dropped letter first.)  Letters are hashed to a few symbols; a word
 near another has a reduced word that is equal or one edit away, so every reduced word's full
-one-edit neighbourhood (each deletion, replacement and insertion over the few symbols) is
+one-edit neighbourhood (deletions, replacements and insertions over the few symbols) is
 generated and joined with the reduced vocabulary.  What meets is verified on the words
-themselves.  A neighbourhood has (2 * symbols - 1) * length + symbols + 1 members and not
-hundreds a letter; more symbols make more of them but fewer chance meetings.  The number of symbols
-follows the vocabulary's size, so that reduced words of the shortest length outnumber the
-words and meetings stay a few per word at any size; the result is the same for any number.
+themselves.  Nearness has no direction, so each pair of a neighbourhood is made from one of its
+two words only: the longer makes its deletions, and of two equally long ones that with the
+earlier symbol makes the replacement.  That leaves (symbols + 1) / 2 rows a letter at most.
+More symbols make more rows but fewer chance meetings.  Their number follows the vocabulary's size, so
+that reduced words of the shortest length outnumber the words and meetings stay a few per
+word at any size; the result is the same for any number.
 
 Neighbours travel as 64-bit hashes beside the word's number.  A very long word's are made and sent
 in pieces.
@@ -110,99 +112,99 @@ def vocabulary(docs: DataFrame, least: int = LEAST_LETTERS, least_count: int = L
 
 
 def symbols_for(words: int, shortest: int = LEAST_LETTERS) -> int:
-    """Symbols with which reduced words of the shortest length outnumber the words four times."""
+    """Symbols with which reduced words of the shortest length outnumber the words."""
     k = 4
-    while k**shortest < 4 * words:
+    while k**shortest < words:
         k += 1
     return k
 
 
-def reduced(word: str, symbols: int) -> np.ndarray:
-    """The word's letters as symbols 1 to `symbols`."""
-    x = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64)
+def reduced(words: list[str], symbols: int) -> np.ndarray:
+    """The letters of words of one length as symbols 1 to `symbols`, a row for each word."""
+    x = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(len(words), -1)
     return ((x * np.uint64(0x9E3779B1)) >> np.uint64(15)) % np.uint64(symbols) + np.uint64(1)
 
 
 class Reduced:
-    """Hashes of a reduced word and of its one-edit neighbours, from sums over its ends."""
+    """Hashes of reduced words of one length and of their one-edit neighbours, from sums over both ends."""
 
     def __init__(self, x: np.ndarray):
-        self.n = n = len(x)
-        self.x = x
-        self.pow, self.inv = B.powers(n + 2, 0)
-        self.left = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(x * self.pow[:n], out=self.left[1:])
-        self.all = self.left[n]
+        self.x, self.n = x, x.shape[1]
+        self.pow, self.inv = B.powers(self.n + 2, 0)
+        self.left = np.zeros((len(x), self.n + 1), dtype=np.uint64)
+        np.cumsum(x * self.pow[: self.n], axis=1, out=self.left[:, 1:])
+        self.all = self.left[:, self.n :]
 
     @staticmethod
     def key(total: np.ndarray, length: int) -> np.ndarray:
         return B.mix(total ^ B.mix(np.full(1, length, dtype=np.uint64)))
 
     def own(self) -> np.ndarray:
-        return self.key(np.array([self.all]), self.n)
-
-    def near(self, lo: int, hi: int, symbols: int) -> np.ndarray:
-        """Keys of the neighbours made by an edit at places lo to hi - 1 (insertions: before them)."""
-        base = self.pow[1]
-        sym = np.arange(1, symbols + 1, dtype=np.uint64)
-        end = min(hi, self.n)
-        at = np.arange(lo, end)
-        p, x, left, right = self.pow[at], self.x[at], self.left[at], self.all - self.left[at + 1]
-        deleted = left + right * self.inv[1]
-        replaced = (left + right)[:, None] + p[:, None] * sym[None, :]
-        replaced = replaced[sym[None, :] != x[:, None]]
-        at = np.arange(lo, hi)
-        # before an equal symbol and after it is the same: only before it
-        inserted = self.left[at][:, None] + self.pow[at][:, None] * sym[None, :] + ((self.all - self.left[at]) * base)[:, None]
-        fresh = np.append(np.zeros(1, np.uint64), self.x)[at]
-        inserted = inserted[sym[None, :] != fresh[:, None]]
-        return np.concatenate((self.key(deleted, self.n - 1), self.key(replaced, self.n), self.key(inserted, self.n + 1)))
+        return self.key(self.all[:, 0], self.n)
 
+    def near(self, lo: int, hi: int, symbols: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, rows) of the neighbours made at places lo to hi - 1: a symbol deleted, or replaced by a later one."""
+        x, left, right = self.x[:, lo:hi], self.left[:, lo:hi], self.all - self.left[:, lo + 1 : hi + 1]
+        # of a run of equal symbols, the first is deleted
+        before = np.concatenate((np.zeros((len(x), 1), np.uint64), self.x), axis=1)[:, lo:hi]
+        row, at = np.nonzero(before != x)
+        out = [(self.key(left[row, at] + right[row, at] * self.inv[1], self.n - 1), row)]
+        rest, p = left + right, self.pow[lo:hi]
+        for c in range(2, symbols + 1):
+            row, at = np.nonzero(x < np.uint64(c))
+            out.append((self.key(rest[row, at] + p[at] * np.uint64(c), self.n), row))
+        return out
 
-def neighbours(vocab: DataFrame, symbols: int) -> DataFrame:
-    """(key, id): the reduced words equal to or one edit from that of each word, each once or twice."""
+
+def _keyed(symbols: int, full: bool):
+    """(key, id) of words (id, word): their own reduced words and, if `full`, the neighbours."""
+
+    def sent(keys, ids):
+        return B.batch(KEY_PA, B.long_col(np.concatenate(keys)), B.long_col(np.concatenate(ids)))
 
     @B.tidy
     def run(batches):
-        keys, ids, size = [], [], 0
         for rb in batches:
-            for i, word in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                r = Reduced(reduced(word, symbols))
-                for lo in range(0, r.n + 1, PIECE):
-                    k = r.near(lo, min(lo + PIECE, r.n + 1), symbols)
-                    k = np.unique(np.append(k, r.own()) if lo == 0 else k)
-                    keys.append(k)
-                    ids.append(np.full(len(k), i, dtype=np.int64))
-                    size += len(k)
-                    if size >= PIECE:
-                        yield B.batch(KEY_PA, B.long_col(np.concatenate(keys)), B.long_col(np.concatenate(ids)))
-                        keys, ids, size = [], [], 0
-        if keys:
-            yield B.batch(KEY_PA, B.long_col(np.concatenate(keys)), B.long_col(np.concatenate(ids)))
-
-    return vocab.select("id", "word").mapInArrow(run, "key long, id long")
+            words, ids = rb.column(1).to_pylist(), np.asarray(rb.column(0))
+            size = np.array([len(w) for w in words], dtype=np.int64)
+            for n in np.unique(size).tolist():
+                same = np.flatnonzero(size == n)
+                many = max(PIECE // max(n * symbols, 1), 1)
+                for k in range(0, len(same), many):
+                    part = same[k : k + many]
+                    r = Reduced(reduced([words[i] for i in part.tolist()], symbols))
+                    yield sent([r.own()], [ids[part]])
+                    for lo in range(0, n if full else 0, PIECE):
+                        keys, rows = zip(*r.near(lo, min(lo + PIECE, n), symbols), strict=True)
+                        yield sent(keys, [ids[part[x]] for x in rows])
+
+    return run
 
 
-def reduced_words(vocab: DataFrame, symbols: int) -> DataFrame:
-    """(key, id): each word's own reduced word."""
+def neighbours(vocab: DataFrame, symbols: int) -> DataFrame:
+    """(key, id): each word's reduced word and the neighbours that are shorter or have a later symbol at one place.
 
-    @B.tidy
-    def run(batches):
-        for rb in batches:
-            keys = [Reduced(reduced(w, symbols)).own() for w in rb.column(1).to_pylist()]
-            yield B.batch(KEY_PA, B.long_col(np.concatenate(keys) if keys else np.zeros(0, np.uint64)), rb.column(0))
+    The rest of a neighbourhood is the same pairs seen from the other word: of two reduced
+    words one edit apart, one is longer or has the earlier symbol, and that one makes the other.
+    """
+    return vocab.select("id", "word").mapInArrow(_keyed(symbols, True), "key long, id long")
 
-    return vocab.select("id", "word").mapInArrow(run, "key long, id long")
+
+def reduced_words(vocab: DataFrame, symbols: int) -> DataFrame:
+    """(key, id): each word's own reduced word."""
+    return vocab.select("id", "word").mapInArrow(_keyed(symbols, False), "key long, id long")
 
 
 def near_pairs(vocab: DataFrame, symbols: int) -> DataFrame:
     """(id, near): both ways, every two words of (id, word) that differ by one edit."""
     made = neighbours(vocab, symbols)
     own = reduced_words(vocab, symbols).select(F.col("key").alias("key2"), F.col("id").alias("near"))
-    met = made.join(own.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("id") != F.col("near"))).select("id", "near").distinct()
+    met = made.join(own.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("id") != F.col("near")))
+    met = met.select(F.least("id", "near").alias("id"), F.greatest("id", "near").alias("near")).distinct()
     words = lambda a, b: vocab.select(F.col("id").alias(a), F.col("word").alias(b)).hint("merge")
     both = met.join(words("id1", "w1"), F.col("id") == F.col("id1")).join(words("id2", "w2"), F.col("near") == F.col("id2"))
-    return both.filter(F.levenshtein("w1", "w2", 1) == 1).select("id", "near")
+    good = both.filter(F.levenshtein("w1", "w2", 1) == 1)
+    return good.select(F.explode(F.array(F.struct("id", "near"), F.struct(F.col("near").alias("id"), F.col("id").alias("near")))).alias("p")).select("p.*")
 
 
 def roots(forms: DataFrame, rounds: int = 20) -> DataFrame:
