@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import assembly, checks, cleaning, documents, fusion, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
+from .operators import assembly, checks, cleaning, documents, edit_join, fusion, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
 from .plans import pipeline
 from .plans.derived import spark_table, with_derived
 from .sources import readers
@@ -246,10 +246,28 @@ WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), l
 def fuzzy_parts(get):
     p = get("part").select("p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_type", "p_size").alias("k"))
     a, b = p.selectExpr("p_partkey AS key_a", "p_name AS name_a", "k AS k_a"), p.selectExpr("p_partkey AS key_b", "p_name AS name_b", "k AS k_b")
-    longest = F.greatest(F.length("name_a"), F.length("name_b"))
-    score = 1 - F.levenshtein("name_a", "name_b") / longest
-    d = a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("key_a") < F.col("key_b"))).withColumn("similarity", score)
-    return d.filter("similarity >= 0.6").select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
+    d = joins.fuzzy_join(a, b, "name_a", "name_b", ("k_a", "k_b"), 0.6).filter("key_a < key_b")
+    return d.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH c AS (SELECT p_name, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY p_name)
+SELECT a.k AS id_a, b.k AS id_b, levenshtein(a.p_name, b.p_name) AS edits, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.k < b.k AND levenshtein(a.p_name, b.p_name) <= 2""")
+def fuzzy_names(get):
+    return edit_join.edit_pairs(get("part"), "p_partkey", "p_name", 2)
+
+
+@query("""WITH c AS (SELECT url, min(page_id) AS class_id FROM pages GROUP BY url), n AS (SELECT a.url, count(*) AS n FROM c a JOIN c b ON a.url <> b.url AND abs(length(a.url) - length(b.url)) <= 2 AND levenshtein(a.url, b.url) <= 2 GROUP BY a.url)
+SELECT page_id, class_id, coalesce(n, 0) AS n_links FROM pages JOIN c USING (url) LEFT JOIN n USING (url)""")
+def fuzzy_urls(get):
+    return edit_join.edit_links(get("pages").select("page_id", "url"), "page_id", "url", 2).select("page_id", "class_id", "n_links")
+
+
+@query("""SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS edits FROM (SELECT DISTINCT lower(p_name) AS w FROM part) a JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) || ' ' || lower(p_type) AS w FROM part) b ON levenshtein(a.w, b.w) <= 3""")
+def fuzzy_two_tables(get):
+    """Names of parts beside their words with the type, within three edits."""
+    a = get("part").select(F.lower("p_name").alias("w"))
+    b = get("part").select(F.explode(F.split("p_name", " ")).alias("v"), F.lower("p_type").alias("t")).select(F.concat_ws(" ", "v", "t").alias("w"))
+    return edit_join.edit_join(a, b, "w", "w", 3)
 
 
 @query("SELECT n_nationkey, n_name, array_to_string(list_sort(list(s_suppkey) FILTER (s_suppkey IS NOT NULL)), ',') AS files, count(s_suppkey) AS n_files FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1, 2")

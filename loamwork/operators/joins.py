@@ -65,10 +65,12 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, block, threshold: float = 0.8) -> DataFrame:
     """Pairs in one block with an edit similarity of at least `threshold`.
 
-    `block` maps a column to its blocking key; pairs are made only within a block.
+    `block` maps a column to its blocking key, or is a pair of keys, one for each side; pairs are
+    made only within a block.  `edit_join` needs no blocks.
     """
-    a = left.withColumn("__block", block(F.col(left_col)))
-    b = right.withColumn("__block", block(F.col(right_col)))
+    key_a, key_b = block if isinstance(block, tuple) else (block(F.col(left_col)), block(F.col(right_col)))
+    a = left.withColumn("__block", F.expr(key_a) if isinstance(key_a, str) else key_a)
+    b = right.withColumn("__block", F.expr(key_b) if isinstance(key_b, str) else key_b)
     longest = F.greatest(F.length(F.col(left_col)), F.length(F.col(right_col)))
     # the edits are at least the difference of the lengths
     near = longest - F.least(F.length(F.col(left_col)), F.length(F.col(right_col))) <= F.round(longest * (1 - threshold), 9)

@@ -27,6 +27,13 @@ def work_path(df: DataFrame, label: str) -> str:
     return f"{where}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: df as a table in the shared folder, read back."""
+    path = work_path(df, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
