@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import assembly, checks, cleaning, documents, edit_join, fusion, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
+from .operators import assembly, checks, cleaning, documents, edit_join, fusion, groups, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
 from .plans import pipeline
 from .plans.derived import spark_table, with_derived
 from .sources import readers
@@ -803,6 +803,17 @@ def near_duplicates(get):
     return d.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH RECURSIVE near AS ({NEAR_SQL}), c AS (SELECT text, min(doc_id) AS rep FROM documents WHERE text IS NOT NULL GROUP BY text),
+e AS (SELECT id_a AS u, id_b AS v FROM near UNION SELECT id_b, id_a FROM near),
+r AS (SELECT rep AS id, rep AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id),
+g AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+d AS (SELECT doc_id, coalesce(root, doc_id) AS group_id FROM documents LEFT JOIN c USING (text) LEFT JOIN g ON g.id = rep)
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n_rows FROM d""")
+def similar_groups(get):
+    """Groups of documents that five-word shingle links of 0.8 or more connect."""
+    return groups.similar_groups(get("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, count(*) OVER (PARTITION BY lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1))) AS pages_of_host FROM pages")
 def pages_by_host(get):
     host = F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1))

@@ -300,7 +300,7 @@ def document_stats(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def group_by_similarity(docs: DataFrame, type_col: str = "lang") -> DataFrame:
-    """The contract's grouping, by type; near duplicates are `joins.shingle_pairs`."""
+    """The contract's grouping, by type; by similarity of the texts: `groups.similar_groups`."""
     return docs.groupBy(type_col).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

@@ -78,30 +78,48 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     return a.join(b.hint("merge"), "__block").filter(near).withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("__block")
 
 
+def shingle_sets(df: DataFrame, text_col: str, words: int = 5) -> DataFrame:
+    """(id, g): the distinct hashed word shingles of each text; fewer words are one shingle."""
+    w = F.split(F.trim(F.lower(F.col(text_col))), r"\s+")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    return df.select("id", w.alias("w")).select("id", F.array_distinct(grams).alias("g"))
+
+
+def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, key): the shingles of each set that a set of this Jaccard similarity must share one of.
+
+    With shingles in one order, rarest first, two such sets share one of the first
+    n - ceil(similarity * n) + 1 of each; shingles that stand in one text only come first and
+    meet nothing.
+    """
+    posts = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("key"))
+    common = posts.groupBy("key").count().filter("count > 1").select(F.col("key").alias("key2"), "count")
+    shared = posts.join(common.hint("merge"), F.col("key") == F.col("key2")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("s"))
+    prefix = F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1 - (F.col("n") - F.size("s"))
+    return shared.filter(prefix > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+
+
+def jaccard_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """id_a, id_b, similarity of those pairs (id_a, id_b) that reach it."""
+    x, y = sets.select(F.col("id").alias("ia"), F.col("g").alias("ga")), sets.select(F.col("id").alias("ib"), F.col("g").alias("gb"))
+    both = pairs.join(x.hint("merge"), F.col("id_a") == F.col("ia")).join(y.hint("merge"), F.col("id_b") == F.col("ib")).withColumn("k", F.size(F.array_intersect("ga", "gb")))
+    return both.withColumn("similarity", F.col("k") / (F.size("ga") + F.size("gb") - F.col("k"))).filter(F.col("similarity") >= similarity).select("id_a", "id_b", "similarity")
+
+
 def shingle_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """id_a, id_b, similarity: all pairs whose word-shingle sets have at least this Jaccard similarity.
 
-    Candidates come from an exact prefix filter: with shingles in one order, rarest first, two
-    such sets share one of the first n - ceil(similarity * n) + 1 of each; shingles that stand
-    in one text only come first and meet nothing.  Texts should be distinct: equal ones are
-    pairs like any other.
+    Texts should be distinct: equal ones are pairs like any other.  A group of k near copies
+    has up to k * (k - 1) / 2 pairs; `groups.similar_groups` gives groups without them.
     """
-    w = F.split(F.trim(F.lower(F.col(text_col))), r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     path = work_path(df, "shingles")
-    df.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.array_distinct(grams).alias("g")).write.parquet(path)
+    shingle_sets(df.withColumn("id", F.col(id_col)), text_col, words).write.parquet(path)
     d = df.sparkSession.read.parquet(path)
-    posts = d.select("id", F.size("g").alias("n"), F.explode("g").alias("key"))
-    common = posts.groupBy("key").count().filter("count > 1").select(F.col("key").alias("key2"), "count")
-    shared = posts.join(common.hint("merge"), F.col("key") == F.col("key2")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("s"))
-    prefix = F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1 - (F.col("n") - F.size("s"))
-    keys = shared.filter(prefix > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+    keys = prefix_keys(d, similarity)
     a, b = keys.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("key").alias("key2"))
     close = F.least("na", "nb") >= F.round(F.greatest("na", "nb") * similarity, 9)
     pairs = a.join(b.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("id_a") < F.col("id_b")) & close).select("id_a", "id_b").distinct()
-    x, y = d.select(F.col("id").alias("ia"), F.col("g").alias("ga")), d.select(F.col("id").alias("ib"), F.col("g").alias("gb"))
-    both = pairs.join(x.hint("merge"), F.col("id_a") == F.col("ia")).join(y.hint("merge"), F.col("id_b") == F.col("ib")).withColumn("k", F.size(F.array_intersect("ga", "gb")))
-    return both.withColumn("similarity", F.col("k") / (F.size("ga") + F.size("gb") - F.col("k"))).filter(F.col("similarity") >= similarity).select("id_a", "id_b", "similarity")
+    return jaccard_of(pairs, d, similarity)
 
 
 def catalog_join(datasets: DataFrame, files: DataFrame, key: str, file_id: str) -> DataFrame:
