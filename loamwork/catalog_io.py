@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .catalog import query, union
 from .operators import checks, documents, joins, profile
 from .plans import pipeline
-from .sources import readers, writers
-from .streaming import jobs
+from .sources import paged, readers, writers
+from .streaming import jobs, stateful
 
 # ---------------------------------------------------------------- files
 
@@ -136,6 +136,43 @@ def json_shapes(get):
     return d.agg(F.lit(readers.json_shape(sample, d.sparkSession)).alias("shape"), F.count("*").alias("n_rows"))
 
 
+@query("""WITH p AS (SELECT event_id, user_id, event_type, event_id // 500 + 1 AS page FROM events)
+SELECT event_id, user_id, event_type, page, CASE WHEN page <= (SELECT max(page) FROM p) // 2 THEN 1 ELSE 2 END AS run FROM p""")
+def pages_followed(get):
+    """Pages followed as a stream: half of them, then from the checkpoint only what came since."""
+    d = get("events").select("event_id", "user_id", "event_type", F.expr("event_id div 500 + 1").alias("page"))
+    spark, path = d.sparkSession, writers.work_path(d, "pages")
+    half = d.agg(F.max("page")).first()[0] // 2
+    schema = "event_id long, user_id long, event_type string, page long"
+    for run, part in ((1, d.filter(F.col("page") <= half)), (2, d.filter(F.col("page") > half))):
+        part.repartition("page").write.mode("append").partitionBy("page").json(f"{path}/in")
+        new = paged.follow_pages(spark, f"{path}/in", schema, pages_per_task=4).withColumn("run", F.lit(run))
+        jobs.for_each_batch(new, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}"), f"{path}/checkpoint")
+    return spark.read.schema(f"{schema}, run int").parquet(f"{path}/out").drop("batch")
+
+
+@query("SELECT page_id, url, html, page_id % 7 + 1 AS page FROM pages")
+def pages_read(get):
+    """Seven pages of JSON lines, read at once."""
+    d = get("pages").select("page_id", "url", "html", (F.col("page_id") % 7 + 1).alias("page"))
+    path = writers.work_path(d, "pages")
+    d.repartition("page").write.partitionBy("page").json(path)
+    return paged.read_pages(d.sparkSession, path, "page_id long, url string, html string, page long")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'F'")
+def jdbc_ranges_read(get):
+    """Orders in an embedded database (of this process, so for local sessions), written and read in parallel ranges of the key."""
+    d = get("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    spark = d.sparkSession
+    url = "jdbc:derby:memory:" + writers.work_path(d, "orders").rsplit("/", 1)[-1]
+    writers.write_jdbc(d, url + ";create=true", "orders", types="o_orderstatus VARCHAR(4)")
+    found = readers.read_jdbc_ranges(spark, url, "orders", "o_orderkey").filter("o_totalprice > 250000 AND o_orderstatus = 'F'")
+    kept = writers.staged(found, "jdbc")
+    readers.drop_embedded(spark, url)
+    return kept
+
+
 # ---------------------------------------------------------------- schemas and steps
 
 KINDS = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END"
@@ -237,3 +274,49 @@ def late_rows_counted(get):
     old.write.mode("append").parquet(source)
     late += jobs.run_available(kept(), f"{path}/out", f"{path}/checkpoint")
     return d.agg(F.count_if(F.col("ts") >= top).alias("n_on_time"), F.lit(late).cast("long").alias("n_late"))
+
+
+# ---------------------------------------------------------------- streams with state
+
+
+def _in_two_runs(d: DataFrame, made, label: str) -> DataFrame:
+    """Events of the earlier and then of the later half of the time, each drained from files by
+    a query of its own that goes on from the checkpoint; a last event far behind closes all."""
+    spark, path = d.sparkSession, writers.work_path(d, label)
+    lo, hi = d.agg(F.min("ts"), F.max("ts")).first()
+    half = F.lit(lo + (hi - lo) / 2)
+    last = d.limit(1).select(*[F.lit(hi).cast(t) + F.expr("INTERVAL 30 DAYS") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in d.dtypes]).toDF(*d.columns)
+    for part in (d.filter(F.col("ts") < half), d.filter(F.col("ts") >= half), last):
+        part.write.mode("append").parquet(f"{path}/in")
+        stateful.drain(made(readers.file_stream(spark, f"{path}/in", d.schema)), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, new DESC) AS k FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def sessions_streamed(get):
+    """Sessions of a stream, closed by timers."""
+    d = get("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = _in_two_runs(d, lambda s: stateful.closed_sessions(s, "user_id"), "sessions")
+    return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n_events")
+
+
+@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, count(*) AS n, count(*) FILTER (value > 50) AS bad FROM events GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN bad / n::DOUBLE > 0.5 THEN 1 WHEN bad / n::DOUBLE < 0.35 THEN 0 END AS mark FROM w),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY w), 0) AS state FROM m)
+SELECT event_type, epoch_us(w) AS window_us, CASE WHEN state = 1 THEN 'raised' ELSE 'cleared' END AS change, n AS n_rows, bad AS n_bad
+FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY event_type ORDER BY w), 0) AS before FROM s) WHERE state <> before""")
+def alerts_streamed(get):
+    """Alerts of a stream with hysteresis: raised above a half, cleared below 35 %."""
+    d = get("events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    s = _in_two_runs(d, lambda s: stateful.rate_alerts(s, "event_type", "value > 50", 0.5, 0.35, size="6 hours"), "alerts")
+    return s.select("event_type", F.unix_micros("window_start").alias("window_us"), "change", "n_rows", "n_bad")
+
+
+@query("SELECT user_id, event_type, epoch_us(min(ts)) AS first_us FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
+def first_events_streamed(get):
+    """The first event of each user and type; the state of a key is held for 60 days."""
+    d = get("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    s = _in_two_runs(d, lambda s: stateful.first_events(s, ["user_id", "event_type"], hold="60 days"), "first")
+    return s.filter("user_id IS NOT NULL").select("user_id", "event_type", F.unix_micros("ts").alias("first_us"))

@@ -294,6 +294,41 @@ def read_jdbc(spark: SparkSession, **kw) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**kw)).load()
 
 
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, tasks: int, properties: dict[str, str] | None = None) -> list[str]:
+    """Predicates that cut a table at quantiles of a numeric key into ranges of about equally many rows; nulls go with the first.
+
+    The keys alone are read, in parallel over even ranges, and sketched.
+    """
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    read = spark.read.format("jdbc").options(url=url, **(properties or {}))
+    lo, hi = read.option("dbtable", f"(SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}) ends").load().first()
+    if lo is None or lo == hi or tasks < 2:
+        return ["1 = 1"]
+    even = read.options(dbtable=f"(SELECT {name} FROM {table}) keys", partitionColumn=name, lowerBound=str(int(lo)), upperBound=str(int(hi) + 1), numPartitions=str(tasks))
+    cuts = sorted(set(even.load().toDF("k").approxQuantile("k", [i / tasks for i in range(1, tasks)], 0.01)) - {float(lo)})
+    texts = [str(int(c)) if c == int(c) else repr(c) for c in cuts]
+    if not texts:
+        return ["1 = 1"]
+    middle = [f"{name} >= {a} AND {name} < {b}" for a, b in zip(texts, texts[1:], strict=False)]
+    return [f"{name} < {texts[0]} OR {name} IS NULL", *middle, f"{name} >= {texts[-1]}"]
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, tasks: int = 8, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table over JDBC, one task for each range of `key_ranges`; filters and columns go to the database."""
+    return spark.read.jdbc(url, table, predicates=key_ranges(spark, url, table, key, tasks, properties), properties=properties or {})
+
+
+def drop_embedded(spark: SparkSession, url: str) -> None:
+    """Let an embedded in-memory database go."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        spark._jvm.java.sql.DriverManager.getConnection(url + ";drop=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # how this driver says it is done
+            raise
+
+
 def file_stream(spark: SparkSession, path, schema, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 

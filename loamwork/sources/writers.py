@@ -54,3 +54,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     if metadata:
         df.sparkSession.createDataFrame(list(metadata.items()), "key string, value string").withColumn("written", F.current_timestamp()).coalesce(1).write.mode(mode).parquet(path.rstrip("/") + "_metadata")
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, tasks: int = 8, types: str | None = None, mode: str = "error", properties: dict[str, str] | None = None) -> None:
+    """A table over JDBC through at most `tasks` connections; `types` overrides column types of a new table."""
+    w = df.write.mode(mode).format("jdbc").options(url=url, dbtable=table, numPartitions=str(tasks), **(properties or {}))
+    (w.option("createTableColumnTypes", types) if types else w).save()
