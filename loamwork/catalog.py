@@ -1137,4 +1137,4 @@ def fuse_hierarchical(get):
     return out.withColumnsRenamed({"a_b_a_n_chars": "n_chars", "a_b_b_lang": "lang", "c_c_quality": "quality", "c_quality": "quality"})
 
 
-from . import catalog_io  # noqa: E402, F401  registers its queries here
+from . import catalog_io, catalog_tables  # noqa: E402, F401

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from ..functions.missing import long_rows
+from . import gram
 from .order_stats import distinct_counts, quantiles
 
 
@@ -75,14 +76,13 @@ def string_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """column_a, column_b, corr of every pair, over rows that have both."""
+    """column_a, column_b, corr of every pair, over rows that have both; one scan at any width."""
     df = M.normalize(df)
-    pairs = list(combinations(columns or M.numeric(df), 2))
-    # a dozen pairs an aggregate: wider ones fall out of code generation
-    row = None
-    for lo in range(0, len(pairs), 12):
-        part = df.agg(*[F.corr(a, b).alias(f"c{lo + i}") for i, (a, b) in enumerate(pairs[lo : lo + 12])])
-        row = part if row is None else row.crossJoin(F.broadcast(part))  # one row each
+    cols = columns or M.numeric(df)
+    pairs = list(combinations(cols, 2))
+    if len(pairs) > 12:  # wider aggregates fall out of code generation
+        return gram.correlations(df, cols).withColumn("corr", F.round("corr", digits))
+    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.round(F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")), digits).alias("corr")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(rows).alias("r")).select("r.*")
 
