@@ -9,8 +9,9 @@ correlation of neighbours.  Fisher's method joins their p-values.
 A high joint p-value speaks for a secret, and what has to be controlled are ordinary strings
 among those reported.  So the null hypothesis is "ordinary": within each encoding and length
 class, a candidate's p-value under it is the share of ordinary strings that look as random.
-These come from the corpus itself, every document glued in the styles of identifiers, paths,
-capital and hexadecimal runs, and from a fixed list of names for corpora with little text.
+These come from the corpus itself, every whole document glued in the styles of identifiers, paths,
+capital and hexadecimal runs and cut at a place that its digest gives, and from a fixed list of
+names for corpora with little text.
 The Benjamini-Hochberg rule then finds, from histograms over all documents, the least p-value
 that keeps the expected share of ordinary strings among the reported ones at `rate`.  What
 reaches it is a span of kind "random".  Candidates that meet a span of the fixed patterns
@@ -23,6 +24,8 @@ so repeated and null doc_ids are kept apart.  Other columns are passed over.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +55,8 @@ NAMES = (
     "default option setting version module package library test report daily weekly backup archive invoice customer order product account address"
 ).split()
 NAMED = 400
-#: Characters of a document that are glued, from a place anywhere in it.
-GLUED = 1024
+#: What every match of ASSIGN holds in lower case.
+ASSIGNED = ("passw", "secret", "token", "api")
 
 
 def upper_tail(z):
@@ -149,8 +152,7 @@ def ordinary(docs: DataFrame) -> DataFrame:
     place it gives; copies give one string.
     """
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    part = F.substr("text", F.pmod(F.shiftright("h", 32), F.greatest(F.length("text") - GLUED, F.lit(0)) + 1).cast("int") + 1, F.lit(GLUED))
-    words = text.select(F.trim(F.regexp_replace(F.regexp_replace(part, CANDIDATE, " "), "[^A-Za-z0-9]+", " ")).alias("w"), "h")
+    words = text.select(F.trim(F.regexp_replace(F.regexp_replace("text", CANDIDATE, " "), "[^A-Za-z0-9]+", " ")).alias("w"), "h")
     spark = docs.sparkSession
     names = F.array(*[F.lit(x) for x in NAMES])
     at = lambda k: F.get(names, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(NAMES))).cast("int"))
@@ -192,12 +194,18 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     # the second group's length is what the match has beyond its own prefix
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2))
     mixed = lambda m: F.rlike(m["m"], F.lit("[0-9]")) & F.rlike(m["m"], F.lit("[A-Za-z]"))
-    found = docs.select(
-        F.col("doc_id").cast("long"),
-        bare(F.filter(located(text, ASSIGN), lambda m: value(m["m"]) >= 6)).alias("assign"),
-        bare(located(text, ACCESS)).alias("access"),
-        bare(located(text, HEX)).alias("hex"),
-        F.filter(located(text, CANDIDATE), mixed).alias("candidates"),
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    # a match of HEX or ACCESS is part of a long run, one of ASSIGN holds a word: few texts are searched for them
+    low = F.lower("text")
+    word = reduce(or_, [F.contains(low, F.lit(x)) for x in ASSIGNED])
+    text = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"word": word, "run": F.rlike("text", F.lit(CANDIDATE))})
+    where = lambda cond, pattern: F.when(cond, located(F.col("text"), pattern)).otherwise(none)
+    found = text.select(
+        "doc_id",
+        bare(F.filter(where(F.col("word"), ASSIGN), lambda m: value(m["m"]) >= 6)).alias("assign"),
+        bare(where(F.col("run"), ACCESS)).alias("access"),
+        bare(where(F.col("run"), HEX)).alias("hex"),
+        F.filter(where(F.col("run"), CANDIDATE), mixed).alias("candidates"),
     )
     apart = lambda m: ~F.exists(F.concat("assign", "access", "hex"), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
     found = found.withColumn("candidates", F.transform(F.filter("candidates", apart), examined))
