@@ -16,15 +16,16 @@ def total(lengths):
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
-def located(text, pattern: str):
+def located(text, pattern):
     """array<struct<start,end,m>> of the leftmost non-overlapping matches; code points, end exclusive.
 
     What stands between the matches comes from split, the matches from regexp_extract_all;
     starts are running sums of both lengths, by parts of 256 so that a text with very many
-    matches stays cheap.  Null text gives null.
+    matches stays cheap.  Null text gives null.  The pattern is a string or a column.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
 
     def places(b, m):
         sizes = F.zip_with(F.slice(b, F.lit(1), F.size(m)), m, lambda x, y: F.length(x) + F.length(y))
@@ -39,4 +40,4 @@ def located(text, pattern: str):
         return bind(start, lambda x: F.struct(x.alias("start"), (x + F.length(y)).alias("end"), y.alias("m")))
 
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), bind(between, lambda b: bind(found, lambda m: places(b, m)))).otherwise(F.when(text.isNotNull(), none))
+    return F.when(F.rlike(text, pattern), bind(between, lambda b: bind(found, lambda m: places(b, m)))).otherwise(F.when(text.isNotNull(), none))

@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loamwork.llm import mixing, pii, secret_scan
 
@@ -252,6 +254,48 @@ def test_full_formats_give_a_result(spark, monkeypatch):
     assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
 
 
+def test_full_telephone_formats_grow(spark):
+    """800 of the 1,000 numbers of a format: all get surrogates of their own, none of them real, soon."""
+    rows = [(i, f"call +49 {i // 100} {i % 100:02d} now") for i in range(100, 900)]
+    got = [r.text for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    numbers = {re.fullmatch(r"call (\+49 [0-9] [0-9]{8}) now", t).group(1) for t in got}
+    assert len(numbers) == 800
+
+
+def test_no_surrogate_left_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda t, norm, attempt, key: F.lit("the same"))
+    norms = spark.createDataFrame([("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "type string, norm string")
+    with pytest.raises(RuntimeError, match="ip"):
+        pii.exceptions(norms, rounds=3)
+
+
+def names_of(spark, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.with_surrogates(d).collect(), key=lambda r: r.doc_id)]
+
+
+def test_bare_mentions_of_a_person_are_replaced_alike(spark):
+    one, two = names_of(spark, "Mr. John Smith called. Smith said that John Smith left, and John too. Dr. John Smith. SMITH; Smithson.", "Smith, a smith, John Smith.")
+    given, family = re.match(r"Mr\. (\w+) (\w+) called", one).groups()
+    assert given in pii.GIVEN["m latin"]
+    assert one == f"Mr. {given} {family} called. {family} said that {given} {family} left, and {given} too. Dr. {given} {family}. SMITH; Smithson."
+    assert two == "Smith, a smith, John Smith."  # nobody is named there by a title
+
+
+def test_family_names_are_linked_by_gender(spark):
+    text, other = names_of(spark, "Mrs. Anna Berg, Mr. Paul Berg. Mr. Berg and Mrs. Berg; Frau Stein, Stein. Anna.", "Herr Berg")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+)\. Mr\. (\w+) and Mrs\. (\w+); Frau (\w+), (\w+)\. (\w+)\.", text).groups()
+    assert m[4] == m[3] and m[5] == m[1] and m[6] == m[7] and m[8] == m[0] and len({m[1], m[3], m[6]}) == 3
+    assert m[0] in pii.GIVEN["f latin"] and m[2] in pii.GIVEN["m latin"] and other.startswith("Herr ")
+
+
+def test_one_person_under_two_titles(spark):
+    a, b, c = names_of(spark, "Dr. Eva Lind", "Frau Eva Lind", "Dr. Kim Lo and Mr. Kim Lo and Mrs. Kim Lo")
+    assert a.removeprefix("Dr. ") == b.removeprefix("Frau ") and a.split()[1] in pii.GIVEN["f latin"]
+    names = [x.split(" ", 1)[1] for x in c.split(" and ")]
+    assert len(set(names)) == 3
+
+
 def planted(n=60):
     """Random keys and ordinary strings of many lengths: class -> strings."""
     r = random.Random(21)
