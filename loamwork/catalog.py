@@ -629,7 +629,8 @@ def document_extraction(get):
 
 
 @query("SELECT doc_id, batch_number, least(2 * length(text) // 100 + 1 - (batch_number - 1) * 100, 100)::BIGINT AS n_examples, md5(left(text, 3000)) AS content_md5 FROM (SELECT doc_id, text, unnest(range(1, greatest(ceil((2 * length(text) // 100 + 1) / 100.0), 1)::BIGINT + 1)) AS batch_number FROM documents)")
-def request_plan(get):
+def request_preview(get):
+    """How the requests of a plan begin that is shown before it is run: the limit of a prompt, from the head of each text."""
     target = F.floor(2 * F.length("text") / 100) + 1
     return assembly.request_plan(get("documents").select("doc_id", "text"), target, "qa_pairs", windowed=False).select("doc_id", "batch_number", "n_examples", F.md5("content").alias("content_md5"))
 
@@ -663,7 +664,7 @@ def balanced_labels(get):
 @query("SELECT label, count(*) AS n FROM (SELECT 'email' AS label, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) FROM documents UNION ALL SELECT 'ip', unnest(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) FROM documents) GROUP BY label")
 def pattern_entities(get):
     d = assembly.pattern_entities(get("documents"), {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"})
-    good = d.join(get("documents").select("doc_id", F.col("text").alias("whole")), "doc_id").filter(F.substr("whole", (F.col("start") + 1).cast("int"), F.length("text")) == F.col("text"))
+    good = d.join(get("documents").select("doc_id", F.col("text").alias("whole")).hint("merge"), "doc_id").filter(F.substr("whole", (F.col("start") + 1).cast("int"), F.length("text")) == F.col("text"))
     return good.groupBy("label").agg(F.count("*").alias("n"))
 
 

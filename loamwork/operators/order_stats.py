@@ -12,6 +12,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Points of a sketch are off by at most a 1/SKETCH of the rows.
 SKETCH = 1000
@@ -34,14 +35,26 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """The most frequent value of each column (the lowest of equals), or None."""
-    parts = None
-    for i, c in enumerate(columns):
+    """The most frequent value of each column (the lowest of equals), as text, or None.
+
+    One pass at any number of columns: (column, value) rows are counted under a shuffled key.
+    """
+    if not columns:
+        return {}
+    numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+
+    def value(i, c):
         x = F.col(f"`{c}`")
-        counts = df.filter(x.isNotNull()).groupBy(x.alias("v")).count()
-        top = counts.agg(F.min(F.struct((-F.col("count")).alias("n"), "v"))["v"].cast("string").alias("v")).select(F.lit(i).alias("i"), "v")
-        parts = top if parts is None else parts.unionByName(top)
-    return {columns[r.i]: r.v for r in parts.collect()} if columns else {}
+        x = (x + F.lit(0.0)).cast(df.schema[c].dataType) if c in floats else x  # no negative zero
+        number = x.cast("double") if c in numbers else F.lit(None).cast("double")
+        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), number.alias("x"), F.length(x.cast("string")).alias("n") if c in numbers else F.lit(0).alias("n"), x.cast("string").alias("v")))
+
+    rows = df.select(F.explode(F.array_compact(F.array(*[value(i, c) for i, c in enumerate(columns)]))).alias("r"))
+    counts = rows.groupBy("r").count()
+    # in order of the number, or of the text
+    top = counts.groupBy("r.i").agg(F.min(F.struct((-F.col("count")).alias("k"), "r.x", "r.n", "r.v"))["v"].alias("v"))
+    return {**dict.fromkeys(columns), **{columns[r.i]: r.v for r in top.collect()}}
 
 
 class Bracket:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamwork.operators import order_stats as O
 
@@ -50,3 +51,12 @@ def test_few_rows(spark, n):
     assert got == ({"x": [float(q) for q in np.percentile(range(n), [25, 50])]} if n else {})
     assert O.distinct_counts(df, ["x"]).first()[0] == n
     assert O.modes(df, ["x"])["x"] == ("0.0" if n else None)
+
+
+def test_modes_of_many_columns_in_one_pass(spark):
+    rows = [(10, 2.0, "b", True, None), (9, -0.0, "a", None, None), (10, 0.0, "b", False, None), (9, 2.0, "a", False, None), (None, None, None, True, None)]
+    df = spark.createDataFrame(rows, "i long, x double, s string, b boolean, n string").repartition(3)
+    assert O.modes(df, df.columns) == {"i": "9", "x": "0.0", "s": "a", "b": "false", "n": None}
+    wide = df.select(*[F.col("i").alias(f"c{k}") for k in range(40)])
+    assert O.modes(wide, wide.columns) == {f"c{k}": "9" for k in range(40)}
+    assert O.modes(df.limit(0), df.columns) == dict.fromkeys(df.columns) and O.modes(df, []) == {}
