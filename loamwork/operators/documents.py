@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -127,39 +125,28 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZES["medium"], separato
     return d.select(id_col, "chunk_index", "total_chunks", F.aggregate(F.transform(part, X.tokens), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.array_join(part, separator).alias("content"))
 
 
-def _streamed_bins(n_groups: int, limit: int):
-    """The bins of `bins_of` for rows sorted by group and order, whose last column is the size."""
-
-    def run(batches):
-        last, now, used = None, 0, 0
-        for rb in batches:
-            groups = zip(*[rb.column(i).to_pylist() for i in range(n_groups)], strict=True) if n_groups else [()] * rb.num_rows
-            out = []
-            for g, x in zip(groups, rb.column(rb.num_columns - 1).to_pylist(), strict=True):
-                if g != last:
-                    last, now, used = g, 0, 0
-                elif used + x > limit:
-                    now, used = now + 1, 0
-                used += x
-                out.append(now)
-            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(out, pa.int64())], names=[*rb.schema.names[:-1], "bin"])
-
-    return run
-
-
 def pack_documents(docs: DataFrame, group_cols: list[str], order_col: str, limit: int = CONTEXT, column: str = "text") -> DataFrame:
     """group, bin, n_docs, tokens, content: whole documents of a group packed greedily in order.
 
-    Only (order, tokens) of a group meet in one task, which folds them row by row; texts join
-    their bin later.
+    Null groups and orders are values; documents of one order go by tokens, then by digest.
+    Bins are found over (order, tokens, digest) in ranges (`packing.greedy_bins`), so a group may
+    hold most rows; texts join their bins by digest, equal documents once with a count.
     """
-    t = docs.select(*group_cols, F.col(order_col), X.tokens(F.coalesce(F.col(column), F.lit(""))).alias("t"))
-    dealt = (t.repartition(*group_cols) if group_cols else t.repartition(1)).sortWithinPartitions(*group_cols, order_col, "t")
-    schema = T.StructType([*dealt.schema.fields[:-1], T.StructField("bin", T.LongType())])
-    bins = dealt.mapInArrow(_streamed_bins(len(group_cols), limit), schema)
-    header = F.concat(F.lit("\n\n--- Document: "), F.col(order_col).cast("string"), F.lit(" ---\n\n"), F.coalesce(F.col(column), F.lit("")))
-    j = docs.select(*group_cols, order_col, column).join(bins.hint("merge"), [*group_cols, order_col])
-    return j.groupBy(*group_cols, "bin").agg(F.count("*").alias("n_docs"), F.sum(X.tokens(F.coalesce(F.col(column), F.lit("")))).alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), header.alias("h")))), lambda x: x["h"]), "").alias("content"))
+    from ..sources.writers import staged
+    from .packing import greedy_bins
+
+    x = F.coalesce(F.col(column), F.lit(""))
+    # tells documents apart; never null
+    digest = F.md5(F.concat(F.md5(x), F.coalesce(F.to_json(F.struct(*group_cols, order_col)), F.lit(""))))
+    d = docs.select(*group_cols, F.col(order_col), X.tokens(x).alias("__t"), digest.alias("__h"), x.alias("__x"))
+    sizes = staged(d.drop("__x").withColumn("__id", F.monotonically_increasing_id()), "sizes")
+    bins = greedy_bins(sizes, group_cols, [order_col, "__t", "__h", "__id"], "__t", limit)
+    copies = bins.groupBy("__h", "bin").agg(F.count("*").alias("__n"))
+    texts = d.groupBy("__h").agg(*[F.first(c).alias(c) for c in d.columns if c != "__h"])
+    j = texts.join(copies.withColumnRenamed("__h", "__h2").hint("merge"), F.col("__h") == F.col("__h2"))
+    header = F.concat(F.lit("\n\n--- Document: "), F.coalesce(F.col(order_col).cast("string"), F.lit("")), F.lit(" ---\n\n"), F.col("__x"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order_col), "__t", "__h", F.array_repeat(header, F.col("__n").cast("int")).alias("p"))))
+    return j.groupBy(*group_cols, "bin").agg(F.sum("__n").alias("n_docs"), F.sum(F.col("__n") * F.col("__t")).alias("tokens"), F.array_join(F.flatten(F.transform(in_order, lambda r: r["p"])), "").alias("content"))
 
 
 def batch_documents(docs: DataFrame, group_cols: list[str], order_col: str, size: int = BATCH_SIZE, column: str = "text") -> DataFrame:
