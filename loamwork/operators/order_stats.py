@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Points of a sketch are off by at most a 1/SKETCH of the rows.
-SKETCH = 1000
+#: Size of a sketch, whose points are off by a quarter of a percent of the rows (99 of 100 times);
+#: brackets are SLACK wide to either side, and proved.
+SKETCH_K, SLACK = 2048, 0.003
 #: A bracket with more rows than this is narrowed again before its values are read.
 BRACKET_ROWS = 5000
 
@@ -58,18 +59,38 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
 
 
 class Bracket:
-    """Where the values of ranks low and high of column i lie: between a and b, with `below` rows under a."""
+    """Where the values of ranks low and high of column i lie: from a to b.
 
-    def __init__(self, i: int, p: float, n: int):
-        self.i, self.n, self.place = i, n, p * (n - 1)
-        self.low, self.high = math.floor(self.place), math.ceil(self.place)
-        self.a = self.b = None
-        self.below, self.inside = 0, n
+    `below` rows are under a, `at_a` equal it, `inside` lie strictly between, `at_b` equal b.
+    """
 
-    def value(self, counts: list[tuple[float, int]]) -> float:
-        """Linear between the two ranks, from (value, rows) pairs in ascending order."""
+    def __init__(self, i: int, p: float, n: int, a: float, b: float):
+        self.i, self.place = i, p * (n - 1)
+        self.low, self.high = math.floor(self.place), math.ceil(self.place)
+        self.a, self.b = a, b
+        self.below = self.at_a = self.inside = self.at_b = 0
+
+    def take(self, below: int, at_a: int, inside: int, at_b: int) -> bool:
+        """Whether these counts prove that both ranks lie within; ends that no rank needs fall together."""
+        self.below, self.at_a, self.inside, self.at_b = below, at_a, inside, at_b if self.a < self.b else 0
+        if not below <= self.low <= self.high < below + at_a + inside + self.at_b:
+            return False
+        if self.high < below + at_a:
+            self.b = self.a
+        elif self.low >= below + at_a + inside:
+            self.a = self.b
+        return True
+
+    def narrowed(self, least: float, most: float) -> None:
+        """New ends from the values inside; an end that a rank stands on stays."""
+        self.a, self.b = (self.a if self.low < self.below + self.at_a else least), (self.b if self.high >= self.below + self.at_a + self.inside else most)
+
+    def value(self, inside: list[tuple[float, int]]) -> float:
+        """Linear between the two ranks, from (value, rows) pairs of the values inside."""
+        if self.a == self.b:
+            return self.a
         at, found = self.below, []
-        for v, n in counts:
+        for v, n in [(self.a, self.at_a), *sorted(inside), (self.b, self.at_b)]:
             at += n
             while len(found) < 2 and at > (self.low, self.high)[len(found)]:
                 found.append(v)
@@ -81,8 +102,9 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool
     """Quantiles of each numeric column that has values, linear between neighbours.
 
     A sketch brackets every quantile within a few thousandths of the rows; a count of the rows
-    below and inside proves the bracket, which is narrowed while it holds too many rows; the
-    different values inside are then read.  Without `exact` the sketch answers alone.
+    below, at the ends and inside proves the bracket, which is narrowed while it holds too many
+    rows; the different values inside are then read.  Values of very many rows end up as ends,
+    so what lies inside is always a small share.  Without `exact` a sketch answers alone.
     """
     if not columns:
         return {}
@@ -91,43 +113,43 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool
     if not exact:
         row = d.agg(*[F.percentile_approx(c, probs, 10000).alias(c) for c in d.columns]).first()
         return {c: row[i] for i, c in enumerate(columns) if row[i] is not None}
-    spread = [x for p in probs for x in (max(0.0, p - 2 / SKETCH), min(1.0, p + 2 / SKETCH))]
-    row = d.agg(*[x for c in d.columns for x in (F.count(c).alias(f"n{c}"), F.approx_count_distinct(c).alias(f"u{c}"), F.percentile_approx(c, spread, SKETCH).alias(f"q{c}"))]).first()
-    brackets = [Bracket(i, p, row[f"nv{i}"]) for i in range(len(columns)) if row[f"nv{i}"] for p in probs]
-    for k, b in enumerate(brackets):
-        b.a, b.b = row[f"qv{b.i}"][2 * (k % len(probs)) : 2 * (k % len(probs)) + 2]
-    proved(d, brackets)
-    few = {b.i for b in brackets if row[f"uv{b.i}"] <= BRACKET_ROWS / 2}
-    while wide := [b for b in brackets if b.inside > BRACKET_ROWS and b.a < b.b and b.i not in few]:
-        within = lambda b: F.when(F.col(f"v{b.i}").between(b.a, b.b), F.col(f"v{b.i}"))
-        relative = lambda b, r: (r - b.below) / b.inside
-        row = d.agg(*[F.percentile_approx(within(b), [max(0.0, relative(b, b.low) - 2 / SKETCH), min(1.0, relative(b, b.high + 1) + 2 / SKETCH)], SKETCH).alias(f"b{k}") for k, b in enumerate(wide)]).first()
-        before = [(b.a, b.b) for b in wide]
+    first = d.agg(*[x for c in d.columns for x in (F.count(c).alias(f"n{c}"), F.kll_sketch_agg_double(c, SKETCH_K).alias(f"s{c}"))])
+    ends = lambda p: (F.lit(max(0.0, p - SLACK)), F.lit(min(1.0, p + SLACK)))
+    row = first.select(*[f"nv{i}" for i in range(len(columns))], *[F.when(F.col(f"nv{i}") > 0, F.kll_sketch_get_quantile_double(f"sv{i}", e)).alias(f"q{i}_{k}_{side}") for i in range(len(columns)) for k, p in enumerate(probs) for side, e in enumerate(ends(p))]).first()
+    brackets = [Bracket(i, p, row[f"nv{i}"], row[f"q{i}_{k}_0"], row[f"q{i}_{k}_1"]) for i in range(len(columns)) if row[f"nv{i}"] for k, p in enumerate(probs)]
+    prove(d, brackets)
+    while wide := [b for b in brackets if b.inside > BRACKET_ROWS and b.a < b.b]:
+        inner = d.agg(*[F.kll_sketch_agg_double(F.when(within(b), F.col(f"v{b.i}")), SKETCH_K).alias(f"s{k}") for k, b in enumerate(wide)])
+        share = lambda b, rank: (rank - b.below - b.at_a) / b.inside
+        row = inner.select(*[F.kll_sketch_get_quantile_double(f"s{k}", F.lit(min(1.0, max(0.0, x)))).alias(f"b{k}_{side}") for k, b in enumerate(wide) for side, x in enumerate((share(b, b.low) - SLACK, share(b, b.high + 1) + SLACK))]).first()
         for k, b in enumerate(wide):
-            b.a, b.b = row[k]
-        proved(d, wide)
-        if before == [(b.a, b.b) for b in wide]:
-            break  # few different values: they are counted, however many rows they have
-    open_ = [b for b in brackets if b.a < b.b]
-    counts: dict[int, list] = {b.i: [] for b in open_}
+            b.narrowed(row[f"b{k}_0"], row[f"b{k}_1"])
+        prove(d, wide)
+    open_ = [b for b in brackets if b.a < b.b and b.inside]
+    counts: dict[int, list] = {b.i: [] for b in brackets}
     if open_:
-        value = lambda i: F.col(f"v{i}")
-        inside = {i: reduce(or_, [value(i).between(b.a, b.b) for b in open_ if b.i == i]) for i in counts}
-        kept = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(i).alias("i"), value(i).alias("v"))) for i, x in inside.items()]))
+        inside = {i: reduce(or_, [within(b) for b in open_ if b.i == i]) for i in sorted({b.i for b in open_})}
+        kept = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i, x in inside.items()]))
         for r in d.select(F.explode(kept).alias("x")).groupBy("x.i", "x.v").count().collect():  # BRACKET_ROWS a bracket
             counts[r.i].append((r.v, r["count"]))
     out: dict[str, list[float]] = {}
     for b in brackets:
-        q = b.a if b.a == b.b else b.value(sorted(x for x in counts[b.i] if b.a <= x[0] <= b.b))
-        out.setdefault(columns[b.i], []).append(q)
+        out.setdefault(columns[b.i], []).append(b.value([x for x in counts[b.i] if b.a < x[0] < b.b]))
     return out
 
 
-def proved(d: DataFrame, brackets: list[Bracket]) -> None:
-    """Count the rows below and inside each bracket; one that misses its ranks is opened."""
-    sums = [x for k, b in enumerate(brackets) for x in (F.count_if(F.col(f"v{b.i}") < b.a).alias(f"b{k}"), F.count_if(F.col(f"v{b.i}").between(b.a, b.b)).alias(f"i{k}"))]
-    row = d.agg(*sums).first() if sums else None
-    for k, b in enumerate(brackets):
-        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
-        if not b.below <= b.low <= b.high < b.below + b.inside:
-            b.a, b.b, b.below, b.inside = -math.inf, math.inf, 0, b.n
+def within(b: Bracket):
+    v = F.col(f"v{b.i}")
+    return (v > b.a) & (v < b.b)
+
+
+def prove(d: DataFrame, brackets: list[Bracket]) -> None:
+    """Count the rows of each bracket; one that misses its ranks is opened and counted again."""
+    if not brackets:
+        return
+    v = lambda b: F.col(f"v{b.i}")
+    row = d.agg(*[F.count_if(x).alias(f"{name}{k}") for k, b in enumerate(brackets) for name, x in (("below", v(b) < b.a), ("a", v(b) == b.a), ("inside", within(b)), ("b", v(b) == b.b))]).first()
+    missed = [b for k, b in enumerate(brackets) if not b.take(row[f"below{k}"], row[f"a{k}"], row[f"inside{k}"], row[f"b{k}"])]
+    for b in missed:
+        b.a, b.b = -math.inf, math.inf
+    prove(d, missed)

@@ -44,6 +44,33 @@ def test_against_numpy(spark, monkeypatch, bracket):
     assert O.modes(df, ["s"]) == {"s": min(k for k, n in Counter(x[7] for x in data if x[7]).items() if n == max(Counter(x[7] for x in data if x[7]).values()))}
 
 
+@pytest.mark.parametrize("bracket", [5000, 20])
+def test_heavy_values_infinities_and_a_sketch_that_is_wrong(spark, monkeypatch, bracket):
+    monkeypatch.setattr(O, "BRACKET_ROWS", bracket)
+    r = random.Random(5)
+    inf = float("inf")
+    data = [(r.choice([7.0, 7.0, r.random() * 14]), r.choice([-inf, 1.0, 2.0, inf]), float(i)) for i in range(9000)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(3)
+    probs = [0.0, 0.2, 0.5, 0.503, 0.9, 1.0]
+
+    def rank(values, p):
+        values = sorted(values)
+        k = p * (len(values) - 1)
+        lo, hi = values[int(np.floor(k))], values[int(np.ceil(k))]
+        return lo if lo == hi else lo + (hi - lo) * (k - np.floor(k))
+
+    def right():
+        got = O.quantiles(df, ["a", "b", "c"], probs)
+        for i, c in enumerate("abc"):
+            assert np.allclose(got[c], [rank([x[i] for x in data], p) for p in probs], rtol=1e-12), c
+
+    right()
+    # brackets beside their ranks are opened again
+    kept = O.Bracket.__init__
+    monkeypatch.setattr(O.Bracket, "__init__", lambda self, i, p, n, a, b: kept(self, i, p, n, b + 1, b + 2))
+    right()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(float(k),) for k in range(n)], "x double")
