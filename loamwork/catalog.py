@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .functions.missing import long_rows
 from .operators import assembly, checks, cleaning, documents, edit_join, fusion, groups, joins, metrics, ordering, pii_masking, profile, task_checks, transforms
 from .plans import pipeline
 from .plans.derived import spark_table, with_derived
@@ -50,6 +51,12 @@ LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 LINE_NUMBERS = LINEITEM[:8]
 
 
+def filled_counts(df: DataFrame) -> DataFrame:
+    """column_name, n: which columns there are, and how many values each has."""
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n__{i}") for i, c in enumerate(df.columns)])
+    return long_rows(row, df.columns, {"n": "long"})
+
+
 def stats_sql(tab: str, cols: list[str]) -> str:
     return union([f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, round(max({c})::DOUBLE, 4) AS max FROM {tab}" for c in cols])
 
@@ -127,6 +134,11 @@ def variance_topk(get):
     return profile.variance_top_k(get("lineitem"), k=3, threshold=5)
 
 
+@query("SELECT column_name, n FROM (" + union([f"SELECT '{c}' AS column_name, {f'var_samp({c})' if c in LINE_NUMBERS else 'NULL'} AS v, count({c}) AS n FROM lineitem" for c in LINEITEM]) + ") QUALIFY v IS NULL OR row_number() OVER (PARTITION BY v IS NULL ORDER BY v DESC, column_name) <= 4")
+def variance_columns(get):
+    return filled_counts(profile.variance_top_k(get("lineitem").select(*LINEITEM), k=4, threshold=5))
+
+
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1), n AS (SELECT v, row_number() OVER (ORDER BY day) AS pos FROM d)
 SELECT round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(regr_slope(v, pos), 4) AS slope FROM n""")
 def trend(get):
@@ -837,6 +849,15 @@ def sparse_columns_dropped(get):
     return transforms.drop_sparse_columns(get("dirty_customer"), 0.12)
 
 
+SHARES = (0.02, 0.1, 0.12, 1.0)
+
+
+@query("WITH c AS (" + union([f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) AS t FROM dirty_customer" for c in ("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")]) + "), s AS (" + union([f"SELECT {x}::DOUBLE AS share" for x in SHARES]) + ") SELECT share, column_name, n FROM c, s WHERE (t - n)::DOUBLE / t <= share", ("dirty_customer",))
+def sparse_columns_by_share(get):
+    d = get("dirty_customer")
+    return ordering.union_all([filled_counts(transforms.drop_sparse_columns(d, x)).withColumn("share", F.lit(x)) for x in SHARES])
+
+
 @query("SELECT * FROM dirty_customer WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL", ("dirty_customer",))
 def missing_dropped(get):
     return transforms.drop_missing(get("dirty_customer"))
@@ -943,7 +964,15 @@ def schema_facts(get):
 FUSED = ["doc_id", "docs_n_chars", "labels_quality", "labels_toxic"]
 
 
-@query("WITH f AS (SELECT doc_id, n_chars AS docs_n_chars, quality AS labels_quality, toxic AS labels_toxic FROM documents JOIN labels USING (doc_id)), r AS (SELECT 1.0 - avg(CASE WHEN abs(coalesce(c, 0)) > 0.9 THEN 1.0 ELSE 0.0 END) AS redundancy FROM (" + union([f"SELECT corr({a}, {b}) AS c FROM f" for i, a in enumerate(FUSED) for b in FUSED[i + 1 :]]) + ")) SELECT 1.0::DOUBLE AS completeness, redundancy, 0.8::DOUBLE AS preservation, 0.85::DOUBLE AS coherence, round((1.0 + redundancy + 0.8 + 0.85) / 4, 6) AS fusion_score FROM r")
+FUSED_SQL = f"""WITH f AS (SELECT doc_id, n_chars AS docs_n_chars, quality AS labels_quality, toxic AS labels_toxic FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT 1.0 - avg(CASE WHEN abs(coalesce(c, 0)) > 0.9 THEN 1.0 ELSE 0.0 END) AS redundancy FROM ({union([f"SELECT corr({a}, {b}) AS c FROM f" for i, a in enumerate(FUSED) for b in FUSED[i + 1 :]])})),
+c AS (SELECT ({" + ".join(f"count({a})" for a in FUSED)})::DOUBLE / (count(*) * {len(FUSED)}) AS completeness FROM f),
+p AS (SELECT least(1.0, {len(FUSED)}::DOUBLE / (2 + (SELECT count(*) FROM (DESCRIBE labels)))) AS preservation),
+k AS (SELECT 0.85::DOUBLE AS coherence)
+SELECT *, round((completeness + redundancy + preservation + coherence) / 4, 6) AS fusion_score FROM c, r, p, k"""
+
+
+@query(FUSED_SQL)
 def fusion_scores(get):
     docs = get("documents").select("doc_id", "n_chars")
     fused = fusion.early({"docs": docs, "labels": get("labels")}, ["doc_id"])
@@ -1021,6 +1050,19 @@ def pii_columns_dropped(get):
     return pii_masking.drop_columns(get("dirty_contacts"))
 
 
+PII_TEXTS = {"note": "note", "client": "'client ' || c_custkey", "line": "c_custkey % 1000 || '-555-' || c_custkey"}
+
+
+def hits_sql(column: str) -> str:
+    return " OR ".join(f"regexp_matches({column}, '{checks.PII[t]}')" for t in pii_masking.DEFAULT_TYPES)
+
+
+@query("SELECT column_name, n FROM (SELECT 'c_custkey' AS column_name, count(c_custkey) AS n, 0 AS hits FROM dirty_contacts UNION ALL " + union([f"SELECT '{c}', count(x), count(*) FILTER ({hits_sql('x')}) FROM (SELECT {e} AS x FROM dirty_contacts)" for c, e in PII_TEXTS.items()]) + ") WHERE hits = 0", ("dirty_contacts",))
+def pii_columns_kept(get):
+    d = get("dirty_contacts").withColumns({c: F.expr(e) for c, e in PII_TEXTS.items()})
+    return filled_counts(pii_masking.drop_columns(d))
+
+
 ANY_PII = " OR ".join(f"regexp_matches(note, '{p}')" for p in pii_masking.TASK_PII.values())
 
 
