@@ -64,3 +64,20 @@ def test_state_is_in_rocksdb(spark, tmp_path):
     meta = spark.read.format("state-metadata").load(f"{tmp_path}/checkpoint").filter(F.col("operatorName") == "transformWithStateInPandasExec")
     assert meta.count() == 1
     assert list((tmp_path / "checkpoint" / "state").rglob("*.zip")) or list((tmp_path / "checkpoint" / "state").rglob("*.changelog"))
+
+
+def test_state_follows_the_buckets(spark, tmp_path):
+    big = 2**53
+    part = [(big + 2 * u + 1, at(u % 50)) for u in range(2000)] + [(None, at(3))]
+    rows, _ = drained(spark, tmp_path, [part], "user long, ts timestamp", lambda s: stateful.closed_sessions(s, "user"))
+    assert rows == []
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/checkpoint")
+    assert 1 < held.count() <= stateful.BUCKETS + 1
+    rows, _ = drained(spark, tmp_path, [[(0, at(50_000))]], "user long, ts timestamp", lambda s: stateful.closed_sessions(s, "user"))
+    assert sorted(r[0] for r in rows if r[0] is not None) == [u for u, _ in part[:-1]] and len(rows) == 2001
+
+
+def test_first_of_a_long_batch(spark, tmp_path):
+    part = [("a", None, at(30_000 - k)) for k in range(25_000)] + [(None, 7, at(9)), (None, 7, at(8)), ("a", 7, at(10)), (None, None, at(11))]
+    rows, _ = drained(spark, tmp_path, [part], "k string, v long, ts timestamp", lambda s: stateful.first_events(s, ["k", "v"], delay="60 days"))
+    assert rows == sorted([("a", None, at(5001)), (None, 7, at(8)), ("a", 7, at(10)), (None, None, at(11))], key=str)
