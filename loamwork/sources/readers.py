@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,11 +234,33 @@ def format_of(mime, extension):
     return F.coalesce(F.element_at(table, mime), F.nullif(F.lower(extension), F.lit("")), F.lit("unknown"))
 
 
+def unreadable(spark: SparkSession, paths: list[str], fmt: str, schema) -> list[str]:
+    """Those of the files that a strict read fails on, found by halves: a list that reads well holds none."""
+    if not paths:
+        return []
+    try:
+        spark.read.option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).schema(schema).format(fmt).load(paths).write.format("noop").mode("overwrite").save()
+        return []
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(x in str(e) for x in ("FAILED_READ_FILE", "PATH_NOT_FOUND")):
+            raise
+    if len(paths) == 1:
+        return paths
+    half = len(paths) // 2
+    return [p for part in (paths[:half], paths[half:]) for p in unreadable(spark, part, fmt, schema)]
+
+
 def resilient_load(spark: SparkSession, paths: list[str], catalog: DataFrame, fmt: str = "parquet", schema=None) -> tuple[DataFrame, DataFrame]:
-    """(rows with file_path of what can be read, catalog rows of files that gave none)."""
+    """(rows with file_path of what can be read, catalog rows of files that can't).
+
+    Files that gave no row are read once more, strictly: one without rows hasn't failed.
+    """
     r = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    rows = (r.schema(schema) if schema else r).format(fmt).load(paths).withColumn("file_path", F.col("_metadata.file_path"))
-    return rows, catalog.join(rows.select("file_path").distinct(), F.regexp_replace(catalog["path"], "^file:/+", "/") == F.regexp_replace(F.col("file_path"), "^file:/+", "/"), "left_anti")
+    found = (r.schema(schema) if schema else r).format(fmt).load(paths)
+    rows = found.withColumn("file_path", F.col("_metadata.file_path"))
+    silent = catalog.join(rows.select("file_path").distinct(), F.regexp_replace(catalog["path"], "^file:/+", "/") == F.regexp_replace(F.col("file_path"), "^file:/+", "/"), "left_anti")
+    failed = unreadable(spark, [x.path for x in silent.select("path").distinct().collect()], fmt, found.schema)  # names of files
+    return rows, catalog.join(F.broadcast(spark.createDataFrame([(p,) for p in failed], "path string")), "path", "left_semi")
 
 
 def route_by_name(catalog: DataFrame, extensions: list[str]) -> DataFrame:
@@ -320,8 +344,6 @@ def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, tasks:
 
 def drop_embedded(spark: SparkSession, url: str) -> None:
     """Let an embedded in-memory database go."""
-    from py4j.protocol import Py4JJavaError
-
     try:
         spark._jvm.java.sql.DriverManager.getConnection(url + ";drop=true")
     except Py4JJavaError as e:

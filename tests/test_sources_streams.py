@@ -137,3 +137,17 @@ def test_sessions_and_alerts(spark):
     a = jobs.alerts(jobs.quality_counts(d, [], "value > 10"), 0.5)
     assert a.filter("bad_rate <= 0.5").count() == 0
     assert jobs.quality_counts(d, [], "value > 10", slide="12 hours").count() > jobs.quality_counts(d, [], "value > 10").count()
+
+
+def test_files_without_rows_have_not_failed(spark, tmp_path):
+    d = spark.range(10)
+    d.write.parquet(f"{tmp_path}/in/good")
+    d.limit(0).coalesce(1).write.parquet(f"{tmp_path}/in/empty")
+    for k in range(3):
+        (tmp_path / "in" / f"bad{k}").mkdir()
+        (tmp_path / "in" / f"bad{k}" / "x y.parquet").write_text("no Parquet")
+    paths = [f"file://{p}" for p in sorted((tmp_path / "in").iterdir())]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    rows, failed = R.resilient_load(spark, paths, files, schema=d.schema)
+    assert rows.count() == 10
+    assert sorted(r.path.split("/")[-2] for r in failed.collect()) == ["bad0", "bad1", "bad2"]
