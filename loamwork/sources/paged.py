@@ -17,10 +17,13 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
+from pyspark.sql.conversion import LocalDataToArrowConversion
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 NAME = "paged_json"
+#: A batch on its way to the executor ends at so many bytes of lines, or so many lines.
+BYTES, ROWS = 1 << 20, 10_000
 
 
 class Pages(InputPartition):
@@ -62,8 +65,20 @@ class Folder:
     def tasks(self, first: int, last: int) -> list[Pages]:
         return [Pages(p, min(p + self.per_task - 1, last)) for p in range(first, last + 1, self.per_task)]
 
-    def rows(self, part: Pages, schema: StructType) -> Iterator[tuple]:
-        """The lines of the pages as tuples; a missing field is null, a line that is no object has all null."""
+    def batches(self, part: Pages, schema: StructType) -> Iterator["pa.RecordBatch"]:  # noqa: F821
+        """The lines of the pages as Arrow batches of about BYTES bytes, however long a line is."""
+        held, size = [], 0
+        for n, row in self.rows(part, schema):
+            held.append(row)
+            size += n
+            if size >= BYTES or len(held) >= ROWS:
+                yield from LocalDataToArrowConversion.convert(held, schema, False).to_batches()
+                held, size = [], 0
+        if held:
+            yield from LocalDataToArrowConversion.convert(held, schema, False).to_batches()
+
+    def rows(self, part: Pages, schema: StructType) -> Iterator[tuple[int, tuple]]:
+        """(bytes, tuple) of the lines; a missing field is null, a line that is no object has all null."""
         from pyarrow import fs
 
         store, root = self.files()
@@ -74,7 +89,7 @@ class Folder:
                     continue
                 with store.open_input_stream(info.path) as raw:
                     for line in _lines(raw):
-                        yield _row(line, names, page)
+                        yield len(line), _row(line, names, page)
 
 
 def _lines(raw) -> Iterator[bytes]:
@@ -104,7 +119,7 @@ class Reader(DataSourceReader):
         return self.folder.tasks(1, self.folder.last_from(0)) or [Pages(1, 0)]
 
     def read(self, partition):
-        return self.folder.rows(partition, self.wanted)
+        return self.folder.batches(partition, self.wanted)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -132,7 +147,7 @@ class StreamReader(DataSourceStreamReader):
         self.known = max(self.known, end["pages"])
 
     def read(self, partition):
-        return self.folder.rows(partition, self.wanted)
+        return self.folder.batches(partition, self.wanted)
 
 
 class PagedJson(DataSource):

@@ -33,6 +33,15 @@ def test_batch_read(spark, tmp_path):
     assert rows(paged.read_pages(spark, str(tmp_path), "page long, id long").filter("page = 3")) == [(3, 3)]
 
 
+def test_batches_end_by_bytes(spark, tmp_path):
+    put(tmp_path, 1, [{"id": k, "name": "x" * 100_000} for k in range(50)])
+    schema = spark.createDataFrame([], SCHEMA).schema
+    reader = paged.Reader(paged.Folder({"path": str(tmp_path)}), schema)
+    sizes = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    assert sum(sizes) == 50 and max(sizes) <= 11
+    assert rows(paged.read_pages(spark, str(tmp_path), SCHEMA)) == sorted([(k, "x" * 100_000, 1) for k in range(50)], key=str)
+
+
 def test_empty_folder(spark, tmp_path):
     assert paged.read_pages(spark, str(tmp_path), SCHEMA).collect() == []
 
