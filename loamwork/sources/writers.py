@@ -42,6 +42,11 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_records(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A JSON file for each row.  Tasks put their files in place themselves, or the driver would move one after another at the end."""
+    df.write.mode(mode).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "error", metadata: dict[str, str] | None = None) -> None:
     """Parquet, snappy; metadata becomes a table of its own beside it.
 

@@ -151,3 +151,16 @@ def test_files_without_rows_have_not_failed(spark, tmp_path):
     rows, failed = R.resilient_load(spark, paths, files, schema=d.schema)
     assert rows.count() == 10
     assert sorted(r.path.split("/")[-2] for r in failed.collect()) == ["bad0", "bad1", "bad2"]
+
+
+def test_a_file_for_each_row_from_many_tasks(spark, monkeypatch):
+    from loamwork import catalog_io  # noqa: F401
+    from loamwork.catalog import QUERIES
+
+    paths = []
+    kept = W.write_records
+    monkeypatch.setattr(W, "write_records", lambda df, path: (paths.append((df.rdd.getNumPartitions(), path)), kept(df, path)))
+    n = QUERIES["json_objects_read"](spark, "/root/testdata/sf0.001").count()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert paths[0][0] == 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.format("binaryFile").load(paths[0][1]).count() == n
