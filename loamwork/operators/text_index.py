@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.writers import staged
+
 #: Lists of so many of a pattern's rarest trigrams are read.
 LISTS = 4
 #: So many candidates are looked up by their ids; more are joined.
 LOOKED_UP = 2000
 
 
+def _grams(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: list({t[i : i + 3] for i in range(len(t) - 2)}), na_action="ignore")
+
+
 def grams(x):
     """The different trigrams of a text in lower case."""
-    points = F.regexp_extract_all(F.lower(x), F.lit("(?s)."), F.lit(0))
-    three = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 2), lambda y, i: F.concat(y, F.get(c, i + 1), F.get(c, i + 2)))
-    # the letters are the argument of a lambda, or they would be taken apart for every trigram
-    return F.array_distinct(F.element_at(F.transform(F.array(points), three), 1))
+    return F.pandas_udf(_grams, "array<string>")(F.lower(x))
 
 
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
@@ -26,7 +30,9 @@ def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
     very common trigram's is spread over many files.
     """
     spark = df.sparkSession
-    rows = df.filter(F.length(text_col) > 2).select(F.explode(grams(F.col(text_col))).alias("gram"), F.col(id_col).alias("id"))
+    # written out, as the ranges are cut from a pass of their own over the rows
+    lists = staged(df.filter(F.length(text_col) > 2).select(grams(F.col(text_col)).alias("grams"), F.col(id_col).alias("id")), "grams")
+    rows = lists.select(F.explode("grams").alias("gram"), "id")
     rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/lists")
 

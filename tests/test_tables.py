@@ -111,6 +111,21 @@ def test_search_reads_lists(spark, monkeypatch):
     assert text_index.search_index(d, "id", "text", path, "ROW 7").count() == 30
 
 
+def test_trigrams_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        made.add(1)
+        return t
+
+    d = spark.createDataFrame([(i, f"row {i}") for i in range(100)], "id long, text string").select("id", F.udf(seen)("text").alias("text")).filter("id >= 0")
+    text_index.write_index(d, "id", "text", str(tmp_path / "index"))
+    once = made.value
+    made.value = 0
+    d.filter(F.length("text") > 2).select(text_index.grams(F.col("text"))).write.format("noop").mode("overwrite").save()
+    assert once == made.value
+
+
 def state_rows(n=4000):
     r = random.Random(8)
     return [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 9), r.choice([None, "a", "a", "b", f"w{r.randrange(30)}"]), r.gauss(10, 3) if i % 11 else None, r.randrange(3000)) for i in range(n)]
