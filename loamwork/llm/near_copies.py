@@ -3,10 +3,15 @@
 Texts are compared as sets of `words`-word shingles (lower case, ASCII white space; a shorter
 text is one shingle).  Equal sets make one class, and only its smallest rid goes on.
 
+First come SimHash fingerprints of these shingles: what `simhash.links` finds in its index of
+byte positions (shared bytes counted, at most 4 bits apart), and what has one fingerprint, is
+verified on whole sets and linked.
+
 A SimHash of 64 bits can't promise a byte for pairs at 0.8 (they differ in 3 to 13 bits), so
-the index holds 72 positions of min-wise shingles, each equal with the probability of the
-similarity.  Posting lists are kept under three positions at a time, 24 lists a text: a pair
-at 0.8 meets on none with probability 3e-8.  Pairs that meet have their shared positional
+pairs further apart go by a second index of 72 positions of min-wise shingles, each equal with
+the probability of the similarity, of lists that SimHash's links leave apart.  Posting
+lists are kept under three positions at a time, 24 lists a text: a pair at 0.8 meets on none
+with probability 3e-8.  Pairs that meet have their shared positional
 bytes tallied, those below the minimum `LEAST` go (at 0.8, another 7e-10), and what is left
 is verified on whole sets.
 
@@ -30,22 +35,22 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .common import BROADCAST_IDS, staged, with_rid
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 3
 #: Shared bytes of 72 that a pair must reach: at similarity 0.8 it has 57.6 on average.
 LEAST = 35
-#: Shingles in a block of a list, and pairs compared at once.
-BLOCK, PAIRS = 1 << 20, 1 << 16
+#: Shingles in a block of a list, pairs compared at once, and members taken up at once.
+BLOCK, PAIRS, STEP = 1 << 20, 1 << 16, 2000
 _rng = np.random.default_rng(20240611)
 TIMES = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FLIPS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SIG = "rid long, k1 long, k2 long, n long, bands array<long>, sketch binary"
-SIG_PA = pa.schema([*[(c, pa.int64()) for c in ("rid", "k1", "k2", "n")], ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIG = "rid long, k1 long, k2 long, n long, fp long, bands array<long>, sketch binary"
+SIG_PA = pa.schema([*[(c, pa.int64()) for c in ("rid", "k1", "k2", "n", "fp")], ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 SET = "rid long, g array<long>"
 SET_PA = pa.schema([("rid", pa.int64()), ("g", pa.list_(pa.int64()))])
 TWO_PA = {c: pa.schema([(x, pa.int64()) for x in c]) for c in (("u", "v"), ("key", "rid"))}
@@ -94,20 +99,21 @@ def _per_slab(words: int, make):
             raw, offs = B.buffer_of(rb.column(1))
             for lo, hi in B.slabs(offs):
                 h, bounds = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                yield make(rid[lo:hi], h, bounds, [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+                texts = (raw[offs[i] : offs[i + 1]].tobytes() for i in range(lo, hi))
+                yield make(rid[lo:hi], h, bounds, [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], (fingerprint(t, words) for t in texts))
 
     return run
 
 
-def _signed(rid, h, bounds, sets):
+def _signed(rid, h, bounds, sets, prints):
     k = np.frombuffer(b"".join(hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets), dtype=np.uint64).reshape(-1, 2)
     n = np.array([len(g) for g in sets])
     keys, sketch = sketches_of(h, bounds) if len(h) else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint8))
     rows = iter(sketch)
-    return B.batch(SIG_PA, B.long_col(rid), B.long_col(k[:, 0].copy()), B.long_col(k[:, 1].copy()), B.long_col(n), lists(np.where(n > 0, BANDS, 0), [keys]), pa.array([next(rows).tobytes() if x else b"" for x in n], pa.binary()))
+    return B.batch(SIG_PA, B.long_col(rid), B.long_col(k[:, 0].copy()), B.long_col(k[:, 1].copy()), B.long_col(n), B.long_col(np.fromiter(prints, dtype=np.uint64, count=len(sets))), lists(np.where(n > 0, BANDS, 0), [keys]), pa.array([next(rows).tobytes() if x else b"" for x in n], pa.binary()))
 
 
-def _sets(rid, h, bounds, sets):
+def _sets(rid, h, bounds, sets, _):
     return B.batch(SET_PA, B.long_col(rid), lists([len(g) for g in sets], sets))
 
 
@@ -232,7 +238,7 @@ def _compare(similarity: float, exact: bool):
     @B.tidy
     def run(batches):
         held = None
-        for rb in batches:
+        for rb in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
             t = pa.Table.from_batches([rb])
             carried = held.num_rows if held is not None else 0
             if carried:
@@ -270,23 +276,42 @@ def dealt(members: DataFrame, least: int) -> DataFrame:
     return met.repartition("key", "block").sortWithinPartitions("key", "block", "side")
 
 
+def simhash_links(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): texts that SimHash's index brings together and whose sets have this similarity.
+
+    Texts of one fingerprint stand beside the smallest rid that has it, which also stands for
+    the fingerprint in its links.
+    """
+    prints = staged(classes.groupBy("fp").agg(F.min("rid").alias("low")), "prints")
+    near = links(prints.select("fp"))
+    of = lambda side: prints.select(F.col("fp").alias(f"fp_{side}"), F.col("low").alias(f"low_{side}")).hint("merge")
+    apart = near.join(of("u"), F.col("u") == F.col("fp_u")).join(of("v"), F.col("v") == F.col("fp_v")).select(F.col("low_u").alias("u"), F.col("low_v").alias("v"))
+    same = classes.select("rid", "fp").join(of("u"), F.col("fp") == F.col("fp_u")).filter("rid > low_u").select(F.col("low_u").alias("u"), F.col("rid").alias("v"))
+    return verified(rows, apart.unionByName(same), words, similarity)
+
+
 def firsts(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(first): the smallest rid of each component; `rows` holds (rid, text) with unique rids."""
     marked = rows.mapInArrow(_per_slab(words, _signed), SIG)
-    classes = staged(marked.groupBy("k1", "k2").agg(F.min(F.struct("rid", "n", "bands", "sketch")).alias("x")).select("x.*"), "classes")
-    posts = classes.select("rid", F.explode("bands").alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("key", "key2")
+    classes = staged(marked.groupBy("k1", "k2").agg(F.min(F.struct("rid", "n", "fp", "bands", "sketch")).alias("x")).select("x.*"), "classes")
+    linked = staged(simhash_links(rows, classes, words, similarity), "simhash")
+    # texts of one root are linked, if not all that are linked have one root
+    known = linked.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("root"))
+    roots = staged(classes.join(known.hint("merge"), F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid")).drop("node", "fp"), "roots")
+    posts = roots.select("rid", "root", F.explode("bands").alias("key"))
+    # lists of one text or of one root have nothing left to link
+    sizes = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("key").alias("key2"), "size")
     met = posts.join(sizes.hint("merge"), F.col("key") == F.col("key2"))
     per = met.groupBy(F.col("rid").alias("rid2")).agg(F.sum("size").alias("weight"), F.collect_list("key").alias("keys"))
-    found = staged(classes.join(per.hint("merge"), F.col("rid") == F.col("rid2")).drop("rid2"), "listed")
-    places = found.select(F.explode("keys").alias("key"), "rid", "n", "weight", "sketch")
-    heads = places.groupBy(F.col("key").alias("key2")).agg(F.max(F.struct("weight", (-F.col("rid")).alias("back"), "n", "sketch")).alias("l"))
+    found = staged(roots.join(per.hint("merge"), F.col("rid") == F.col("rid2")).drop("rid2"), "listed")
+    places = found.select(F.explode("keys").alias("key"), "rid", "root", "n", "weight", "sketch")
+    heads = places.groupBy(F.col("key").alias("key2")).agg(F.max(F.struct("weight", (-F.col("rid")).alias("back"), "root", "n", "sketch")).alias("l"))
     close = F.least("n", "l.n") >= F.greatest("n", "l.n") * similarity
-    stars = places.join(heads.hint("merge"), F.col("key") == F.col("key2")).filter((F.col("rid") != -F.col("l.back")) & close)
+    stars = places.join(heads.hint("merge"), F.col("key") == F.col("key2")).filter((F.col("root") != F.col("l.root")) & close)
     stars = stars.select("rid", (-F.col("l.back")).alias("v"), "sketch", F.col("l.sketch").alias("other")).mapInArrow(_tally, "u long, v long")
-    edges = staged(verified(rows, stars, words, similarity), "links")
+    edges = staged(linked.unionByName(verified(rows, stars, words, similarity)), "links")
     roots = components(edges)
-    rooted = staged(found.join(roots.hint("merge"), F.col("rid") == F.col("node"), "left").select("rid", "n", "bands", "sketch", "keys", F.coalesce("root", "rid").alias("root")), "rooted")
+    rooted = staged(found.drop("root").join(roots.hint("merge"), F.col("rid") == F.col("node"), "left").select("rid", "n", "bands", "sketch", "keys", F.coalesce("root", "rid").alias("root")), "rooted")
     # lists of two are a leader and one more, who have met
     members = rooted.select(F.explode("keys").alias("key"), "rid", "root", "n", "bands", "sketch")
     left = staged(dealt(members, 3).mapInArrow(_compare(similarity, False), "key long, rid long").distinct(), "left")

@@ -103,3 +103,23 @@ def test_chances_of_a_pair_at_the_threshold():
     n, p = near_copies.BANDS * near_copies.ROWS, near_copies.SIMILARITY
     assert (1 - p**near_copies.ROWS) ** near_copies.BANDS < 4e-8
     assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_copies.LEAST)) < 1e-9
+
+
+def test_simhash_links_pairs_within_four_bits(spark, monkeypatch):
+    """The stage's first step is SimHash's own index; its links are those of whole sets too."""
+    rows = [(i, t) for i, t in near_rows() if t and t.split()] + [(900 + k, " ".join([*words(300, 3, 5000)[:299], f"last{k}"])) for k in range(8)]
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, t in rows for w in [t.encode().lower().split()]}
+    print_of = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    lows = {p: min(i for i in print_of if print_of[i] == p) for p in print_of.values()}
+    alike = lambda a, b: 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])
+    want = {(min(a, b), max(a, b)) for p, a in lows.items() for q, b in lows.items() if p < q and (p ^ q).bit_count() <= 4 and alike(a, b)}
+    want |= {(lows[p], i) for i, p in print_of.items() if i != lows[p] and alike(lows[p], i)}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    classes = spark.createDataFrame([(i, signed(p)) for i, p in print_of.items()], "rid long, fp long")
+    texts = spark.createDataFrame(rows, "rid long, text string")
+    got = near_copies.simhash_links(texts, classes, 5, 0.8).collect()
+    assert len(want) > 20 and {(min(r), max(r)) for r in map(tuple, got)} == want
+    asked, made = [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda *a: asked.append(1) or made(*a))
+    assert {r.doc_id for r in near_copies.one_of_each_set(frame(spark, rows)).collect()} == brute_firsts(rows)
+    assert asked == [1]
