@@ -811,8 +811,8 @@ SELECT id_a, id_b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS similarity FROM p JO
 @query(NEAR_SQL)
 def near_duplicates(get):
     """Pairs of documents of five-word shingle similarity 0.8 or more; equal texts stand for one."""
-    first = get("documents").filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    d = joins.shingle_pairs(first, "doc_id", "text")
+    first, _ = joins.distinct_texts(get("documents").select(F.col("doc_id").alias("id"), "text"))
+    d = joins.shingle_pairs(first, "id", "text")
     return d.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.writers import work_path
+from ..sources.writers import staged, work_path
+
+#: Ids (one long a row) are broadcast only after they were counted and are at most this many.
+FEW_IDS = 500_000
 
 
 def join_step(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -85,6 +88,45 @@ def shingle_sets(df: DataFrame, text_col: str, words: int = 5) -> DataFrame:
     return df.select("id", w.alias("w")).select("id", F.array_distinct(grams).alias("g"))
 
 
+def of_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose id is (or, left_anti, isn't) among staged ids (column __x)."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(ids.hint("broadcast" if few else "merge"), F.col("id") == F.col("__x"), how)
+
+
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of the least id of each text, and (id, rep): every id beside that least one; null texts are left out.
+
+    Texts are told apart by SHA-256, so that none is moved.
+    """
+    marked = staged(rows.filter("text IS NOT NULL").select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("d")), "digests")
+    least = marked.groupBy(F.col("d").alias("d2")).agg(F.min("id").alias("rep"))
+    reps = staged(marked.join(least.hint("merge"), F.col("d") == F.col("d2")).select("id", "rep"), "reps")
+    copies = staged(reps.filter("id <> rep").select(F.col("id").alias("__x")), "copies")
+    return of_ids(rows.filter("text IS NOT NULL"), copies, "left_anti"), reps
+
+
+def linkable_sets(df: DataFrame, text_col: str, similarity: float, words: int = 5) -> DataFrame:
+    """`shingle_sets`, staged, without sets that can't reach this Jaccard similarity with any other.
+
+    A set of n shares all but n - ceil(similarity * n) of its shingles with one that it links to.
+    So of its shingles in a fixed part of all, no more than that are in no other set.  Only that
+    part is moved; a set with too few shingles in it stays.
+    """
+    part = round(1000 * min(1.0, 2 * (1 - similarity)))
+    n = F.size("g")
+    away = n - F.ceil(F.round(n * similarity, 9))
+    some = shingle_sets(df, text_col, words).select("id", away.cast("int").alias("away"), F.filter("g", lambda x: F.pmod(x, F.lit(1000)) < part).alias("s"))
+    # written out: the shingles are made once for both that follow
+    some = staged(some.select("id", (F.size("s") - F.col("away")).cast("int").alias("least"), "s"), "parts")
+    free = some.filter("least <= 0").select("id")
+    some = some.select("id", "least", F.explode("s").alias("key"))
+    met = some.withColumn("c", F.count("key").over(Window.partitionBy("key"))).filter("c > 1 AND least > 0")
+    enough = met.groupBy("id", "least").count().filter("count >= least").select("id")
+    ids = staged(enough.unionByName(free).withColumnRenamed("id", "__x"), "linkable")
+    return staged(shingle_sets(of_ids(df, ids), text_col, words), "shingles")
+
+
 def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     """(id, n, key): the shingles of each set that a set of this Jaccard similarity must share one of.
 
@@ -101,6 +143,8 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
 
 def jaccard_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """id_a, id_b, similarity of those pairs (id_a, id_b) that reach it."""
+    pairs = staged(pairs, "candidates")
+    sets = of_ids(sets, staged(pairs.select(F.explode(F.array("id_a", "id_b")).alias("__x")).distinct(), "ids"))
     x, y = sets.select(F.col("id").alias("ia"), F.col("g").alias("ga")), sets.select(F.col("id").alias("ib"), F.col("g").alias("gb"))
     both = pairs.join(x.hint("merge"), F.col("id_a") == F.col("ia")).join(y.hint("merge"), F.col("id_b") == F.col("ib")).withColumn("k", F.size(F.array_intersect("ga", "gb")))
     return both.withColumn("similarity", F.col("k") / (F.size("ga") + F.size("gb") - F.col("k"))).filter(F.col("similarity") >= similarity).select("id_a", "id_b", "similarity")
@@ -112,9 +156,7 @@ def shingle_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
     Texts should be distinct: equal ones are pairs like any other.  A group of k near copies
     has up to k * (k - 1) / 2 pairs; `groups.similar_groups` gives groups without them.
     """
-    path = work_path(df, "shingles")
-    shingle_sets(df.withColumn("id", F.col(id_col)), text_col, words).write.parquet(path)
-    d = df.sparkSession.read.parquet(path)
+    d = linkable_sets(df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)), text_col, similarity, words)
     keys = prefix_keys(d, similarity)
     a, b = keys.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("key").alias("key2"))
     close = F.least("na", "nb") >= F.round(F.greatest("na", "nb") * similarity, 9)

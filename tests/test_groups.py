@@ -102,3 +102,19 @@ def test_what_leaders_leave_is_compared(spark, monkeypatch, leaders):
 
 def test_empty_table(spark):
     assert groups.similar_groups(spark.createDataFrame([], "id long, text string"), "id", "text").collect() == []
+
+
+def test_sets_that_cannot_link_are_not_kept(spark):
+    """Unrelated texts go before any key is made; what links stays, short texts and copies too."""
+    from loamwork.operators import joins
+
+    rows = {i: " ".join(f"u{i}x{k}" for k in range(200)) for i in range(40)}
+    rows |= {100 + i: " ".join([f"n{k}" for k in range(200)] + [f"end{i}"]) for i in range(4)}
+    rows |= {200: "a short text", 201: "a short  TEXT", 202: "", 203: rows[100], 204: None}
+    d = spark.createDataFrame(list(rows.items()), "id long, text string")
+    firsts, reps = joins.distinct_texts(d)
+    assert {r.id: r.rep for r in reps.collect()} == {i: 100 if i == 203 else i for i in rows if i != 204}
+    kept = {r.id for r in joins.linkable_sets(firsts, "text", 0.8).collect()}
+    assert {100, 101, 102, 103, 200, 201} <= kept and len(kept & set(range(40))) < 4 and 203 not in kept
+    pairs = {(r.id_a, r.id_b) for r in joins.shingle_pairs(firsts, "id", "text").collect()}
+    assert pairs == {(a, b) for a in range(100, 104) for b in range(a + 1, 104)} | {(200, 201)}
