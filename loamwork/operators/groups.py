@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.writers import staged
-from .joins import jaccard_of, prefix_keys, shingle_sets
+from .joins import distinct_texts, jaccard_of, linkable_sets, prefix_keys, reachable
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -42,20 +42,19 @@ LEADERS = 6
 
 
 def _mixed(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, id, n, part): the lists with each member's component, without lists of one component."""
+    """(key, id, n, alone, bits, part): the lists with each member's component, without lists of one component."""
     if roots is None:
-        lists = keys.select("key", "id", "n", F.col("id").alias("part"))
+        lists = keys.withColumn("part", F.col("id"))
     else:
-        lists = keys.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("part"))
+        lists = keys.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("root", "id")).drop("node", "root")
     several = lists.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select(F.col("key").alias("key2"))
     return staged(lists.join(several.hint("merge"), F.col("key") == F.col("key2"), "left_semi"), "lists")
 
 
 def _leader_pairs(lists: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(id_a, id_b): each list's leader of this turn beside the members of other components."""
-    lead = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "part")).alias("lead")).select(F.col("key").alias("key2"), "lead")
-    close = F.least("n", "lead.n") >= F.round(F.greatest("n", "lead.n") * similarity, 9)
-    met = lists.join(lead.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("part") != F.col("lead.part")) & close)
+    lead = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "alone", "bits", "part")).alias("lead")).select(F.col("key").alias("key2"), "lead")
+    met = lists.join(lead.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("part") != F.col("lead.part")) & reachable("{}", "lead.{}", similarity))
     return met.select(F.least("id", "lead.id").alias("id_a"), F.greatest("id", "lead.id").alias("id_b")).distinct()
 
 
@@ -68,20 +67,18 @@ def _cross_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     sizes = lists.groupBy("key", "part").count()
     top = sizes.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select(F.col("key").alias("key2"), "top")
     mixed = lists.join(top.hint("merge"), F.col("key") == F.col("key2")).drop("key2")
-    a = mixed.filter(F.col("part") != F.col("top")).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = mixed.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "top")
-    once = (F.col("pb") == F.col("top")) | (F.col("a") < F.col("b"))
-    close = F.least("na", "nb") >= F.round(F.greatest("na", "nb") * similarity, 9)
-    met = a.join(b.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("pa") != F.col("pb")) & once & close)
-    return met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    a, b = (mixed.select(*[F.col(c).alias(f"{c}_{x}") for c in mixed.columns]) for x in "ab")
+    once = (F.col("part_b") == F.col("top_b")) | (F.col("id_a") < F.col("id_b"))
+    met = a.filter("part_a <> top_a").join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & once & reachable("{}_a", "{}_b", similarity))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def similar_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(id, group_id, n_rows): each row's group and its size; group_id is the least id of the group.
 
     Texts link if the Jaccard similarity of their word-shingle sets is at least `similarity`;
-    a group is all that links reach.  Equal texts are one node.  Candidates are the lists of an
-    exact prefix filter.  Each list's members are first verified against a leader, another one
+    a group is all that links reach.  Equal texts are one node.  Texts aren't moved, nor the
+    shingles of those that can't link.  Candidates are the lists of an exact prefix filter.  Each list's members are first verified against a leader, another one
     each round, which draws a crowd of near copies together with comparisons that grow with
     the crowd and not with its square; lists of one component drop out.  What is left after
     LEADERS rounds, or when a round links nothing, is compared pair by pair across components.  Nothing
@@ -89,8 +86,8 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, similarity: float
     Rows of null text are groups of their own; ids must be unique.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classes = staged(rows.filter("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("rep")), "classes")
-    sets = staged(shingle_sets(classes.withColumnRenamed("rep", "id"), "text", words), "shingles")
+    firsts, reps = distinct_texts(rows)
+    sets = linkable_sets(firsts, "text", similarity, words)
     keys = staged(prefix_keys(sets, similarity), "keys")
     roots, lists = None, _mixed(keys, None)
     for turn in range(LEADERS + 1):
@@ -106,7 +103,7 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, similarity: float
         lists = _mixed(keys, roots)
         if not lists.limit(1).take(1):
             break
-    of = classes.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("text").alias("text2"), F.coalesce("root", "rep").alias("group_id"))
-    named = staged(rows.join(of.hint("merge"), F.col("text") == F.col("text2"), "left").select("id", F.coalesce("group_id", "id").alias("group_id")), "groups")
+    of = reps.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    named = staged(of.unionByName(rows.filter("text IS NULL").select("id", F.col("id").alias("group_id"))), "groups")
     sizes = named.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n_rows"))
     return named.join(sizes.hint("merge"), F.col("group_id") == F.col("g")).select("id", "group_id", "n_rows")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.writers import staged, work_path
 
 #: Ids (one long a row) are broadcast only after they were counted and are at most this many.
 FEW_IDS = 500_000
+#: Longs of parities that stand for a set of shingles before it is compared.
+BITS = 4
 
 
 def join_step(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -128,17 +130,32 @@ def linkable_sets(df: DataFrame, text_col: str, similarity: float, words: int =
 
 
 def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, key): the shingles of each set that a set of this Jaccard similarity must share one of.
+    """(id, n, alone, bits, key): the shingles of each set that a set of this Jaccard similarity must share one of.
 
     With shingles in one order, rarest first, two such sets share one of the first
     n - ceil(similarity * n) + 1 of each; shingles that stand in one text only come first and
-    meet nothing.
+    meet nothing. `alone` is their number, `bits` are the parities of the others, dealt over 64 * BITS (see `reachable`).
     """
     posts = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("key"))
     common = posts.groupBy("key").count().filter("count > 1").select(F.col("key").alias("key2"), "count")
-    shared = posts.join(common.hint("merge"), F.col("key") == F.col("key2")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("s"))
-    prefix = F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1 - (F.col("n") - F.size("s"))
-    return shared.filter(prefix > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+    word, bit = F.pmod("key", F.lit(BITS)), F.expr("shiftleft(1L, CAST(shiftrightunsigned(key, 58) AS INT))")
+    parities = F.array(*[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(BITS)])
+    shared = posts.join(common.hint("merge"), F.col("key") == F.col("key2")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("s"), parities.alias("bits"))
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1 - alone
+    return shared.filter(prefix > 0).select("id", "n", alone.alias("alone"), "bits", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+
+
+def reachable(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these (n, alone, bits), columns with {} for the name in `a` and `b`, can have this Jaccard similarity.
+
+    No less is in one of them only than what is in no other set at all and one for each bit that differs.
+    """
+    n, m = (F.col(x.format("n")) for x in (a, b))
+    apart = F.col(a.format("alone")) + F.col(b.format("alone"))
+    for i in range(BITS):
+        apart += F.bit_count(F.col(a.format("bits"))[i].bitwiseXOR(F.col(b.format("bits"))[i]))
+    return (F.least(n, m) >= F.round(F.greatest(n, m) * similarity, 9)) & ((n + m - apart) / (n + m + apart) >= similarity)
 
 
 def jaccard_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -158,9 +175,8 @@ def shingle_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
     """
     d = linkable_sets(df.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)), text_col, similarity, words)
     keys = prefix_keys(d, similarity)
-    a, b = keys.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("key").alias("key2"))
-    close = F.least("na", "nb") >= F.round(F.greatest("na", "nb") * similarity, 9)
-    pairs = a.join(b.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("id_a") < F.col("id_b")) & close).select("id_a", "id_b").distinct()
+    a, b = (keys.select(*[F.col(c).alias(f"{c}_{x}") for c in keys.columns]) for x in "ab")
+    pairs = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & reachable("{}_a", "{}_b", similarity)).select("id_a", "id_b").distinct()
     return jaccard_of(pairs, d, similarity)
 
 

@@ -118,3 +118,17 @@ def test_sets_that_cannot_link_are_not_kept(spark):
     assert {100, 101, 102, 103, 200, 201} <= kept and len(kept & set(range(40))) < 4 and 203 not in kept
     pairs = {(r.id_a, r.id_b) for r in joins.shingle_pairs(firsts, "id", "text").collect()}
     assert pairs == {(a, b) for a in range(100, 104) for b in range(a + 1, 104)} | {(200, 201)}
+
+
+def test_texts_that_only_share_passages_are_not_compared(spark, monkeypatch):
+    """Every passage is in many texts and no two texts are similar, but for near copies: sets are moved for these only."""
+    passage = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(12)]
+    rows = {100 * i + j: f"{passage[i]} {passage[j]}" for i in range(12) for j in range(12) if i != j}
+    rows |= {5000 + i: f"{passage[i]} {passage[i + 1]} w{i}" for i in range(5)} | {7000 + i: " ".join(f"u{i}x{k}" for k in range(50)) for i in range(20)} | {9000: None, 9001: rows[1]}
+    compared, kept = [], []
+    verify, keys = groups.jaccard_of, groups.prefix_keys
+    monkeypatch.setattr(groups, "jaccard_of", lambda pairs, *a: compared.append(pairs.count()) or verify(pairs, *a))
+    monkeypatch.setattr(groups, "prefix_keys", lambda sets, *a: kept.append(sets.count()) or keys(sets, *a))
+    got = groups.similar_groups(spark.createDataFrame(list(rows.items()), "id long, text string"), "id", "text").collect()
+    assert {r.id: r.group_id for r in got} == brute_groups(rows)[0]
+    assert 5 <= sum(compared) < 100 and kept[0] < 140
