@@ -251,11 +251,19 @@ def first_events(df: DataFrame, keys: list[str], column: str = "ts", hold: str =
 
 
 def drain(df: DataFrame, path: str, checkpoint: str) -> int:
-    """What is there into Parquet, with state in RocksDB; goes on from the checkpoint.  Returns late rows."""
-    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, ROCKSDB)
+    """What is there into Parquet, with state in RocksDB; goes on from the checkpoint.  Returns late rows.
+
+    A partition of state costs the same in every batch, with rows or without: a new query has no
+    more of them than two for each core.  A checkpoint goes on with the number it was begun with.
+    """
+    spark = df.sparkSession
+    conf, few = spark.conf, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(few)}
+    before = {k: conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            conf.set(k, v)
         return run_available(df, path, checkpoint)
     finally:
-        conf.set(name, before)
+        for k, v in before.items():
+            conf.set(k, v)

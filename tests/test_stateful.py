@@ -81,3 +81,19 @@ def test_first_of_a_long_batch(spark, tmp_path):
     part = [("a", None, at(30_000 - k)) for k in range(25_000)] + [(None, 7, at(9)), (None, 7, at(8)), ("a", 7, at(10)), (None, None, at(11))]
     rows, _ = drained(spark, tmp_path, [part], "k string, v long, ts timestamp", lambda s: stateful.first_events(s, ["k", "v"], delay="60 days"))
     assert rows == sorted([("a", None, at(5001)), (None, 7, at(8)), ("a", 7, at(10)), (None, None, at(11))], key=str)
+
+
+def test_state_has_no_more_partitions_than_cores_can_use(spark, tmp_path):
+    name, made = "spark.sql.shuffle.partitions", lambda s: stateful.first_events(s, ["k"], hold="2 hours")
+    before, most = spark.conf.get(name), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(most + 3))
+    try:
+        drained(spark, tmp_path, [[("a", at(0)), ("b", at(1))]], "k string, ts timestamp", made)
+        assert spark.conf.get(name) == str(most + 3)
+        spark.conf.set(name, "2")  # a checkpoint keeps its number
+        rows, _ = drained(spark, tmp_path, [[("a", at(2)), ("c", at(3))]], "k string, ts timestamp", made)
+    finally:
+        spark.conf.set(name, before)
+    assert rows == [("a", at(0)), ("b", at(1)), ("c", at(3))]
+    meta = spark.read.format("state-metadata").load(f"{tmp_path}/checkpoint").filter(F.col("operatorName") == "transformWithStateInPandasExec")
+    assert {r.numPartitions for r in meta.collect()} == {most}
