@@ -8,7 +8,8 @@ What meets is verified by the edit distance with a threshold.
 
 A segment that very many strings share makes a long list.  Such a list is split again: both
 sides' rest behind the segment (or before the last one) is within the edits left for it, so it
-is cut into segments in the same way and the list is keyed by these too, level by level.
+is cut into segments in the same way and the list is keyed by these too, level by level, until
+no list is long or the rest is no longer than the edits left: what meets there is near.
 
 Strings too short to be cut (d code points or fewer) meet on what is left of them and of strings up
 to 2 d long after deleting up to d code points.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..sources.writers import staged
 
-#: A list of more index rows is split by a further segment, at most LEVELS times.
-LONG_LIST, LEVELS = 64, 4
+#: A list of more index rows is split by a further segment.
+LONG_LIST = 64
 
 
 def _cut(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
@@ -80,9 +81,22 @@ def _probed(rows: DataFrame, shorter_only: bool) -> DataFrame:
     return rows.select("text", F.explode(F.array_distinct(made)).alias("x")).select("text", "x.*")
 
 
+def _rests_near(edits: int) -> Column:
+    """Whether the rests of an entry and a probe are within the edits left for them; rests that aren't cut are."""
+    near = F.lit(True)
+    for e in range(edits + 1):
+        within = F.col("rest_a") == F.col("rest_b") if e == 0 else F.levenshtein("rest_a", "rest_b", e) >= 0
+        near = F.when(F.col("e_a") == e, within).otherwise(near)
+    return near
+
+
 def _verified(index: DataFrame, probes: DataFrame, edits: int, same: bool) -> DataFrame:
-    a, b = index.select(F.col("key").alias("ka"), F.col("text").alias("a")), probes.select(F.col("key").alias("kb"), F.col("text").alias("b"))
+    """(a, b, edits) of what meets under a key; rests are compared before whole strings are, as they are shorter."""
+    rests = [c for c in ("rest", "e") if c in index.columns]
+    a, b = (d.select(F.col("key").alias(f"k{x}"), F.col("text").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rests]) for d, x in ((index, "a"), (probes, "b")))
     cond = F.col("ka") == F.col("kb")
+    if rests:
+        cond &= _rests_near(edits)
     if same:
         cond &= (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
     near = F.levenshtein("a", "b", edits)
@@ -107,13 +121,10 @@ def _near(left: DataFrame, right: DataFrame, edits: int, same: bool, long_list:
     index = _indexed(root(left.filter(F.length("text") > edits)))
     probes = _probed(root(right.filter(F.length("text") > 0)), same)
     found = None
-    for level in range(LEVELS + 1):
-        if level < LEVELS:
-            index = staged(index, "segments")
-            lists = staged(index.filter("e >= 0").groupBy("key").count().filter(F.col("count") > long_list).select(F.col("key").alias("crowded")), "lists")
-            if not lists.limit(1).take(1):
-                level = LEVELS
-        if level == LEVELS:
+    while True:  # a rest gets shorter at each level
+        index = staged(index, "segments")
+        lists = staged(index.filter("e >= 0").groupBy("key").count().filter(F.col("count") > long_list).select(F.col("key").alias("crowded")), "lists")
+        if not lists.limit(1).take(1):
             part = _verified(index, probes, edits, same)
             found = part if found is None else found.unionByName(part)
             break

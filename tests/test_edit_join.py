@@ -71,3 +71,15 @@ def test_blocked_join(spark):
     right = left.select(F.col("id").alias("id2"), F.col("b").alias("b2"), F.col("s").alias("s2"))
     got = joins.fuzzy_join(left, right, "s", "s2", ("b", "b2"), 0.7)
     assert sorted((r.id, r.id2, r.similarity) for r in got.collect()) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+
+
+def test_lists_are_split_to_the_end(spark, monkeypatch):
+    """Strings that share all but their last code points aren't all set beside each other."""
+    r = random.Random(5)
+    texts = sorted({"https://www.example.org/a/rather/long/common/path/to/a/page/of/one/site/" + "".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(150)})
+    texts += [t[:-1] + "xy" for t in texts[:5]]
+    met, verified = [], edit_join._verified
+    monkeypatch.setattr(edit_join, "_verified", lambda i, p, *a: met.append(i.select("key").join(p.select("key"), "key").count()) or verified(i, p, *a))
+    got = edit_join.edit_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(4), "id", "s", 2, 8).collect()
+    assert {(x.id_a, x.id_b): x.edits for x in got} == {(i, j): d for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (d := distance(a[60:], b[60:])) <= 2}
+    assert max(met) < len(texts) ** 2 / 4
