@@ -9,7 +9,8 @@ What meets is verified by the edit distance with a threshold.
 A segment that very many strings share makes a long list.  Such a list is split again: both
 sides' rest behind the segment (or before the last one) is within the edits left for it, so it
 is cut into segments in the same way and the list is keyed by these too, level by level, until
-no list is long or the rest is no longer than the edits left: what meets there is near.
+no list is long or the rest is no longer than the edits left.  Such a list can be long yet: its
+members need not be near, as what lies on the other side of a segment isn't compared.
 
 Strings too short to be cut (d code points or fewer) meet on what is left of them and of strings up
 to 2 d long after deleting up to d code points.
