@@ -27,6 +27,8 @@ CODES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _SEEDS = (0x51ED270B7A3C19D5, 0x2545F4914F6CDD1D)
 _POWERS: dict = {}
+#: What workers keep between tasks, by (operator, name).
+KEPT: dict = {}
 #: Spans of more bytes are hashed one by one.
 WIDE = 64
 #: Masks of the first 0 to 8 bytes.
@@ -121,11 +123,23 @@ def span_sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+def kept(owner: str, name: str, make):
+    """What make() gives, kept in this worker for later tasks of the same operator (`owner`, a module)."""
+    if (owner, name) not in KEPT:
+        KEPT[owner, name] = make()
+    return KEPT[owner, name]
+
+
 def tidy(run):
-    """Give freed memory back when a task ends: workers are kept and share their executor's limit."""
+    """Give memory back: workers are kept and share their executor's limit.
+
+    What another operator kept goes when a task begins, what was freed when it ends.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        for k in [k for k in KEPT if k[0] != run.__module__]:
+            del KEPT[k]
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:

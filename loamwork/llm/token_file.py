@@ -159,17 +159,24 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.parts = Tokenizer.from_file(name)
-        self.parts.normalizer = normalizers.Sequence([])
-        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.parts.get_vocab()
+        own = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.ways = {True: own, False: (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))}
+        self.whole = True
+        vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
 
+    def use(self, whole: bool):
+        """The tokenizer as it stands in its file, or (not whole) as parts go through it: one serves for both."""
+        if whole != self.whole:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.ways[whole]
+            self.whole = whole
+        return self.tokenizer
+
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self.use(True).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def keys(self, text: bytes) -> list[str]:
         """The text's parts; a word that isn't plain is marked by a line feed before it."""
@@ -193,8 +200,10 @@ class Encoder:
                 known[x] = self.ids(x[1:]).tobytes()
             else:
                 parts.append(x)
+        if not parts:
+            return
         groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
-        for g, e in zip(groups, self.parts.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, self.use(False).encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
             ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             flat, at = ids.tobytes(), 0
@@ -227,22 +236,18 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def token_batches(batches, name: str, end_id: int):
     """(doc ids, little-endian ids with the end id) of slabs of documents, in order."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    encoder = _encoders[name]
+    encoder = B.kept(__name__, name, lambda: Encoder(name))
     end = np.array([end_id], dtype="<u4").tobytes()
     for rb in batches:
         raw, offs = B.buffer_of(rb.column(1))
-        flat = raw.tobytes()
         ids = rb.column(0).to_pylist()
         for lo, hi in B.slabs(offs, TEXT_SLAB):
-            cut = offs[lo : hi + 1].tolist()
-            texts = encoder.of([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]) if cut[-1] - cut[0] <= 2 * TEXT_SLAB else [encoder.long(flat[cut[0] : cut[-1]])]
+            cut = (offs[lo : hi + 1] - offs[lo]).tolist()
+            flat = raw[offs[lo] : offs[hi]].tobytes()
+            texts = encoder.of([flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]) if cut[-1] <= 2 * TEXT_SLAB else [encoder.long(flat)]
+            flat = None
             yield ids[lo:hi], [t + end for t in texts]
 
 

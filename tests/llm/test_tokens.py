@@ -1,10 +1,17 @@
+import gc
+import tracemalloc
+import weakref
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loamwork.llm import bytesops as B
+from loamwork.llm import simhash
 from loamwork.llm import token_file as T
 
 from .helpers import odd_documents
@@ -88,3 +95,52 @@ def test_texts_of_all_planes(texts):
 @given(st.text(st.sampled_from("aBé Əɔ'sſİıǅßø1_-́K\n"), max_size=60))
 def test_texts_of_awkward_letters(text):
     equal_ids([text])
+
+
+def test_one_tokenizer_serves_words_and_parts():
+    """Whole words and parts in turn, against a tokenizer of its own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, e = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER)), T.Encoder(T.TOKENIZER)
+    for t in [*ODD, "plain words", "Əliyev", "plainer words 12"] * 2:
+        e.known.clear()
+        want = np.array(own.encode(t, add_special_tokens=False).ids, dtype="<u4")
+        assert e.of([t.encode()]) == [want.tobytes()], t
+        assert e.ids(t).tolist() == want.tolist(), t
+
+
+def test_encoder_goes_when_another_operator_begins(monkeypatch):
+    """Workers are kept; with the encoder they held it through all other stages of the pipeline."""
+    made = []
+
+    class Known(T.Encoder):
+        def __init__(self, name):
+            super().__init__(name)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(T, "Encoder", Known)
+    rb = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    monkeypatch.setattr(T, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for _ in range(2):
+        files = list(T._write(T.TOKENIZER, T.END_ID)([rb]))
+        assert [b.num_rows for b in files] == [1]
+        list(B.tidy(T._read)(iter(files)))
+    assert len(made) == 1 and made[0]() is not None
+    list(simhash._fingerprints(4, 42)([rb]))
+    gc.collect()
+    assert made[0]() is None
+
+
+def test_a_batch_is_copied_by_slabs(monkeypatch):
+    monkeypatch.setattr(T, "TEXT_SLAB", 1 << 16)
+    rb = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(["some plain words " * 120] * 4000)], names=["doc_id", "text"])
+    for _ in T.token_batches([rb.slice(0, 10)], T.TOKENIZER, 1):
+        pass
+    tracemalloc.start()
+    try:
+        for _ in T.token_batches([rb], T.TOKENIZER, 1):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20  # of 8 MB of text
+    finally:
+        tracemalloc.stop()
